@@ -49,11 +49,7 @@ def crc32_of(doc_id: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words of the whole text, 0 for null.
-
-    Words start at a non-space character that follows a space or the start, so it is enough to delete all but the first
-    character of each word and measure what is left without spaces.
-    """
+    """Number of words of the whole text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
