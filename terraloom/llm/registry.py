@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from terraloom.llm import mixing, sharding
+from terraloom.llm import mixing, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op3_packing": packing.op3_packing,
+        "op5_warc": warc.op5_warc,
         "op8_mixing": mixing.op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op5_warc": warc.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
