@@ -28,7 +28,7 @@ from terraloom.llm.common import materialize, table
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that one task ranks.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 2_000
 #: Words that a worker keeps with their ids, and the length from which a word isn't kept.
 CACHE_WORDS, LONG_WORD = 1_000_000, 64
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from terraloom.llm import mixing, packing, sharding, warc
+from terraloom.llm import bsi, hilbert, mixing, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_ann": hilbert.op2_ann,
         "op3_packing": packing.op3_packing,
+        "op4_topk": bsi.op4_topk,
         "op5_warc": warc.op5_warc,
         "op8_mixing": mixing.op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op4_topk": bsi.OP4_SQL, "op5_warc": warc.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
