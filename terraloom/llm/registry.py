@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import bsi, hilbert, mixing, packing, sharding, warc
+from terraloom.llm import bsi, hilbert, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_topk": bsi.op4_topk,
         "op5_warc": warc.op5_warc,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
