@@ -85,8 +85,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+SEGMENT = 4 << 20
+
+
 class WordHasher:
-    """64-bit hashes of all words of a batch of texts, found with whole-array operations.
+    """64-bit hashes of all words of a batch of texts, found with whole-array operations on a few MB at a time.
 
     hash(texts) -> (hashes, first): hashes of all words in order, and for each text the index of its first word, with
     the total at the end. ASCII letters are lower-cased. Texts are UTF-8 bytes; None counts as empty.
@@ -96,28 +99,39 @@ class WordHasher:
         self.size = 0
 
     def hash(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        joined = b"\n".join(t or b"" for t in texts) + b"\n"
+        data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
         ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
-        b = _LOWER[np.frombuffer(joined, np.uint8)]
+        at, hashes, starts = 0, [], []
+        while at < len(data):
+            stop = min(at + SEGMENT, len(data))
+            while stop < len(data) and not _IS_SPACE[data[stop - 1]]:  # a segment ends between words
+                back = np.flatnonzero(_IS_SPACE[data[at:stop]][::-1])
+                stop = stop - int(back[0]) if len(back) else min(stop + SEGMENT, len(data))
+            h, s = self._segment(data[at:stop])
+            hashes.append(h)
+            starts.append(s + at)
+            at = stop
+        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        first = np.zeros(len(texts) + 1, np.int64)
+        first[1:] = np.searchsorted(start, ends, "left")
+        return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), first
+
+    def _segment(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b = _LOWER[data]
         n = len(b)
         if n > self.size:
-            self.size = max(n, 1 << 20)
-            self.up, self.down = _powers(_BASE, self.size), _powers(_BASE_INVERSE, self.size)
+            self.size = n
+            self.up, self.down = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
         space = _IS_SPACE[b]
-        word = ~space
         before = np.empty(n, bool)
         before[0] = True
         before[1:] = space[:-1]
-        starts = np.flatnonzero(word & before)
-        # every text ends with a separator, so a word's end is the first space after it
-        stops = np.flatnonzero(space[1:] & word[:-1]) + 1 if n > 1 else np.empty(0, np.int64)
+        starts = np.flatnonzero(~space & before)
+        stops = np.flatnonzero(space & ~before)  # the first space after each word; the segment ends with one
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE_CODE[b] * self.up[:n], out=sums[1:])
-        hashes = mix64((sums[stops] - sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
-        first = np.zeros(len(texts) + 1, np.int64)
-        first[1:] = np.searchsorted(starts, ends, "left")
-        return hashes, first
+        return mix64((sums[stops] - sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64)), starts
 
 
 def batched(columns: list, size: int):

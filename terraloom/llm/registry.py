@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import bsi, hilbert, mixing, packing, sharding, toxicity, warc
+from terraloom.llm import bsi, hilbert, kneserney, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_lm": kneserney.op10_lm,
     }
 
 
