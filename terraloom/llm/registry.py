@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import bsi, hilbert, kneserney, mixing, packing, sharding, toxicity, warc
+from terraloom.llm import bsi, forest, hilbert, kneserney, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_topk": bsi.op4_topk,
         "op5_warc": warc.op5_warc,
+        "op6_minhash": forest.op6_minhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm": kneserney.op10_lm,
