@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import WordHasher, batched, crc32_of, materialize, mix64, shared_path, table
-from terraloom.llm.sortedarrays import Combiner, SortedArrays
+from terraloom.llm.sortedarrays import ROWS, Combiner, SortedArrays, count_batch, counted, write_arrays
 
 END = np.int64(0x5EED_0F_7E_27)  # stands for the end of a text beside the hashes of words
 SMOOTHING = 0.1
@@ -29,8 +29,6 @@ BATCH_BYTES = 4 << 20
 KEPT_TOKENS = 4_000_000
 BYTES_A_SHARD = 48 << 20
 MOST_SHARDS = 4096
-NAMES = ["shard", "key", "count"]
-ROWS = "shard int, key long, count long"
 
 
 def _tokens(hasher: WordHasher, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,17 +50,6 @@ def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix64(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
 
 
-def _batch(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=NAMES)
-
-
-def _counted(held: list[np.ndarray], shard_of) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    for at in range(0, len(keys), 500_000):
-        k = keys[at : at + 500_000]
-        yield _batch(k, counts[at : at + 500_000], shard_of(k))
-
-
 class Words:
     """Numbers and counts of words, through a table of words looked up before."""
 
@@ -91,25 +78,6 @@ class Words:
         return number, count
 
 
-def _write(df: DataFrame, uri: str, name: str, parts: int, emit=None) -> DataFrame:
-    """Writes rows (shard, key, count) as sorted arrays; returns what emit makes of each shard, at least (shard, size)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        combiner = Combiner(uri, name)
-        def out(done):
-            shard, keys, counts = done
-            yield _batch(np.array([-1]), np.array([len(keys)]), np.array([shard]))
-            if emit is not None:
-                yield from emit(keys, counts)
-        for b in batches:
-            for done in combiner.add(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().copy()):
-                yield from out(done)
-        if (done := combiner.close()) is not None:
-            yield from out(done)
-
-    return materialize(df.repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(run, ROWS), f"lm-{name}")
-
-
 def _pair_sums(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of one sorted shard of pairs: rows (kind, word number, amount); kinds see SUMS."""
     context, word = keys >> np.int64(32), keys & np.int64(0xFFFF_FFFF)
@@ -118,11 +86,11 @@ def _pair_sums(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]
         if len(first):
             sums = np.add.reduceat(amount.astype(np.int64), first)
             some = np.flatnonzero(sums)
-            yield _batch(context[first[some]], sums[some], np.full(len(some), kind))
+            yield count_batch(context[first[some]], sums[some], np.full(len(some), kind))
     w, n = np.unique(word, return_counts=True)
-    yield _batch(w, n, np.full(len(w), 4))
+    yield count_batch(w, n, np.full(len(w), 4))
     for c in range(1, 5):
-        yield _batch(np.array([-2 - c]), np.array([int((counts == c).sum())]), np.array([5]))
+        yield count_batch(np.array([-2 - c]), np.array([int((counts == c).sum())]), np.array([5]))
 
 
 #: Sums by word number, as columns: of a context its count and words that follow once, twice, more often; of a word the contexts it follows.
@@ -209,12 +177,12 @@ def train(docs: DataFrame) -> Model:
                 held.append(_tokens(hasher, column[a:b])[0])
                 n += len(held[-1])
                 if n >= KEPT_TOKENS:
-                    yield from _counted(held, lambda k: _word_shard(k, bits))
+                    yield from counted(held, lambda k: _word_shard(k, bits))
                     held, n = [], 0
         if held:
-            yield from _counted(held, lambda k: _word_shard(k, bits))
+            yield from counted(held, lambda k: _word_shard(k, bits))
 
-    sizes = _write(texts.mapInArrow(count_words, ROWS), uri, "words", min(n_shards, 1 << bits), _total)
+    sizes = write_arrays(texts.mapInArrow(count_words, ROWS), uri, "words", min(n_shards, 1 << bits), _total)
     facts = sizes.filter("key = -1").select("shard", "count").collect()
     tokens = sizes.filter("key = -2").agg(F.sum("count")).first()[0] or 0
     base, words = {}, 0
@@ -235,26 +203,26 @@ def train(docs: DataFrame) -> Model:
                 held.append((before << np.int64(32)) | number)
                 n += len(held[-1])
                 if n >= KEPT_TOKENS:
-                    yield from _counted(held, lambda k: _pair_shard(k, n_shards))
+                    yield from counted(held, lambda k: _pair_shard(k, n_shards))
                     held, n = [], 0
         if held:
-            yield from _counted(held, lambda k: _pair_shard(k, n_shards))
+            yield from counted(held, lambda k: _pair_shard(k, n_shards))
 
-    sums = _write(texts.mapInArrow(count_pairs, ROWS), uri, "pairs", n_shards, _pair_sums)
+    sums = write_arrays(texts.mapInArrow(count_pairs, ROWS), uri, "pairs", n_shards, _pair_sums)
     pair_facts = sums.filter("key = -1").select("shard", "count").collect()
     seen = {r["key"]: r["n"] for r in sums.filter("key < -2").groupBy("key").agg(F.sum("count").alias("n")).collect()}
     wide = sums.filter("key >= 0").groupBy("key").agg(*(F.sum(F.when(F.col("shard") == k, F.col("count")).otherwise(0)).alias(f"s{k}") for k in range(SUMS)))
     wide = wide.withColumn("shard", (F.col("key") / SUMS_SHARD).cast("int"))
 
     def write_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        combiner = Combiner(uri, "sums", SUMS)
+        combiner = Combiner(uri, "sums")
 
         def out(done):
             shard, keys, counts = done
-            yield _batch(np.array([-1]), np.array([len(keys)]), np.array([shard]))
+            yield count_batch(np.array([-1]), np.array([len(keys)]), np.array([shard]))
             for c in range(1, 5):
-                yield _batch(np.array([-2 - c]), np.array([int((counts[:, 4] == c).sum())]), np.array([5]))
-            yield _batch(np.array([-10]), np.array([int((counts[:, 4] >= 3).sum())]), np.array([5]))
+                yield count_batch(np.array([-2 - c]), np.array([int((counts[:, 4] == c).sum())]), np.array([5]))
+            yield count_batch(np.array([-10]), np.array([int((counts[:, 4] >= 3).sum())]), np.array([5]))
 
         for b in batches:
             counts = np.stack([b.column(2 + k).to_numpy() for k in range(SUMS)], axis=1)
@@ -275,7 +243,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def _total(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    yield _batch(np.array([-2]), np.array([int(counts.sum())]), np.array([0]))
+    yield count_batch(np.array([-2]), np.array([int(counts.sum())]), np.array([0]))
 
 
 def perplexity(docs: DataFrame, model: Model) -> DataFrame:

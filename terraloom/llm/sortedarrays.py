@@ -16,6 +16,13 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from terraloom.llm.common import materialize
+
+NAMES = ["shard", "key", "count"]
+ROWS = "shard int, key long, count long"
 
 
 def local_of(uri: str) -> str | None:
@@ -65,10 +72,13 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
 
 
 class Combiner:
-    """Rows (shard, key, count...) that arrive sorted become whole shards; sums of equal keys are taken across batches."""
+    """Rows (shard, key, count...) that arrive sorted become whole shards; sums of equal keys are taken across batches.
 
-    def __init__(self, uri: str, name: str, columns: int = 1) -> None:
-        self.uri, self.name, self.columns = uri, name, columns
+    Keys whose sum stays below `least` are left out.
+    """
+
+    def __init__(self, uri: str, name: str, least: int = 1) -> None:
+        self.uri, self.name, self.least = uri, name, least
         self.shard: int | None = None
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -94,6 +104,8 @@ class Combiner:
         if self.shard is None:
             return None
         out = self.shard, np.concatenate(self.keys), np.concatenate(self.counts)
+        if self.least > 1:
+            out = out[0], *(x[out[2] >= self.least] for x in out[1:])
         write_file(f"{self.uri}/{self.name}-{out[0]}.keys", [np.ascontiguousarray(out[1], "<i8")])
         write_file(f"{self.uri}/{self.name}-{out[0]}.counts", [np.ascontiguousarray(out[2], "<i8")])
         self.shard, self.keys, self.counts = None, [], []
@@ -124,9 +136,44 @@ class SortedArrays:
             if int(shard[rows[0]]) not in self.shards:
                 continue
             have, numbers = self._shard(int(shard[rows[0]]))
+            if not len(have):
+                continue
             at = np.searchsorted(have, keys[rows])
             inside = np.minimum(at, len(have) - 1)
             hit = have[inside] == keys[rows]
             rank[rows[hit]] = at[hit]
             counts[rows[hit]] = numbers[at[hit]]
         return rank, counts
+
+
+def count_batch(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=NAMES)
+
+
+def counted(held: list[np.ndarray], shard_of) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, count) for all keys of some arrays."""
+    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    for at in range(0, len(keys), 500_000):
+        k = keys[at : at + 500_000]
+        yield count_batch(k, counts[at : at + 500_000], shard_of(k))
+
+
+def write_arrays(df: DataFrame, uri: str, name: str, parts: int, emit=None, least: int = 1) -> DataFrame:
+    """Writes rows (shard, key, count) as sorted arrays. Returns a row (shard, -1, size) for each shard and what emit makes of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combiner = Combiner(uri, name, least)
+
+        def out(done):
+            shard, keys, counts = done
+            yield count_batch(np.array([-1]), np.array([len(keys)]), np.array([shard]))
+            if emit is not None:
+                yield from emit(keys, counts)
+
+        for b in batches:
+            for done in combiner.add(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().copy()):
+                yield from out(done)
+        if (done := combiner.close()) is not None:
+            yield from out(done)
+
+    return materialize(df.repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(run, ROWS), f"arrays-{name}")
