@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import bsi, forest, hilbert, kneserney, mixing, packing, sharding, toxicity, warc
+from terraloom.llm import bsi, forest, hilbert, kneserney, mixing, packing, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_topk": bsi.op4_topk,
         "op5_warc": warc.op5_warc,
         "op6_minhash": forest.op6_minhash,
+        "op7_suffix": suffixes.op7_suffix,
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm": kneserney.op10_lm,
