@@ -135,16 +135,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """rows(vec_id, q) in groups of about `size`: (group, n, width, ids, values), stored in the shared folder, and the number of groups."""
+    """rows(vec_id, q) in groups of about `size`: (group, n, width, kind of number, ids, values), stored in the shared folder, and the number of groups."""
     groups = max(1, -(-rows.count() // size))
 
     def pack(part: pa.Table) -> pa.Table:
         values = _matrix(part.column("q").combine_chunks())
         ids = part.column("vec_id").to_numpy()
-        return pa.table({"group": pa.array([part.column("group")[0].as_py()], pa.int64()), "n": [values.shape[0]], "width": [values.shape[1]], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "q": pa.array([values.astype("<i8").tobytes()], pa.binary())})
+        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if values.min(initial=0) >= np.iinfo(k).min and values.max(initial=0) <= np.iinfo(k).max)
+        return pa.table({"group": pa.array([part.column("group")[0].as_py()], pa.int64()), "n": [values.shape[0]], "width": [values.shape[1]], "kind": [kind], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "q": pa.array([values.astype(kind).tobytes()], pa.binary())})
 
     dealt = rows.select("vec_id", "q", F.pmod(F.xxhash64("vec_id", "q"), F.lit(groups)).alias("group"))
-    return materialize(dealt.groupBy("group").applyInArrow(pack, "group long, n long, width long, ids binary, q binary"), name), groups
+    return materialize(dealt.groupBy("group").applyInArrow(pack, "group long, n long, width long, kind string, ids binary, q binary"), name), groups
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -159,21 +160,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     chunks, n_chunks = _packed(queries, CHUNK_QUERIES, "bsi-queries")
     # each block once for each chunk of queries: the stated query set against all rows, in blocks
     pairs = blocks.drop("group").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
-    queried = chunks.select(F.col("group").alias("chunk"), F.col("n").alias("qn"), F.col("width").alias("qwidth"), F.col("ids").alias("qids"), F.col("q").alias("qq"))
-    joined = pairs.join(queried, "chunk").select("n", "width", "ids", "q", "qn", "qwidth", "qids", "qq")
+    queried = chunks.select(F.col("group").alias("chunk"), F.col("n").alias("qn"), F.col("width").alias("qwidth"), F.col("kind").alias("qkind"), F.col("ids").alias("qids"), F.col("q").alias("qq"))
+    joined = pairs.join(queried, "chunk").select("n", "width", "kind", "ids", "q", "qn", "qwidth", "qkind", "qids", "qq")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                n, w, ids, q, qn, qw, qids, qq = (batch.column(c)[r].as_py() for c in range(8))
+                n, w, kind, ids, q, qn, qw, qkind, qids, qq = (batch.column(c)[r].as_py() for c in range(10))
                 if (n, ids) != last:
                     last, ids_of = (n, ids), np.frombuffer(ids, "<i8")
-                    block = SlicedBlock(np.frombuffer(q, "<i8").reshape(n, w))
+                    block = SlicedBlock(np.frombuffer(q, kind).reshape(n, w).astype(np.int64))
                     all_rows, order = block.everything(), np.argsort(ids_of, kind="stable")
                     sorted_ids = ids_of[order]
                 found = []
-                for query_id, query in zip(np.frombuffer(qids, "<i8").tolist(), np.frombuffer(qq, "<i8").reshape(qn, qw), strict=True):
+                for query_id, query in zip(np.frombuffer(qids, "<i8").tolist(), np.frombuffer(qq, qkind).reshape(qn, qw), strict=True):
                     allowed = all_rows.copy()
                     for own in order[np.searchsorted(sorted_ids, query_id, "left") : np.searchsorted(sorted_ids, query_id, "right")].tolist():
                         allowed[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
