@@ -171,7 +171,7 @@ def _emit(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of ARC files: page_id, url, ip, date, digest, payload_bytes, and head and payload if asked for."""
+    """Records of ARC files: page_id, url, ip, date, digest, payload_bytes, and head and payload (zlib) if asked for."""
     names = ["page_id", "url", "ip", "date", "digest", "payload_bytes", *(["head", "payload"] if with_payload else [])]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), *([pa.binary(), pa.binary()] if with_payload else [])]
 
@@ -181,7 +181,7 @@ def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataF
                 rows, size = [], 0
                 for r in parse_arc(zlib.decompress(content.as_py(), 31)):
                     page = header_value(r["head"], b"X-Page-Id")
-                    rows.append((int(page) if page else None, r["url"], r["ip"], r["date"], hashlib.sha256(r["payload"]).hexdigest(), len(r["payload"]), *([r["head"], r["payload"]] if with_payload else [])))
+                    rows.append((int(page) if page else None, r["url"], r["ip"], r["date"], hashlib.sha256(r["payload"]).hexdigest(), len(r["payload"]), *([r["head"], zlib.compress(r["payload"], 1)] if with_payload else [])))
                     size += len(r["payload"])
                     if size >= SEGMENT_BYTES:
                         yield _emit(rows, types, names)
@@ -209,7 +209,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [warc_record(r, r["digest"], r["page_id"], r["first_id"], r["first_id"] is not None) for r in batch.to_pylist()]
+            out = [warc_record(r | {"payload": zlib.decompress(r["payload"])}, r["digest"], r["page_id"], r["first_id"], r["first_id"] is not None) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     write_lines(joined.select("page_id", "url", "ip", "date", "digest", "head", "payload", "first_id").mapInArrow(convert, "record binary"), "record", warc_path, RECORDS_PER_FILE)
