@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import materialize, table, word_count
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Passes that fill what is left of a budget with the documents that still fit.
 PASSES = 4
 MAX_REPEATS = 3
