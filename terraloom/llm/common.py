@@ -85,7 +85,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-SEGMENT = 4 << 20
+SEGMENT = 1 << 19
 
 
 class WordHasher:

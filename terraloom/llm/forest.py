@@ -37,7 +37,7 @@ NEAR, FAR = 2, 16
 ROUNDS = (1, 6, None)
 #: Up to so many candidate rows are sent to every task; beyond, sets are joined by shuffling them.
 BROADCAST_ROWS = 500_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20)
 _FACTORS = (_rng.integers(0, 1 << 32, SIGNATURE, np.uint64) | np.uint64(1)).astype(np.uint32)

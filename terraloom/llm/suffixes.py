@@ -33,12 +33,12 @@ from terraloom.llm.sortedarrays import ROWS, SortedArrays, counted, write_arrays
 
 LENGTH = 100
 GRAM = 32
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 KEPT_ANCHORS = 2_000_000
 BYTES_A_SHARD = 64 << 20
-SORT_BYTES = 8 << 20
+SORT_BYTES = 1 << 20
 MOST_SHARDS = 4096
-#: Up to so many rows of spans or stretches are sent to every task; beyond, texts are shuffled to them.
+#: Up to so many documents with spans are sent to every task; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 400_000
 SEPARATOR = 0xFF  # a byte that UTF-8 never has
 
@@ -49,42 +49,54 @@ class Anchors:
     def __init__(self, length: int) -> None:
         self.length, self.size = length, 0
 
-    def find(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(anchor, stretch hash, text number, first start in the text, number of strings); hashes of 63 bits."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        n = len(data)
-        none = tuple(np.zeros(0, np.int64) for _ in range(5))
-        if n < self.length:
-            return none
+    def _room(self, n: int) -> None:
         if n > self.size:
             self.size = n
             self.up, self.down = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * self.up[:n], out=sums[1:])
-        gram = mix64((sums[GRAM:] - sums[:-GRAM]) * self.down[: n - GRAM + 1])
-        # the leading bits of a gram's hash with its place: the smallest in a window is the leftmost smallest hash
-        bits = np.uint64(int(n).bit_length())
-        ordered = ((gram >> bits) << bits) | np.arange(len(gram), dtype=np.uint64)
-        window, have = self.length - GRAM + 1, 1
-        while 2 * have <= window:
-            ordered = np.minimum(ordered[:-have], ordered[have:])
-            have *= 2
-        if have < window:
-            ordered = np.minimum(ordered[: len(ordered) - (window - have)], ordered[window - have :])
+            self.sums, self.gram, self.ordered, self.spare = (np.empty(n + 1, np.uint64) for _ in range(4))
+
+    def find(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(anchor, stretch hash, text number, first start in the text, number of strings); hashes of 63 bits."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        n, length = len(data), self.length
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        if n < length or lengths.max() < length:
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        self._room(n)
+        sums, grams = self.sums[: n + 1], n - GRAM + 1
+        sums[0] = 0
+        np.take(_BYTE_CODE, data, out=self.spare[:n])
+        np.multiply(self.spare[:n], self.up[:n], out=self.spare[:n])
+        np.cumsum(self.spare[:n], out=sums[1:])
+        gram, ordered, spare = self.gram[:grams], self.ordered[:grams], self.spare[:grams]
+        np.subtract(sums[GRAM:], sums[:-GRAM], out=gram)
+        gram *= self.down[:grams]
+        np.right_shift(gram, np.uint64(29), out=spare)
+        gram ^= spare
+        gram *= np.uint64(0xBF58476D1CE4E5B9)
+        np.right_shift(gram, np.uint64(32), out=spare)
+        gram ^= spare
+        # the leading bits of a gram's hash with its place: the smallest in a window is the leftmost smallest hash
+        bits = np.uint64(n.bit_length())
+        np.bitwise_and(gram, ~((np.uint64(1) << bits) - np.uint64(1)), out=ordered)
+        ordered |= np.arange(grams, dtype=np.uint64)
+        window, have = length - GRAM + 1, 1
+        while have < window:
+            step = min(have, window - have)
+            np.minimum(ordered[:-step], ordered[step:], out=spare[: len(ordered) - step])
+            ordered, spare = spare[: len(ordered) - step], ordered
+            have += step
+        # runs of windows with one anchor, cut where texts start and where their last window ends
         ends = np.cumsum(lengths)
-        counts = np.maximum(lengths - self.length + 1, 0)
-        if not counts.sum():
-            return none
-        which = np.repeat(np.arange(len(texts)), counts)
-        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = (ends - lengths)[which] + inside
-        place = (ordered[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (which[1:] != which[:-1])]))
-        run = np.diff(np.append(first, len(place)))
-        a = start[first]
-        stretch = mix64((sums[a + run + self.length - 1] - sums[a]) * self.down[a] + run.astype(np.uint64))
-        return (gram[place[first]] >> np.uint64(1)).astype(np.int64), (stretch >> np.uint64(1)).astype(np.int64), which[first], inside[first], run
+        cuts = np.concatenate([np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, ends - lengths, np.maximum(ends - length + 1, ends - lengths)])
+        cuts = np.unique(cuts[cuts < len(ordered)])
+        which = np.searchsorted(ends, cuts, "right")
+        run = np.diff(np.append(cuts, len(ordered)))
+        fine = cuts + length <= ends[which]
+        a, which, run = cuts[fine], which[fine], run[fine]
+        place = (ordered[a] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        stretch = mix64((sums[a + run + length - 1] - sums[a]) * self.down[a] + run.astype(np.uint64))
+        return (gram[place] >> np.uint64(1)).astype(np.int64), (stretch >> np.uint64(1)).astype(np.int64), which, a - (ends - lengths)[which], run
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -147,10 +159,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _sorted_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
     """Repeats among different stretches of one anchor, by suffix sorting: doc, tag, start, end."""
-    facts = doubtful.agg(F.count("*").alias("n"), F.sum(F.col("run") + (length - 1)).alias("bytes")).first()
-    asked = F.broadcast(doubtful) if facts["n"] <= BROADCAST_ROWS else doubtful
+    facts = doubtful.agg(F.sum(F.col("run") + (length - 1)).alias("bytes")).first()
     shards = min(1 << 20, max(1, -(-(facts["bytes"] or 0) // SORT_BYTES)))
-    texts = docs.join(asked, docs["doc"].eqNullSafe(asked["fdoc"]) & (docs["tag"] == asked["ftag"]))
+    texts = docs.join(doubtful, (docs["doc"] == doubtful["fdoc"]) & (docs["tag"] == doubtful["ftag"]))
     part = F.expr(f"substring(raw, start + 1, run + {length - 1})")
     texts = texts.select((F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int").alias("shard"), "doc", "tag", "start", part.alias("part"))
     out = T.StructType([docs.schema["doc"], docs.schema["tag"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
