@@ -33,6 +33,8 @@ PERCENT = 75
 SIGNATURE, TREES, LEAST_DEPTH, DEEPER = 128, 36, 4, 8
 #: Neighbours to either side in the first search and in the last.
 NEAR, FAR = 2, 16
+#: Signature values of 128 that must agree for a candidate of the last search: at 0.75, 96 do on average, fewer than 72 once in 2 million times.
+LEAST_AGREED = 72
 #: Candidates of a class confirmed in each round; None: all.
 ROUNDS = (1, 6, None)
 #: Up to so many candidate rows are sent to every task; beyond, sets are joined by shuffling them.
@@ -98,13 +100,17 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, signature binary")
 
 
-def neighbours(rows: DataFrame, reach: int) -> DataFrame:
-    """rows(class, signature, component) -> a, b, n: pairs within `reach` places of each other in n trees' orders, of different components."""
+def neighbours(rows: DataFrame, reach: int, agreed: int = 0) -> DataFrame:
+    """rows(class, signature, component) -> a, b, n: pairs within `reach` places of each other in n trees' orders, of different components.
+
+    With agreed, only pairs with as many equal signature values (a byte of each travels with the rows).
+    """
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
+                brief = [r.tobytes() for r in (mix64(values) & np.uint64(255)).astype(np.uint8)] if agreed else [b""] * len(values)
                 for t in range(TREES):
                     region = np.full(len(values), t + 1, np.uint64)
                     for k in _ORDERS[t, :LEAST_DEPTH]:
@@ -112,23 +118,31 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
                     deep = np.zeros(len(values), np.uint64)
                     for k in _ORDERS[t, LEAST_DEPTH:]:
                         deep = (deep << np.uint64(8)) | (mix64(values[:, k]) & np.uint64(255))
-                    yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int64)), pa.array(deep.astype(np.int64)), part.column(0), part.column(2)], names=["region", "deep", "class", "component"])
+                    yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int64)), pa.array(deep.astype(np.int64)), part.column(0), part.column(2), pa.array(brief, pa.binary())], names=["region", "deep", "class", "component", "brief"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
+        old: list[bytes] = []
         for batch in batches:
             region, own, component = (np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, (0, 2, 3), strict=True))
             fresh = len(kept[0])
+            if agreed:
+                briefs = old + batch.column(4).to_pylist()
+                old = briefs[-reach:]
+                values = np.frombuffer(b"".join(briefs), np.uint8).reshape(-1, SIGNATURE)
             out_a, out_b = [], []
             for k in range(1, reach + 1):
                 left, right = np.arange(max(fresh - k, 0), len(region) - k), np.arange(max(fresh, k), len(region))
                 hit = (region[left] == region[right]) & (component[left] != component[right])
+                if agreed:
+                    hit = np.flatnonzero(hit)
+                    hit = hit[(values[left[hit]] == values[right[hit]]).sum(axis=1) >= agreed]
                 out_a.append(np.minimum(own[left[hit]], own[right[hit]]))
                 out_b.append(np.maximum(own[left[hit]], own[right[hit]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
             kept = [x[-reach:] for x in (region, own, component)]
 
-    planted = rows.select("class", "signature", "component").mapInArrow(plant, "region long, deep long, class long, component long")
+    planted = rows.select("class", "signature", "component").mapInArrow(plant, "region long, deep long, class long, component long, brief binary")
     ordered = planted.repartitionByRange("region", "deep", "class").sortWithinPartitions("region", "deep", "class")
     return ordered.mapInArrow(look, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -186,7 +200,7 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
 
     for turn, most in enumerate((*ROUNDS, None)):
         if turn == len(ROUNDS):  # the last, wider search, among the components known by now
-            pairs = materialize(neighbours(nodes, FAR), "forest-far")
+            pairs = materialize(neighbours(nodes, FAR, LEAST_AGREED), "forest-far")
         todo = open_pairs(pairs)
         if most is not None:
             sides = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
