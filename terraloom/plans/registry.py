@@ -1,13 +1,370 @@
-"""Queries over the driver's tables, each with its SQL twin."""
+"""Queries over the driver's tables, each with its SQL twin. Floating results are rounded in both."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from terraloom.functions import statistics as S
+from terraloom.functions.expressions import calculate, polynomial, postfix
+from terraloom.operators import gridding, joins, mosaic, neighbourhood, tracks
+from terraloom.plans.inputs import CELLS, CLOUD, RASTER, RESIDUALS, cells, cloud, frames, raster, residuals, table
+
 FLAGSHIP = "grid_cloud"
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL twin."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df, *names: str, digits: int = 6):
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+
+
+# --- gridding ---------------------------------------------------------------------------------------------------------
+
+_NEAR = f"""{CLOUD}, p AS (SELECT * FROM cloud WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+cx AS (SELECT *, unnest(range(ceil((x - 5) / 5)::BIGINT, floor((x + 5) / 5)::BIGINT + 1)) AS col FROM p),
+cy AS (SELECT *, unnest(range(ceil((y - 5) / 5)::BIGINT, floor((y + 5) / 5)::BIGINT + 1)) AS "row" FROM cx),
+near AS (SELECT *, sqrt(pow(x - col * 5, 2) + pow(y - "row" * 5, 2)) AS dist FROM cy WHERE sqrt(pow(x - col * 5, 2) + pow(y - "row" * 5, 2)) <= 5)"""
+
+
+@query(f"""WITH {_NEAR}, a AS (SELECT col, "row", round(sum(exp(ln(0.25) / 25 * dist * dist) * z) / sum(exp(ln(0.25) / 25 * dist * dist)), 6) AS weighted_average,
+round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(stddev_pop(z), 6) AS stddev, count(z) AS count, median(z) AS m FROM near GROUP BY ALL),
+n AS (SELECT near.col, near."row", round(1.4826 * median(abs(z - m)), 6) AS nmad FROM near JOIN a ON near.col = a.col AND near."row" = a."row" GROUP BY ALL)
+SELECT a.col, a."row", weighted_average, min, max, mean, median, stddev, count, nmad FROM a JOIN n ON a.col = n.col AND a."row" = n."row" """)
+def grid_cloud(spark, d):
+    out = gridding.grid(cloud(spark, d), 5.0, 5.0)
+    return rounded(out, "weighted_average", "min", "max", "mean", "median", "stddev", "nmad")
+
+
+@query(f"""WITH {CLOUD}, b AS (SELECT quantile_cont(err, 0.25) AS a, quantile_cont(err, 0.75) AS b FROM cloud)
+SELECT floor(x / 10)::BIGINT AS col, floor(y / 10)::BIGINT AS "row", count(*) AS n, round(avg(z), 6) AS mean FROM cloud, b
+WHERE err >= a - 0.5 * (b - a) AND err <= b + 0.5 * (b - a) GROUP BY ALL""")
+def grid_without_outliers(spark, d):
+    kept = S.within_brackets(cloud(spark, d), "err", 0.75, 0.5)
+    out = kept.groupBy(F.floor(F.col("x") / 10).alias("col"), F.floor(F.col("y") / 10).alias("row")).agg(F.count("*").alias("n"), F.avg("z").alias("mean"))
+    return rounded(out, "mean")
+
+
+@query(f"""WITH {CLOUD} SELECT floor(x / 16)::BIGINT AS bx, floor(y / 16)::BIGINT AS "by", min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM cloud GROUP BY ALL""")
+def block_boxes(spark, d):
+    return cloud(spark, d).groupBy(F.floor(F.col("x") / 16).alias("bx"), F.floor(F.col("y") / 16).alias("by")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+
+
+@query(f"""WITH {CLOUD}, b AS (SELECT quantile_cont(x, 0.125) AS xa, quantile_cont(x, 0.875) AS xb, quantile_cont(y, 0.125) AS ya, quantile_cont(y, 0.875) AS yb FROM cloud)
+SELECT count(*) AS n, round(sum(z), 4) AS total FROM cloud, b WHERE x BETWEEN xa - 0.1 * (xb - xa) AND xb + 0.1 * (xb - xa) AND y BETWEEN ya - 0.1 * (yb - ya) AND yb + 0.1 * (yb - ya)""")
+def inlier_box(spark, d):
+    points = cloud(spark, d)
+    kept = points
+    for axis in ("x", "y"):
+        found = S.brackets(points, axis, 0.875, 0.1)
+        kept = kept.crossJoin(F.broadcast(found)).filter((F.col(axis) >= F.col("lo")) & (F.col(axis) <= F.col("hi"))).drop("lo", "hi")
+    return rounded(kept.agg(F.count("*").alias("n"), F.sum("z").alias("total")), "total", digits=4)
+
+
+# --- mosaics ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CELLS}, v AS (SELECT * FROM cells WHERE v IS NOT NULL), m AS (SELECT col, "row", median(v) AS m FROM v GROUP BY ALL)
+SELECT v.col, v."row", arg_min(v, idx) AS first, arg_max(v, idx) AS last, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean,
+CASE WHEN count(v) > 1 THEN round(stddev_samp(v), 6) END AS stddev, median(v) AS median, count(v) AS count, round(1.4826 * median(abs(v - m)), 6) AS nmad
+FROM v JOIN m ON v.col = m.col AND v."row" = m."row" GROUP BY v.col, v."row" """)
+def mosaic_all(spark, d):
+    return rounded(mosaic.mosaic(cells(spark, d)), "mean", "stddev", "nmad")
+
+
+@query(f"""WITH {CELLS}, v AS (SELECT * FROM cells WHERE v IS NOT NULL), m AS (SELECT col, "row", median(v) AS m FROM v GROUP BY ALL),
+r AS (SELECT v.col, v."row", idx, row_number() OVER (PARTITION BY v.col, v."row" ORDER BY v, idx) AS a, row_number() OVER (PARTITION BY v.col, v."row" ORDER BY v DESC, idx) AS b,
+row_number() OVER (PARTITION BY v.col, v."row" ORDER BY abs(v - m), idx) AS c FROM v JOIN m ON v.col = m.col AND v."row" = m."row")
+SELECT col, "row", max(CASE WHEN a = 1 THEN idx END) AS min_idx, max(CASE WHEN b = 1 THEN idx END) AS max_idx, max(CASE WHEN c = 1 THEN idx END) AS median_idx FROM r GROUP BY ALL""")
+def mosaic_index_map(spark, d):
+    return mosaic.index_map(cells(spark, d))
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT col // 8 AS tx, "row" // 8 AS ty, idx, sum(v) AS total FROM cells GROUP BY ALL HAVING sum(v) IS NOT NULL)
+SELECT tx, ty, idx, total FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY total DESC, idx) AS r FROM t) WHERE r = 1""")
+def mosaic_block_max(spark, d):
+    return mosaic.block_max(cells(spark, d), 8)
+
+
+@query(f"""WITH {CELLS}, w AS (SELECT *, 1.0 / (1 + idx) AS w FROM cells WHERE v IS NOT NULL)
+SELECT col, "row", round(sum(w * v) / sum(w), 6) AS blend, round(sum(CASE WHEN idx = 0 THEN w ELSE 0 END) / sum(w), 6) AS first_share FROM w GROUP BY ALL""")
+def mosaic_blend(spark, d):
+    return rounded(mosaic.blend(cells(spark, d).withColumn("w", 1.0 / (1 + F.col("idx"))), "w"), "blend", "first_share")
+
+
+@query(f"""WITH {CELLS} SELECT col, "row", CASE WHEN count(v) = count(*) THEN round(avg(v), 6) END AS mean FROM cells GROUP BY ALL""")
+def mosaic_holes(spark, d):
+    return rounded(mosaic.propagate_holes(cells(spark, d)), "mean")
+
+
+# --- expressions ------------------------------------------------------------------------------------------------------
+
+_PAIR = f"""{CELLS}, pair AS (SELECT a.col, a."row", a.v AS a, b.v AS b FROM cells a JOIN cells b ON a.col = b.col AND a."row" = b."row" WHERE a.idx = 0 AND b.idx = 1)"""
+
+
+def _pair(spark, d):
+    all_ = cells(spark, d)
+    a = all_.filter("idx = 0").select("col", "row", F.col("v").alias("a"))
+    return a.join(all_.filter("idx = 1").select("col", "row", F.col("v").alias("b")), ["col", "row"])
+
+
+@query(f"""WITH {_PAIR} SELECT col, "row", CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round(a - (b - (2 * (a / nullif(b * 4, 0)))), 6) END AS right_grouped,
+CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a < b THEN least(a, b, 900) ELSE -abs(b) END END AS chosen FROM pair""")
+def image_expression(spark, d):
+    v = {"var_0": F.col("a"), "var_1": F.col("b")}
+    out = _pair(spark, d).select("col", "row", calculate("var_0 - var_1 - 2 * var_0 / var_1 * 4", v).alias("right_grouped"), calculate("lt(var_0, var_1, min(var_0, var_1, 900), -abs(var_1))", v).alias("chosen"))
+    return rounded(out, "right_grouped")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(3 * l_discount * l_discount + 1, 9) AS square, round(sin(l_discount) * 4 + l_discount, 9) AS wave, round(1 - 0.5 * l_tax + 2 * l_tax * l_tax, 9) AS poly FROM lineitem""")
+def ephemeris_equations(spark, d):
+    t = table(spark, d, "lineitem")
+    out = t.select("l_orderkey", "l_linenumber", postfix("3 t t * * 1 +", F.col("l_discount")).alias("square"), postfix("t sin 4 * t +", F.col("l_discount")).alias("wave"), polynomial([1, -0.5, 2], F.col("l_tax")).alias("poly"))
+    return rounded(out, "square", "wave", "poly", digits=9)
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT idx, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM cells GROUP BY idx)
+SELECT cells.idx, col, "row", CASE WHEN v IS NOT NULL THEN round(greatest(0, least(255, (v - lo) / (hi - lo) * 255)), 4) END AS stretched FROM cells JOIN s ON cells.idx = s.idx""")
+def percentile_stretch(spark, d):
+    v = cells(spark, d)
+    s = v.groupBy("idx").agg(F.percentile("v", 0.02).alias("lo"), F.percentile("v", 0.98).alias("hi"))
+    scaled = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255
+    out = v.join(F.broadcast(s), "idx").select("idx", "col", "row", F.when(F.col("v").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled))).alias("stretched"))
+    return rounded(out, "stretched", digits=4)
+
+
+# --- differences and summaries ----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_PAIR}, d AS (SELECT abs(a - b) AS v FROM pair WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT list_sort(list(v)) AS s FROM d)
+SELECT max(v) AS max, min(v) AS min, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stddev, any_value(s[len(s) // 2 + 1]) AS median, count(*) AS n FROM d, s""")
+def difference_summary(spark, d):
+    diff = _pair(spark, d).filter("a IS NOT NULL AND b IS NOT NULL").select(F.abs(F.col("a") - F.col("b")).alias("v"))
+    out = diff.agg(F.max("v").alias("max"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), S.upper_median(F.col("v")).alias("median"), F.count("*").alias("n"))
+    return rounded(out, "mean", "stddev")
+
+
+_POINTS = "pts AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 390) / 10.0::DOUBLE AS px, (s_suppkey * 3 % 290) / 10.0::DOUBLE AS py FROM supplier)"
+
+
+@query(f"""WITH {RASTER}, {_POINTS}, q AS (SELECT *, floor(px)::BIGINT AS c, floor(py)::BIGINT AS r, px - floor(px) AS fx, py - floor(py) AS fy FROM pts)
+SELECT q.id, round(CASE WHEN (1 - fx) * (1 - fy) = 0 THEN 0 ELSE (1 - fx) * (1 - fy) * a.v END + CASE WHEN (1 - fx) * fy = 0 THEN 0 ELSE (1 - fx) * fy * b.v END
++ CASE WHEN fx * (1 - fy) = 0 THEN 0 ELSE fx * (1 - fy) * c.v END + CASE WHEN fx * fy = 0 THEN 0 ELSE fx * fy * e.v END, 5) AS value
+FROM q LEFT JOIN raster a ON a.col = q.c AND a."row" = q.r LEFT JOIN raster b ON b.col = q.c AND b."row" = q.r + 1
+LEFT JOIN raster c ON c.col = q.c + 1 AND c."row" = q.r LEFT JOIN raster e ON e.col = q.c + 1 AND e."row" = q.r + 1""")
+def bilinear_lookup(spark, d):
+    pts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 390 / 10.0).alias("px"), (F.col("s_suppkey") * 3 % 290 / 10.0).alias("py"))
+    return rounded(joins.bilinear(pts, raster(spark, d)).select("id", "value"), "value", digits=5)
+
+
+@query(f"""WITH {RESIDUALS}, s AS (SELECT cid, list_sort(list(resid)) AS s, avg(resid) AS mean FROM res GROUP BY cid) SELECT cid, round(mean, 6) AS mean, round(s[len(s) // 2 + 1], 6) AS median, len(s) AS n FROM s""")
+def camera_residuals(spark, d):
+    out = residuals(spark, d).groupBy("cid").agg(F.avg("resid").alias("mean"), S.upper_median(F.col("resid")).alias("median"), F.count("*").alias("n"))
+    return rounded(out, "mean", "median")
+
+
+@query(f"WITH {RESIDUALS} SELECT pid, round(avg(resid), 6) AS mean_residual, count(*) AS num_observations FROM res GROUP BY pid")
+def point_residuals(spark, d):
+    return rounded(residuals(spark, d).groupBy("pid").agg(F.avg("resid").alias("mean_residual"), F.count("*").alias("num_observations")), "mean_residual")
+
+
+@query(f"""WITH {RESIDUALS}, s AS (SELECT cid, list_sort(list(resid)) AS s FROM res GROUP BY cid)
+SELECT cid, {", ".join(f"round(s[floor({p} * len(s))::BIGINT + 1], 6) AS p{round(100 * p)}" for p in (0.25, 0.5, 0.75, 0.85, 0.95))}, len(s) AS num FROM s""")
+def pair_percentiles(spark, d):
+    v = F.col("resid")
+    names = {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.85, 0.95)}
+    return rounded(residuals(spark, d).groupBy("cid").agg(*(S.floor_percentile(v, p).alias(n) for n, p in names.items()), F.count("*").alias("num")), *names)
+
+
+@query(f"""WITH {RESIDUALS}, p AS (SELECT pid, avg(resid) AS m FROM res GROUP BY pid), b AS (SELECT quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.75) AS b FROM p)
+SELECT count(*) AS outliers FROM p, b WHERE m > greatest(3, least(6, b + 3 * (b - a)))""")
+def adjustment_outliers(spark, d):
+    means = residuals(spark, d).groupBy("pid").agg(F.avg("resid").alias("m"))
+    cut = S.brackets(means, "m", 0.75, 3.0).select(F.greatest(F.lit(3.0), F.least(F.lit(6.0), "hi")).alias("cut"))
+    return means.crossJoin(F.broadcast(cut)).filter("m > cut").agg(F.count("*").alias("outliers"))
+
+
+@query("""WITH b AS (SELECT least(floor((l_quantity - 1) / 4.9), 9)::BIGINT AS bin, l_extendedprice AS v FROM lineitem WHERE l_quantity BETWEEN 1 AND 50)
+SELECT r.bin, coalesce(round(avg(v), 4), 0) AS mean, count(v) AS n, coalesce(round(median(v), 4), 0) AS median FROM (SELECT unnest(range(12)) AS bin) r LEFT JOIN b ON b.bin = r.bin GROUP BY r.bin""")
+def binned_statistics(spark, d):
+    t = table(spark, d, "lineitem").filter("l_quantity BETWEEN 1 AND 50")
+    b = t.select(F.least(F.floor((F.col("l_quantity") - 1) / 4.9), F.lit(9)).alias("bin"), F.col("l_extendedprice").alias("v"))
+    b = b.groupBy("bin").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.median("v").alias("median"))
+    out = spark.range(12).select(F.col("id").alias("bin")).join(b, "bin", "left").fillna(0)
+    return rounded(out, "mean", "median", digits=4)
+
+
+@query("""WITH h AS (SELECT least(floor(l_extendedprice / 500), 255)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS below, sum(n * bin) OVER (ORDER BY bin) AS mass, sum(n) OVER () AS total, sum(n * bin) OVER () AS all_mass FROM h),
+v AS (SELECT bin, CASE WHEN below < total THEN pow(all_mass::DOUBLE * below / total - mass, 2) / (below::DOUBLE * (total - below)) END AS between_var FROM c)
+SELECT bin FROM v WHERE between_var IS NOT NULL ORDER BY round(between_var, 6) DESC, bin LIMIT 1""")
+def otsu_threshold(spark, d):
+    h = table(spark, d, "lineitem").groupBy(F.least(F.floor(F.col("l_extendedprice") / 500), F.lit(255)).alias("bin")).agg(F.count("*").alias("n"))
+    up, all_ = Window.orderBy("bin"), Window.partitionBy()  # at most 256 rows
+    c = h.select("bin", F.sum("n").over(up).alias("below"), F.sum(F.col("n") * F.col("bin")).over(up).alias("mass"), F.sum("n").over(all_).alias("total"), F.sum(F.col("n") * F.col("bin")).over(all_).alias("all_mass"))
+    var = F.pow(F.col("all_mass").cast("double") * F.col("below") / F.col("total") - F.col("mass"), 2) / (F.col("below").cast("double") * (F.col("total") - F.col("below")))
+    return c.filter("below < total").withColumn("v", F.round(var, 6)).orderBy(F.desc("v"), "bin").limit(1).select("bin")
+
+
+@query(f"""WITH {RESIDUALS}, r AS (SELECT resid, row_number() OVER (ORDER BY resid) AS k, count(*) OVER () AS n FROM res)
+SELECT {", ".join(f"round(avg(CASE WHEN k <= {q} * n THEN resid END), 6) AS best{round(100 * q)}" for q in (0.25, 0.5, 0.75, 1.0))}, round(sqrt(avg(resid * resid)), 6) AS rmse FROM r""")
+def error_summary(spark, d):
+    # ranks by value counts: equal values are alike, so no row needs a place of its own
+    h = residuals(spark, d).groupBy("resid").agg(F.count("*").alias("c"))
+    w = Window.orderBy("resid")
+    h = h.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    out = []
+    for q in (0.25, 0.5, 0.75, 1.0):
+        most = F.floor(q * F.col("n"))
+        took = F.greatest(F.lit(0), F.least(F.col("c"), most - (F.col("upto") - F.col("c"))))
+        out.append((F.sum(took * F.col("resid")) / F.sum(took)).alias(f"best{round(100 * q)}"))
+    out.append(F.sqrt(F.sum(F.col("c") * F.col("resid") * F.col("resid")) / F.sum("c")).alias("rmse"))
+    return rounded(h.agg(*out), "best25", "best50", "best75", "best100", "rmse")
+
+
+@query("SELECT l_suppkey AS camera, count(*) FILTER (WHERE l_discount >= 0.05) / count(*)::DOUBLE AS valid_fraction, count(*) FILTER (WHERE l_discount = 0) AS invalid FROM lineitem GROUP BY 1")
+def coverage_fraction(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("camera")).agg((F.count_if(F.col("l_discount") >= 0.05) / F.count("*")).alias("valid_fraction"), F.count_if(F.col("l_discount") == 0).alias("invalid"))
+
+
+@query(f"""WITH {CLOUD} SELECT round(covar_pop(x, y), 4) AS xy, round(covar_pop(x, z), 4) AS xz, round(covar_pop(y, z), 4) AS yz, round(var_pop(x), 4) AS xx, round(var_pop(y), 4) AS yy, round(var_pop(z), 4) AS zz, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM cloud""")
+def plane_sums(spark, d):
+    p = cloud(spark, d)
+    out = p.agg(*(F.covar_pop(a, b).alias(a + b) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))), *(F.var_pop(a).alias(a + a) for a in "xyz"), *(F.avg(a).alias("c" + a) for a in "xyz"))
+    return rounded(rounded(out, "xy", "xz", "yz", "xx", "yy", "zz", digits=4), "cx", "cy", "cz")
+
+
+# --- joins ------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), v AS (SELECT user_id, ts, max(event_id) AS ref FROM events WHERE event_type <> 'click' GROUP BY ALL)
+SELECT c.event_id, b.ref AS before, f.ref AS after FROM c ASOF LEFT JOIN v b ON c.user_id = b.user_id AND c.ts >= b.ts ASOF LEFT JOIN v f ON c.user_id = f.user_id AND c.ts <= f.ts""")
+def time_brackets(spark, d):
+    f = frames(spark, d)
+    asked, ref = f.filter("sensor = 'click'").select("event_id", "user_id", "ts"), f.filter("sensor <> 'click'").select("user_id", "ts", F.col("event_id").alias("ref"))
+    out = joins.as_of(joins.as_of(asked, ref, ["user_id"], "ts", "ref", "before"), ref, ["user_id"], "ts", "ref", "after", forward=True)
+    return out.select("event_id", "before", "after")
+
+
+@query("SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey AND b.s_suppkey <= a.s_suppkey + 5")
+def image_pairs(spark, d):
+    return joins.band_pairs(table(spark, d, "supplier"), "s_suppkey", 5)
+
+
+_BOXES = "boxes AS (SELECT c_custkey AS id, c_acctbal AS x0, c_acctbal + 60 AS x1, c_nationkey * 10.0::DOUBLE AS y0, c_nationkey * 10.0::DOUBLE + 12 AS y1 FROM customer)"
+
+
+@query(f"WITH {_BOXES} SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def footprint_overlaps(spark, d):
+    boxes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x0"), (F.col("c_acctbal") + 60).alias("x1"), (F.col("c_nationkey") * 10.0).alias("y0"), (F.col("c_nationkey") * 10.0 + 12).alias("y1"))
+    return joins.box_overlaps(boxes, 60.0)
+
+
+@query("SELECT a.l_suppkey AS c1, b.l_suppkey AS c2, count(*) AS matches FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL")
+def track_pairs(spark, d):
+    obs = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    a, b = obs.select("l_orderkey", F.col("l_suppkey").alias("c1")), obs.select("l_orderkey", F.col("l_suppkey").alias("c2"))
+    return a.join(b, "l_orderkey").filter("c1 < c2").groupBy("c1", "c2").agg(F.count("*").alias("matches"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p_size < 10)")
+def inlier_matches(spark, d):
+    kept, out = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"), table(spark, d, "part").filter("p_size < 10")
+    t = table(spark, d, "lineitem")
+    return t.join(kept, t["l_orderkey"] == kept["o_orderkey"], "left_semi").join(out, t["l_partkey"] == out["p_partkey"], "left_anti").select("l_orderkey", "l_linenumber")
+
+
+# --- neighbourhoods ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {RASTER}, s AS (SELECT a.col, a."row", list_sort(list(b.v)) AS s FROM raster a JOIN raster b ON abs(a.col - b.col) <= 1 AND abs(a."row" - b."row") <= 1 WHERE b.v IS NOT NULL GROUP BY ALL)
+SELECT raster.col, raster."row", CASE WHEN len(s) >= 3 THEN s[len(s) // 2 + 1] END AS median FROM raster LEFT JOIN s ON raster.col = s.col AND raster."row" = s."row" """)
+def median_filter(spark, d):
+    return neighbourhood.median_filter(raster(spark, d), 1, 3)
+
+
+@query(f"""WITH {RASTER} SELECT a.col, a."row", a.v FROM raster a WHERE v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raster b WHERE b.v IS NULL AND abs(a.col - b.col) <= 1 AND abs(a."row" - b."row") <= 1)""")
+def erosion(spark, d):
+    return neighbourhood.erode(raster(spark, d), 1)
+
+
+@query(f"""WITH {RASTER} SELECT DISTINCT col + dx AS col, "row" + dy AS "row" FROM raster, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE v IS NOT NULL AND dx * dx + dy * dy <= 4""")
+def mask_dilation(spark, d):
+    return neighbourhood.dilate(raster(spark, d), 2)
+
+
+@query(f"""WITH {RASTER}, v AS (SELECT * FROM raster WHERE v IS NOT NULL) SELECT col, "row", v, (1 + least(col - min(col) OVER (PARTITION BY "row"), max(col) OVER (PARTITION BY "row") - col, "row" - min("row") OVER (PARTITION BY col), max("row") OVER (PARTITION BY col) - "row"))::DOUBLE AS weight FROM v""")
+def centreline_weights(spark, d):
+    return neighbourhood.centreline_weight(raster(spark, d))
+
+
+@query(f"""WITH {RASTER}, v AS (SELECT * FROM raster WHERE v IS NOT NULL) SELECT a.col, a."row", round(degrees(atan(sqrt(pow((e.v - w.v) / 200, 2) + pow((n.v - s.v) / 200, 2)))), 6) AS slope,
+round(degrees(atan2((n.v - s.v) / 200, (e.v - w.v) / 200)), 6) AS aspect FROM v a JOIN v w ON w.col = a.col - 1 AND w."row" = a."row" JOIN v e ON e.col = a.col + 1 AND e."row" = a."row" JOIN v n ON n.col = a.col AND n."row" = a."row" - 1 JOIN v s ON s.col = a.col AND s."row" = a."row" + 1""")
+def slope_aspect(spark, d):
+    return rounded(neighbourhood.slope_aspect(raster(spark, d), 100.0), "slope", "aspect")
+
+
+@query(f"""WITH {RASTER} SELECT col, "row", round(avg(v) OVER (PARTITION BY col ORDER BY "row" RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS average FROM raster""")
+def moving_average(spark, d):
+    return rounded(neighbourhood.moving_average(raster(spark, d), ["col"], "row", "v", 2).select("col", "row", "average"), "average")
+
+
+# --- tracks, sets, order ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000000 + o_orderkey % 1000 AS b FROM orders WHERE o_totalprice > 300000),
+n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, track) AS (SELECT x, x FROM n UNION SELECT n.y, r.track FROM r JOIN n ON n.x = r.node AND r.track < n.y)
+SELECT node, min(track) AS track FROM r GROUP BY node""")
+def match_tracks(spark, d):
+    links = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("a"), (F.lit(1000000000) + F.col("o_orderkey") % 1000).alias("b"))
+    return tracks.tracks(links)
+
+
+@query("SELECT k AS length, count(*) AS tracks FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_suppkey) AND count(*) >= 2) GROUP BY k")
+def track_lengths(spark, d):
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("length"), F.count("*").alias("n"))
+    return t.filter("n = length AND n >= 2").groupBy("length").agg(F.count("*").alias("tracks"))
+
+
+@query("SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM (SELECT l_suppkey AS a, l_partkey % 100 + 1 AS b FROM lineitem UNION ALL SELECT l_partkey % 100 + 1, l_suppkey FROM lineitem) WHERE a <> b")
+def pair_closure(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b"))
+    both = t.unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def unseen_cameras(spark, d):
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+
+
+@query("SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events")
+def consecutive_frames(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return frames(spark, d).select("user_id", "event_id", F.lead("event_id").over(w).alias("next_id"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type AS sensor, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def frames_per_hour(spark, d):
+    out = frames(spark, d).groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "sensor").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rounded(out, "total", digits=4)
