@@ -17,6 +17,7 @@ machine hasn't seen. The only bound is that on the labelled rows used for fittin
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -280,8 +281,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * rows lines
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "toxic")
     found = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * rows)
-    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in found.collect()), key=lambda r: (r[0], r[1]))
-    return fit([r[1] for r in got], [r[2] for r in got])
+    rows_ = found.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = fit([r[1] for r in got], [r[2] for r in got])
+        used = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((used, model.weights[used], model.bias, model.coefficients, model.constant))], pa.binary())], names=["model"])
+
+    # one task fits the bounded sample: an executor has more room than the driver
+    used, values, bias, coefficients, constant = pickle.loads(rows_.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    weights = np.zeros(1 << TABLE_BITS)
+    weights[used] = values
+    return ToxicityModel(weights, bias, coefficients, constant)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
