@@ -25,9 +25,9 @@ from terraloom.llm.sortedarrays import ROWS, Combiner, SortedArrays, count_batch
 
 END = np.int64(0x5EED_0F_7E_27)  # stands for the end of a text beside the hashes of words
 SMOOTHING = 0.1
-BATCH_BYTES = 4 << 20
-KEPT_TOKENS = 4_000_000
-BYTES_A_SHARD = 48 << 20
+BATCH_BYTES = 2 << 20
+KEPT_TOKENS = 2_000_000
+BYTES_A_SHARD = 16 << 20
 MOST_SHARDS = 4096
 
 
