@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import crc32_of, mix64, table
 
-TRAIN_ROWS = 2_000
+TRAIN_ROWS = 1_500
 LANDMARKS, CLEAN_LANDMARKS = 128, 32
 SPAN, DECAY = 6, 0.7
 TABLE_BITS = 20
@@ -220,7 +220,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> ToxicityModel:
     for i in order.tolist():  # each class by turns
         (learn if ranks[labels[i]] % 3 < 2 else check).append(i)
         ranks[labels[i]] += 1
-    sentences = [[list({plain(w) for w in words_of(s)} - {""}) for s in SENTENCE.split(texts[i])] for i in learn]
+    one: dict[str, str] = {}  # equal words are one object
+    sentences = [[[one.setdefault(w, w) for w in {plain(w) for w in words_of(s)} - {""}] for s in SENTENCE.split(texts[i])] for i in learn]
     y = np.array([labels[i] for i in learn])
     seen = [Counter(), Counter()]
     for bags, label in zip(sentences, y, strict=True):
@@ -240,7 +241,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> ToxicityModel:
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     words = sorted(set(seen[0]) | set(seen[1]))
     number = {w: i for i, w in enumerate(words)}
-    mapped = kernel(words, landmarks) @ root.astype(np.float32)
+    mapped = np.empty((len(words), len(landmarks)), np.float32)
+    for at in range(0, len(words), 20_000):
+        mapped[at : at + 20_000] = kernel(words[at : at + 20_000], landmarks) @ root.astype(np.float32)
     bags = [[np.array([number[w] for w in bag]) for bag in doc if bag] for doc in sentences]
     told = {number[w]: float(np.sqrt(seen[1][w])) for w in telling}
     decision = np.array([odds.get(w, -1.0) for w in words])
