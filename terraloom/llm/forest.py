@@ -5,9 +5,10 @@
    the first LEAST_DEPTH must agree for two classes to be candidates, the others (DEEPER, a byte each) refine the order,
    so that in a crowded region a class's neighbours are those with the longest common prefix: depth adapts to the region.
    The orders are range-partitioned, so a crowded region spreads over tasks.
-3. Neighbours are candidates. In rounds, each class has its best untested candidates of other components confirmed on
-   full sets (64-bit hashes of all shingles), until none is left; so a large group of near copies costs about one
-   confirmation for each member, not one for each pair.
+3. Neighbours whose signatures agree in LEAST_AGREED values are candidates. In rounds, each class has its best untested
+   candidates of other components confirmed on full sets (64-bit hashes of all shingles), until none is left; so a large
+   group of near copies costs about one confirmation for each member, not one for each pair. Each round's links join the
+   components of the round before, so its search for components is on these alone.
 4. Once groups are known, a last search looks further along the orders for neighbours of other components.
 
 Two sets with a similarity of 0.75 share the first LEAST_DEPTH = 4 values of a tree with probability 0.32, of none of 36
@@ -33,7 +34,7 @@ PERCENT = 75
 SIGNATURE, TREES, LEAST_DEPTH, DEEPER = 128, 36, 4, 8
 #: Neighbours to either side in the first search and in the last.
 NEAR, FAR = 2, 16
-#: Signature values of 128 that must agree for a candidate of the last search: at 0.75, 96 do on average, fewer than 72 once in 2 million times.
+#: Signature values of 128 that must agree for a candidate: at 0.75, 96 do on average, fewer than 72 once in 2 million times.
 LEAST_AGREED = 72
 #: Candidates of a class confirmed in each round; None: all.
 ROUNDS = (1, 6, None)
@@ -110,7 +111,7 @@ def neighbours(rows: DataFrame, reach: int, agreed: int = 0) -> DataFrame:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
-                brief = [r.tobytes() for r in (mix64(values) & np.uint64(255)).astype(np.uint8)] if agreed else [b""] * len(values)
+                brief = [r.tobytes() for r in brief_of(part.column(1))] if agreed else [b""] * len(values)
                 for t in range(TREES):
                     region = np.full(len(values), t + 1, np.uint64)
                     for k in _ORDERS[t, :LEAST_DEPTH]:
@@ -147,37 +148,61 @@ def neighbours(rows: DataFrame, reach: int, agreed: int = 0) -> DataFrame:
     return ordered.mapInArrow(look, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def brief_of(signatures: pa.Array) -> np.ndarray:
+    """A byte of each signature value, a row for each signature."""
+    values = np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+    return (mix64(values) & np.uint64(255)).astype(np.uint8)
+
+
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs(a, b, n) whose signatures agree in LEAST_AGREED values at least."""
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in brief_of(batch.column(1))], pa.binary())], names=["class", "brief"])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in (3, 4))
+            near = pa.array((left == right).sum(axis=1) >= LEAST_AGREED)
+            yield batch.select(["a", "b", "n"]).filter(near)
+
+    short = nodes.select("class", "signature").mapInArrow(shorten, "class long, brief binary")
+    left, right = (short.select(F.col("class").alias(k), F.col("brief").alias(f"brief_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "brief_a", "brief_b").mapInArrow(hold, "a long, b long, n long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b), sets(class, shingles) -> a, b, linked: whether their whole sets are similar enough."""
-    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class"))
+    """pairs(a, b, ca, cb), sets(class, shingles) -> a, b: components ca and cb of the pairs whose whole sets are similar enough."""
+    both = pairs.select("a", "b", "ca", "cb", F.explode(F.array("a", "b")).alias("class"))
     if both.count() <= BROADCAST_ROWS:
         both = F.broadcast(both)
-    joined = sets.join(both, "class").select("a", "b", "shingles")
+    joined = sets.join(both, "class").select("a", "b", "ca", "cb", "shingles")
     joined = joined.repartition("a", "b").sortWithinPartitions("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             out = []
-            for a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for a, b, ca, cb, s in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 if last is not None and last[:2] == (a, b):
                     both_ = len(np.intersect1d(last[2], s, assume_unique=True))
-                    out.append((a, b, 100 * both_ >= PERCENT * (len(s) + len(last[2]) - both_)))
+                    if 100 * both_ >= PERCENT * (len(s) + len(last[2]) - both_):
+                        out.append((ca, cb))
                     last = None
                 else:
                     last = a, b, s.copy()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return materialize(joined.mapInArrow(run, "a long, b long, linked boolean"), "forest-confirmed")
+    return materialize(joined.mapInArrow(run, "a long, b long"), "forest-confirmed")
 
 
-def with_components(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """rows(class, ..., component) with components by all links(a, b) between classes."""
+def merge_components(where: DataFrame, links: DataFrame) -> DataFrame:
+    """where(class, component) after links(a, b) between components: only what is new is searched, on components, not on classes."""
     found = components(links)
-    out = rows.drop("component").join(found, rows["class"] == found["node"], "left").drop("node")
-    return materialize(out.withColumn("component", F.coalesce("component", "class")), name)
+    out = where.join(found, where["component"] == found["node"], "left").select("class", F.coalesce(found["component"], where["component"]).alias("component"))
+    return materialize(out, "forest-where")
 
 
 def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
@@ -186,35 +211,43 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     order = Window.partitionBy("class").orderBy("doc_id")
     classes = described.filter(F.col("class").isNotNull()).withColumn("r", F.row_number().over(order)).filter("r = 1")
     classes = materialize(classes.select("class", "doc_id", "signature"), "forest-classes")
-    pairs = materialize(neighbours(classes.withColumn("component", F.col("class")), NEAR), "forest-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    nodes = materialize(classes.join(involved, "class").withColumn("component", F.col("class")), "forest-nodes")
+    found = materialize(neighbours(classes.withColumn("component", F.col("class")), NEAR), "forest-found")
+    pairs = materialize(alike(found, classes), "forest-pairs")
+    involved = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    nodes = materialize(classes.join(involved, "class"), "forest-nodes")
     sets = materialize(_sets(docs, nodes.select("class", "doc_id")), "forest-sets")
-    tested = None
-    links = spark.createDataFrame([], "a long, b long")
-
-    def open_pairs(pairs: DataFrame) -> DataFrame:
-        left, right = nodes.select(F.col("class").alias("a"), F.col("component").alias("ca")), nodes.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-        out = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select("a", "b", "n")
-        return out if tested is None else out.join(tested, ["a", "b"], "left_anti")
-
-    for turn, most in enumerate((*ROUNDS, None)):
-        if turn == len(ROUNDS):  # the last, wider search, among the components known by now
-            pairs = materialize(neighbours(nodes, FAR, LEAST_AGREED), "forest-far")
-        todo = open_pairs(pairs)
-        if most is not None:
-            sides = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    where = nodes.select("class", F.col("class").alias("component"))
+    pairs = pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    tested = spark.createDataFrame([], "a long, b long")
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Pairs of different components, with these."""
+        left, right = (where.select(F.col("class").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+        return pairs.select("a", "b", "n").join(left, "a").join(right, "b").filter("ca <> cb")
+
+    for most in ROUNDS:
+        if most is not None:  # best candidates of each class first; the others wait
+            sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("cb").alias("ca"), F.col("ca").alias("cb")))
             best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-            todo = sides.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        todo = materialize(todo.select("a", "b"), "forest-todo")
-        done = confirm(todo, sets)
-        found = done.filter("linked").select("a", "b")
-        tested = todo if tested is None else tested.unionByName(todo)
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        nodes = with_components(nodes, links, "forest-nodes")
-    return nodes.filter("class <> component").select("class", "component").unionByName(nodes.filter("class <> component").select(F.col("component").alias("class"), "component").distinct())
+            ranked = sides.withColumn("r", F.row_number().over(best)).withColumn("own", F.col("a") < F.col("b"))
+            place = F.struct("ca", "cb", "n")
+            pairs = ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.when(F.col("own"), place)).alias("x"), (F.min("r") <= most).alias("now")).select("a", "b", "x.*", "now")
+        else:
+            pairs = pairs.withColumn("now", F.lit(True))
+        pairs = materialize(pairs, "forest-todo")
+        todo = pairs.filter("now")
+        links = confirm(todo, sets)
+        tested = tested.unionByName(todo.select("a", "b"))
+        if not links.isEmpty():
+            where = merge_components(where, links)
+        pairs = between(pairs.filter("NOT now"))
+    # the last, wider search, among the components known by now
+    far = materialize(neighbours(nodes.join(where, "class"), FAR, LEAST_AGREED), "forest-far")
+    todo = materialize(between(far).join(tested, ["a", "b"], "left_anti"), "forest-todo")
+    links = confirm(todo, sets)
+    if not links.isEmpty():
+        where = merge_components(where, links)
+    return where.filter("class <> component").unionByName(where.filter("class <> component").select(F.col("component").alias("class"), "component").distinct())
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
