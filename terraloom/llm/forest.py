@@ -5,7 +5,7 @@
    the first LEAST_DEPTH must agree for two classes to be candidates, the others (DEEPER, a byte each) refine the order,
    so that in a crowded region a class's neighbours are those with the longest common prefix: depth adapts to the region.
    The orders are range-partitioned, so a crowded region spreads over tasks.
-3. Neighbours whose signatures agree in LEAST_AGREED values are candidates. In rounds, each class has its best untested
+3. Neighbours whose set sizes fit and whose signatures agree in LEAST_AGREED values are candidates. In rounds, each class has its best untested
    candidates of other components confirmed on full sets (64-bit hashes of all shingles), until none is left; so a large
    group of near copies costs about one confirmation for each member, not one for each pair. Each round's links join the
    components of the round before, so its search for components is on these alone.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -154,11 +154,16 @@ def brief_of(signatures: pa.Array) -> np.ndarray:
     return (mix64(values) & np.uint64(255)).astype(np.uint8)
 
 
+def _sizes_fit() -> Column:
+    """Whether sets of size_a and size_b can be similar enough at all: the intersection is at most the smaller, the union at least the larger."""
+    return 100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b")
+
+
 def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those pairs(a, b, n) whose signatures agree in LEAST_AGREED values at least."""
+    """Those pairs(a, b, n) whose sizes fit and whose signatures agree in LEAST_AGREED values at least."""
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in brief_of(batch.column(1))], pa.binary())], names=["class", "brief"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in brief_of(batch.column(1))], pa.binary())], names=["class", "size", "brief"])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +171,9 @@ def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             near = pa.array((left == right).sum(axis=1) >= LEAST_AGREED)
             yield batch.select(["a", "b", "n"]).filter(near)
 
-    short = nodes.select("class", "signature").mapInArrow(shorten, "class long, brief binary")
-    left, right = (short.select(F.col("class").alias(k), F.col("brief").alias(f"brief_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "brief_a", "brief_b").mapInArrow(hold, "a long, b long, n long")
+    short = nodes.select("class", "signature", "size").mapInArrow(shorten, "class long, size long, brief binary")
+    left, right = (short.select(F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("brief").alias(f"brief_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(_sizes_fit()).select("a", "b", "n", "brief_a", "brief_b").mapInArrow(hold, "a long, b long, n long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,9 +204,9 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def merge_components(where: DataFrame, links: DataFrame) -> DataFrame:
-    """where(class, component) after links(a, b) between components: only what is new is searched, on components, not on classes."""
+    """where(class, size, component) after links(a, b) between components: only what is new is searched, on components, not on classes."""
     found = components(links)
-    out = where.join(found, where["component"] == found["node"], "left").select("class", F.coalesce(found["component"], where["component"]).alias("component"))
+    out = where.join(found, where["component"] == found["node"], "left").select("class", "size", F.coalesce(found["component"], where["component"]).alias("component"))
     return materialize(out, "forest-where")
 
 
@@ -210,20 +215,20 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     order = Window.partitionBy("class").orderBy("doc_id")
     classes = described.filter(F.col("class").isNotNull()).withColumn("r", F.row_number().over(order)).filter("r = 1")
-    classes = materialize(classes.select("class", "doc_id", "signature"), "forest-classes")
+    classes = materialize(classes.select("class", "doc_id", F.col("n_shingles").alias("size"), "signature"), "forest-classes")
     found = materialize(neighbours(classes.withColumn("component", F.col("class")), NEAR), "forest-found")
     pairs = materialize(alike(found, classes), "forest-pairs")
     involved = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     nodes = materialize(classes.join(involved, "class"), "forest-nodes")
     sets = materialize(_sets(docs, nodes.select("class", "doc_id")), "forest-sets")
-    where = nodes.select("class", F.col("class").alias("component"))
+    where = nodes.select("class", "size", F.col("class").alias("component"))
     pairs = pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
     tested = spark.createDataFrame([], "a long, b long")
 
     def between(pairs: DataFrame) -> DataFrame:
-        """Pairs of different components, with these."""
-        left, right = (where.select(F.col("class").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-        return pairs.select("a", "b", "n").join(left, "a").join(right, "b").filter("ca <> cb")
+        """Pairs of different components whose sizes fit, with their components."""
+        left, right = (where.select(F.col("class").alias(k), F.col("component").alias(f"c{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+        return pairs.select("a", "b", "n").join(left, "a").join(right, "b").filter("ca <> cb").filter(_sizes_fit()).drop("size_a", "size_b")
 
     for most in ROUNDS:
         if most is not None:  # best candidates of each class first; the others wait
@@ -242,11 +247,12 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
             where = merge_components(where, links)
         pairs = between(pairs.filter("NOT now"))
     # the last, wider search, among the components known by now
-    far = materialize(neighbours(nodes.join(where, "class"), FAR, LEAST_AGREED), "forest-far")
+    far = materialize(neighbours(nodes.join(where.select("class", "component"), "class"), FAR, LEAST_AGREED), "forest-far")
     todo = materialize(between(far).join(tested, ["a", "b"], "left_anti"), "forest-todo")
     links = confirm(todo, sets)
     if not links.isEmpty():
         where = merge_components(where, links)
+    where = where.select("class", "component")
     return where.filter("class <> component").unionByName(where.filter("class <> component").select(F.col("component").alias("class"), "component").distinct())
 
 
