@@ -9,10 +9,13 @@
    candidates of other components confirmed on full sets (64-bit hashes of all shingles), until none is left; so a large
    group of near copies costs about one confirmation for each member, not one for each pair. Each round's links join the
    components of the round before, so its search for components is on these alone.
-4. Once groups are known, a last search looks further along the orders for neighbours of other components.
+4. Once groups are known, all classes of a region (equal first values) that are of different components are compared,
+   however many there are: a crowded region is cut into blocks, and each pair of blocks is a group of rows that finds the
+   candidates by signature, then confirms them on full sets in place. So no row is made for a pair, and a pair that
+   several trees bring together is compared in the first of them only.
 
 Two sets with a similarity of 0.75 share the first LEAST_DEPTH = 4 values of a tree with probability 0.32, of none of 36
-trees with about 1e-6.
+trees with about 1e-6; step 4 misses no other pair but those that the signatures' filter loses.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SIGNATURE, TREES, LEAST_DEPTH, DEEPER = 128, 36, 4, 8
-#: Neighbours to either side in the first search and in the last.
-NEAR, FAR = 2, 16
+#: Neighbours to either side in the first search.
+NEAR = 2
+#: Classes of a block of a region, and bytes of their sets; both on average.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Signature values of 128 that must agree for a candidate: at 0.75, 96 do on average, fewer than 72 once in 2 million times.
 LEAST_AGREED = 72
-#: Candidates of a class confirmed in each round; None: all.
-ROUNDS = (1, 6, None)
+#: Candidates of a class confirmed in each round; the comparison of whole regions covers the others.
+ROUNDS = (1, 6)
 #: Up to so many candidate rows are sent to every task; beyond, sets are joined by shuffling them.
 BROADCAST_ROWS = 500_000
 BATCH_BYTES = 1 << 20
@@ -101,49 +106,42 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, signature binary")
 
 
-def neighbours(rows: DataFrame, reach: int, agreed: int = 0) -> DataFrame:
-    """rows(class, signature, component) -> a, b, n: pairs within `reach` places of each other in n trees' orders, of different components.
+def region_of(values: np.ndarray, tree: int) -> np.ndarray:
+    """Hash of a tree's first values, for signatures as rows of 64-bit integers."""
+    region = np.full(len(values), tree + 1, np.uint64)
+    for k in _ORDERS[tree, :LEAST_DEPTH]:
+        region = mix64(region * np.uint64(0x100000001B3) + values[:, k])
+    return region
 
-    With agreed, only pairs with as many equal signature values (a byte of each travels with the rows).
-    """
+
+def neighbours(rows: DataFrame, reach: int) -> DataFrame:
+    """rows(class, signature) -> a, b, n: pairs within `reach` places of each other in n trees' orders."""
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
-                brief = [r.tobytes() for r in brief_of(part.column(1))] if agreed else [b""] * len(values)
                 for t in range(TREES):
-                    region = np.full(len(values), t + 1, np.uint64)
-                    for k in _ORDERS[t, :LEAST_DEPTH]:
-                        region = mix64(region * np.uint64(0x100000001B3) + values[:, k])
                     deep = np.zeros(len(values), np.uint64)
                     for k in _ORDERS[t, LEAST_DEPTH:]:
                         deep = (deep << np.uint64(8)) | (mix64(values[:, k]) & np.uint64(255))
-                    yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int64)), pa.array(deep.astype(np.int64)), part.column(0), part.column(2), pa.array(brief, pa.binary())], names=["region", "deep", "class", "component", "brief"])
+                    yield pa.RecordBatch.from_arrays([pa.array(region_of(values, t).astype(np.int64)), pa.array(deep.astype(np.int64)), part.column(0)], names=["region", "deep", "class"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 3
-        old: list[bytes] = []
+        kept = [np.zeros(0, np.int64)] * 2
         for batch in batches:
-            region, own, component = (np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, (0, 2, 3), strict=True))
+            region, own = (np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, (0, 2), strict=True))
             fresh = len(kept[0])
-            if agreed:
-                briefs = old + batch.column(4).to_pylist()
-                old = briefs[-reach:]
-                values = np.frombuffer(b"".join(briefs), np.uint8).reshape(-1, SIGNATURE)
             out_a, out_b = [], []
             for k in range(1, reach + 1):
                 left, right = np.arange(max(fresh - k, 0), len(region) - k), np.arange(max(fresh, k), len(region))
-                hit = (region[left] == region[right]) & (component[left] != component[right])
-                if agreed:
-                    hit = np.flatnonzero(hit)
-                    hit = hit[(values[left[hit]] == values[right[hit]]).sum(axis=1) >= agreed]
+                hit = region[left] == region[right]
                 out_a.append(np.minimum(own[left[hit]], own[right[hit]]))
                 out_b.append(np.maximum(own[left[hit]], own[right[hit]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-            kept = [x[-reach:] for x in (region, own, component)]
+            kept = [x[-reach:] for x in (region, own)]
 
-    planted = rows.select("class", "signature", "component").mapInArrow(plant, "region long, deep long, class long, component long, brief binary")
+    planted = rows.select("class", "signature").mapInArrow(plant, "region long, deep long, class long")
     ordered = planted.repartitionByRange("region", "deep", "class").sortWithinPartitions("region", "deep", "class")
     return ordered.mapInArrow(look, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -203,6 +201,111 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(run, "a long, b long"), "forest-confirmed")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each (region, i, j) of sorted batches, of groups with several components."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
+        for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
+            if held and (keys[a] != last).any():
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _close(group: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """A row of a group and the later ones that may be linked to it, for all rows with any."""
+    i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+    tree = group.column(4)[0].as_py()
+    own, component, size = (group.column(c).to_numpy() for c in (3, 6, 7))
+    if component.min() == component.max():
+        return
+    marks = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(len(own), -1)
+    brief, regions = marks[:, :SIGNATURE], np.ascontiguousarray(marks[:, SIGNATURE:]).view(np.uint32)
+    for k in range(len(own) - 1):
+        hit = component[k + 1 :] != component[k]
+        hit &= 100 * np.minimum(size[k], size[k + 1 :]) >= PERCENT * np.maximum(size[k], size[k + 1 :])
+        if i != j:
+            hit &= own[k + 1 :] != own[k]
+        right = k + 1 + np.flatnonzero(hit)
+        right = right[(brief[right] == brief[k]).sum(axis=1) >= LEAST_AGREED]
+        right = right[~(regions[right, :tree] == regions[k, :tree]).any(axis=1)]  # met in an earlier tree
+        if len(right):
+            yield k, right
+
+
+def region_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(class, signature, size, component), sets(class, shingles) -> a, b: links that join all components with a link in some region."""
+    def plant(marked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2_000):
+                    part = batch.slice(at, 2_000)
+                    values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
+                    regions = np.stack([region_of(values, t) for t in range(TREES)], axis=1)
+                    marks = [b""] * len(values)
+                    if marked:  # a byte of each signature value, 32 bits of each tree's region
+                        marks = [m.tobytes() for m in np.hstack([brief_of(part.column(1)), np.ascontiguousarray(regions.astype(np.uint32)).view(np.uint8)])]
+                    for t in range(TREES):
+                        yield pa.RecordBatch.from_arrays([pa.array(regions[:, t].astype(np.int64)), pa.array(np.full(len(values), t), pa.int32()), part.column(0), part.column(3), part.column(2), pa.array(marks, pa.binary())], names=["region", "tree", "class", "component", "size", "marks"])
+
+        return run
+
+    rows = rows.select("class", "signature", "size", "component")
+    kind = "region long, tree int, class long, component long, size long, marks binary"
+    regions = rows.mapInArrow(plant(False), kind).groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min("component").alias("least"), F.max("component").alias("most"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("sizes") * 8 / BLOCK_BYTES)).cast("int")
+    regions = materialize(regions.filter("least < most").select("region", parts.alias("parts")), "forest-regions")
+    if regions.count() <= BROADCAST_ROWS:
+        regions = F.broadcast(regions)
+    dealt = rows.mapInArrow(plant(True), kind).join(regions, "region").withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["region", "i", "j"]
+    dealt = dealt.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tree", "class", "component", "size", "marks")
+
+    def doubt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            met = np.zeros(group.num_rows, bool)
+            for k, right in _close(group):
+                met[k] = met[right] = True
+            if met.any():
+                yield group.filter(pa.array(met))
+
+    doubtful = materialize(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(doubt, dealt.schema), "forest-doubtful")
+    few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_ROWS // 5 else doubtful
+    joined = sets.join(few, "class").select(*doubtful.columns, "shingles").repartition(*keys).sortWithinPartitions(*keys)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            component, size = (group.column(c).to_numpy() for c in (6, 7))
+            stop = np.cumsum(size)
+            number = np.unique(np.frombuffer(b"".join(group.column(9).to_pylist()), np.uint64), return_inverse=True)[1]
+            root = np.unique(component, return_inverse=True)[1]
+            here = np.zeros(number.max() + 1, np.int64)
+            out = []
+            for k, right in _close(group):
+                right = right[root[right] != root[k]]
+                if not len(right):
+                    continue
+                own = number[stop[k] - size[k] : stop[k]]
+                here[own] = 1
+                both = np.add.reduceat(here[np.concatenate([number[stop[r] - size[r] : stop[r]] for r in right])], np.cumsum(size[right]) - size[right])
+                here[own] = 0
+                for r in right[100 * both >= PERCENT * (size[k] + size[right] - both)]:
+                    if root[r] != root[k]:
+                        root[root == root[r]] = root[k]
+                        out.append((component[k], component[r]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return materialize(joined.mapInArrow(link, "a long, b long"), "forest-linked-regions")
+
+
 def merge_components(where: DataFrame, links: DataFrame) -> DataFrame:
     """where(class, size, component) after links(a, b) between components: only what is new is searched, on components, not on classes."""
     found = components(links)
@@ -212,18 +315,16 @@ def merge_components(where: DataFrame, links: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     """class, component for every class of at least two that are linked."""
-    spark = docs.sparkSession
     order = Window.partitionBy("class").orderBy("doc_id")
     classes = described.filter(F.col("class").isNotNull()).withColumn("r", F.row_number().over(order)).filter("r = 1")
     classes = materialize(classes.select("class", "doc_id", F.col("n_shingles").alias("size"), "signature"), "forest-classes")
-    found = materialize(neighbours(classes.withColumn("component", F.col("class")), NEAR), "forest-found")
+    found = materialize(neighbours(classes, NEAR), "forest-found")
     pairs = materialize(alike(found, classes), "forest-pairs")
     involved = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     nodes = materialize(classes.join(involved, "class"), "forest-nodes")
     sets = materialize(_sets(docs, nodes.select("class", "doc_id")), "forest-sets")
     where = nodes.select("class", "size", F.col("class").alias("component"))
     pairs = pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
-    tested = spark.createDataFrame([], "a long, b long")
 
     def between(pairs: DataFrame) -> DataFrame:
         """Pairs of different components whose sizes fit, with their components."""
@@ -231,25 +332,19 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
         return pairs.select("a", "b", "n").join(left, "a").join(right, "b").filter("ca <> cb").filter(_sizes_fit()).drop("size_a", "size_b")
 
     for most in ROUNDS:
-        if most is not None:  # best candidates of each class first; the others wait
-            sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-            best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-            ranked = sides.withColumn("r", F.row_number().over(best)).withColumn("own", F.col("a") < F.col("b"))
-            place = F.struct("ca", "cb", "n")
-            pairs = ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.when(F.col("own"), place)).alias("x"), (F.min("r") <= most).alias("now")).select("a", "b", "x.*", "now")
-        else:
-            pairs = pairs.withColumn("now", F.lit(True))
+        # best candidates of each class first; the others wait
+        sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+        best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+        ranked = sides.withColumn("r", F.row_number().over(best)).withColumn("own", F.col("a") < F.col("b"))
+        place = F.struct("ca", "cb", "n")
+        pairs = ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.when(F.col("own"), place)).alias("x"), (F.min("r") <= most).alias("now")).select("a", "b", "x.*", "now")
         pairs = materialize(pairs, "forest-todo")
         todo = pairs.filter("now")
         links = confirm(todo, sets)
-        tested = tested.unionByName(todo.select("a", "b"))
         if not links.isEmpty():
             where = merge_components(where, links)
         pairs = between(pairs.filter("NOT now"))
-    # the last, wider search, among the components known by now
-    far = materialize(neighbours(nodes.join(where.select("class", "component"), "class"), FAR, LEAST_AGREED), "forest-far")
-    todo = materialize(between(far).join(tested, ["a", "b"], "left_anti"), "forest-todo")
-    links = confirm(todo, sets)
+    links = region_links(nodes.select("class", "signature").join(where, "class"), sets)
     if not links.isEmpty():
         where = merge_components(where, links)
     where = where.select("class", "component")

@@ -177,6 +177,15 @@ def test_near_duplicates(docs, none):
     assert forest.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_a_crowded_region(spark, monkeypatch):
+    # 140 shared and 30 other shingles a document: 140 / 200 in common; pairs share 6 of the others: 146 / 194
+    template = " ".join(f"t{i}" for i in range(144))
+    rows = [(2 * i + side, " ".join([template, *(f"p{i}x{k}" for k in range(6)), *(f"d{i}x{side}x{k}" for k in range(24))])) for i in range(800) for side in (0, 1)]
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 100)  # several blocks a region
+    for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r["n_shingles"], r["component_id"]) == (170, r["doc_id"] // 2 * 2)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for trial in range(60):
