@@ -7,13 +7,16 @@ as one stretch.
 1. Count anchors; those that occur once can't repeat. Counts are sorted arrays in the shared folder, memory-mapped.
 2. Stretches of the other anchors, as (anchor, hash of the stretch, place). Equal stretches are one from there on: all but
    the first go whole.
-3. Where an anchor has several stretches, one text of each is fetched, and shards of them are sorted by external induced
-   sorting (induced.py), with disk-backed queues beyond a share of memory. Neighbours in suffix order that share `length`
-   bytes form groups; all of a group but the first in document order are repeats.
-4. Covered bytes are merged for each document.
-
-A hot anchor costs a row for each different stretch around it, and a hot stretch a row for each occurrence, joined by
-a skew-proof sort-merge join; texts are fetched once for each different stretch.
+3. Where an anchor has several stretches, one text of each is fetched, and shards of about SORT_BYTES of them are sorted
+   in memory by induced sorting (induced.py; its queues would go to disk beyond a budget that such shards don't reach).
+   Neighbours in suffix order that share `length` bytes form groups; all of a group but the first in document order are
+   repeats.
+4. The stretches of an anchor with more than SORT_BYTES of them aren't sorted: each of their strings becomes a row with
+   128 bits of hash, and all of equal hash but the first are repeats.
+5. Covered bytes are merged for each document.
+
+A hot anchor costs a row for each string of its different stretches, and a hot stretch or string a row for each
+occurrence, joined by a skew-proof sort-merge join; texts are fetched once for each different stretch.
 """
 
 from __future__ import annotations
@@ -153,17 +156,53 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     doubtful = materialize(doubtful, "doubtful-stretches")
     repeats = rows.join(firsts.select("anchor", "stretch", "first"), ["anchor", "stretch"]).filter(F.struct("doc", "tag", "start") != F.col("first"))
     spans = repeats.select("doc", "tag", "start", (F.col("start") + F.col("run") + (length - 1)).alias("end"))
-    spans = spans.unionByName(_sorted_repeats(docs, doubtful, length))
+    sizes = doubtful.groupBy("anchor").agg(F.sum(F.col("run") + (length - 1)).alias("bytes"))
+    hot = F.broadcast(materialize(sizes.filter(F.col("bytes") > SORT_BYTES).select("anchor"), "hot-anchors"))
+    spans = spans.unionByName(_sorted_repeats(docs, doubtful.join(hot, "anchor", "left_anti"), length))
+    spans = spans.unionByName(_hashed_repeats(docs, doubtful.join(hot, "anchor", "left_semi"), length))
     return _merged(spans, fields)
 
 
+def _parts(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
+    """anchor, doc, tag, start, part (its bytes) of each stretch."""
+    texts = docs.join(doubtful, (docs["doc"] == doubtful["fdoc"]) & (docs["tag"] == doubtful["ftag"]))
+    return texts.select("anchor", "doc", "tag", "start", F.expr(f"substring(raw, start + 1, run + {length - 1})").alias("part"))
+
+
+def _hashed_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
+    """Repeats among different stretches of hot anchors, by hashes of each string: doc, tag, start, end."""
+    kind = T.StructType([docs.schema["doc"], docs.schema["tag"], T.StructField("start", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(4).to_pylist()
+            for a, b in batched([parts], BATCH_BYTES):
+                data = np.frombuffer(b"".join(parts[a:b]), np.uint8)
+                lengths = np.fromiter(map(len, parts[a:b]), np.int64, b - a)
+                runs = lengths - length + 1
+                owner = np.repeat(np.arange(b - a), runs)
+                inside = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+                at = (np.cumsum(lengths) - lengths)[owner] + inside
+                up, down = _powers(_BASE, len(data)), _powers(_BASE_INVERSE, len(data))
+                hashes = []
+                for code in (_BYTE_CODE, mix64(_BYTE_CODE)):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code[data] * up)])
+                    hashes.append(pa.array(mix64((sums[at + length] - sums[at]) * down[at]).astype(np.int64)))
+                rows = pa.array(a + owner)
+                start = batch.column(3).to_numpy()[a + owner] + inside
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(start, pa.int32()), *hashes], names=kind.names)
+
+    rows = materialize(_parts(docs, doubtful, length).mapInArrow(strings, kind), "hot-strings")
+    place = F.struct("doc", "tag", "start")
+    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(firsts, ["h1", "h2"]).filter(place != F.col("first")).select("doc", "tag", "start", (F.col("start") + length).alias("end"))
+
+
 def _sorted_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
     """Repeats among different stretches of one anchor, by suffix sorting: doc, tag, start, end."""
     facts = doubtful.agg(F.sum(F.col("run") + (length - 1)).alias("bytes")).first()
     shards = min(1 << 20, max(1, -(-(facts["bytes"] or 0) // SORT_BYTES)))
-    texts = docs.join(doubtful, (docs["doc"] == doubtful["fdoc"]) & (docs["tag"] == doubtful["ftag"]))
-    part = F.expr(f"substring(raw, start + 1, run + {length - 1})")
-    texts = texts.select((F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int").alias("shard"), "doc", "tag", "start", part.alias("part"))
+    texts = _parts(docs, doubtful, length).select((F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int").alias("shard"), "doc", "tag", "start", "part")
     out = T.StructType([docs.schema["doc"], docs.schema["tag"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def sort(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -211,6 +211,26 @@ def test_repeats(docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_a_hot_anchor(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    footer = " ".join(rng.choice(WORDS, 40))
+    rows = [(i, f"{' '.join(rng.choice(WORDS, 30))} {footer} {' '.join(rng.choice(WORDS[:3], 12))}") for i in range(60)]
+    sort, given = suffixes._sorted_repeats, []
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "_sorted_repeats", lambda docs, doubtful, length: given.append(doubtful) or sort(docs, doubtful, length))
+    seen = set()
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        assert got[i] == bytes(c for c, g in zip(raw, gone) if not g)
+    assert all(r["n"] <= 2000 for r in given[0].groupBy("anchor").agg(F.sum(F.col("run") + 99).alias("n")).collect())
+
+
 def test_mixing(docs, none):
     assert mixing.water_fill([10, 100, 0], [1, 1, 3], 110) == [30.0, 80.0, 0.0]
     rows = mixing.plan_mix(mixing.size_documents(docs)).collect()
