@@ -33,3 +33,9 @@ def tracks(links: DataFrame) -> DataFrame:
         if now == facts:
             return links.select(F.col("hi").alias("node"), F.col("lo").alias("track")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("track")).distinct())
         facts = now
+
+
+def without_conflicts(found: DataFrame, least: int = 2) -> DataFrame:
+    """found(node, image, track) without tracks that hit an image twice or have fewer than `least` nodes."""
+    kept = found.groupBy("track").agg(F.count("*").alias("n"), F.count_distinct("image").alias("images")).filter((F.col("n") == F.col("images")) & (F.col("n") >= least))
+    return found.join(kept.select("track"), "track", "left_semi")

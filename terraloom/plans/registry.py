@@ -340,6 +340,18 @@ def match_tracks(spark, d):
     return tracks.tracks(links)
 
 
+@query("""WITH n AS (SELECT DISTINCT o_custkey AS node, 0::BIGINT AS image, o_custkey AS track FROM orders UNION ALL
+SELECT 1000000000000 + o_orderkey, 1 + year(o_orderdate)::BIGINT * 12 + month(o_orderdate)::BIGINT, o_custkey FROM orders)
+SELECT track, node, image FROM n WHERE track IN (SELECT track FROM n GROUP BY track HAVING count(*) = count(DISTINCT image) AND count(*) >= 2)""")
+def kept_tracks(spark, d):
+    """All orders under their own keys, without conflicting tracks: an order's image is its month. Each order has one customer, so the twin needs no recursion."""
+    orders = table(spark, d, "orders").withColumn("b", F.lit(1000000000000) + F.col("o_orderkey"))
+    found = tracks.tracks(orders.select(F.col("o_custkey").alias("a"), "b"))
+    images = orders.select(F.col("b").alias("node"), (1 + F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("image"))
+    images = images.unionByName(orders.select(F.col("o_custkey").alias("node"), F.lit(0).cast("long").alias("image")).distinct())
+    return tracks.without_conflicts(found.join(images, "node")).select("track", "node", "image")
+
+
 @query("SELECT k AS length, count(*) AS tracks FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_suppkey) AND count(*) >= 2) GROUP BY k")
 def track_lengths(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("length"), F.count("*").alias("n"))

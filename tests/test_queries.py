@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from terraloom.operators import tracks
 from terraloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,3 +41,13 @@ def test_matches_sql(spark, sf_dir, db, name):
     wanted.sort(key=lambda r: str(key(r)))
     assert len(got) == len(wanted)
     assert all(same(x, y) for g, w in zip(got, wanted, strict=True) for x, y in zip(g, w, strict=True))
+
+
+def test_tracks_without_conflicts(spark):
+    # node = 10 * image + feature: a chain of 4, a cycle, a track that hits image 2 twice, a pair, a match of one feature with another of its image
+    chain, cycle, twice, pair, same_image = [(10, 20), (20, 30), (30, 40)], [(11, 21), (21, 31), (31, 11)], [(12, 22), (12, 23)], [(13, 24)], [(14, 15)]
+    links = spark.createDataFrame(chain + cycle + twice + pair + same_image, "a long, b long")
+    found = tracks.tracks(links).selectExpr("node", "node div 10 AS image", "track")
+    got = {(r["track"], r["node"]) for r in tracks.without_conflicts(found).collect()}
+    assert got == {(10, 10), (10, 20), (10, 30), (10, 40), (11, 11), (11, 21), (11, 31), (13, 13), (13, 24)}
+    assert {r["track"] for r in tracks.without_conflicts(found, 3).collect()} == {10, 11}
