@@ -85,6 +85,18 @@ def test_nearest(spark):
     assert hilbert.nearest(df.filter("false"), df).count() == 0
 
 
+def test_nearest_of_few(spark):
+    v = np.random.default_rng(7).normal(size=(15, 8)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in hilbert.nearest(df, df, k=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    found = sum(map(len, got.values()))
+    assert found == 15 * 14
+    for q in range(15):
+        assert got[q] == sorted(set(range(15)) - {q}, key=lambda i: -float(v[q] @ v[i]))
+
+
 def test_bit_sliced_top_k(spark):
     rows, df = vectors(spark)
     q = bsi.quantise(df)
