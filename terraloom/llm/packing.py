@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import materialize, table
+from terraloom.llm.common import batched, materialize, table
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that one task ranks.
 BLOCK_ROWS = 2_000
 #: Words that a worker keeps with their ids, and the length from which a word isn't kept.
-CACHE_WORDS, LONG_WORD = 1_000_000, 64
+CACHE_WORDS, LONG_WORD = 200_000, 64
+#: Bytes of text encoded at a time; a longer document is a batch of its own.
+BATCH_BYTES = 1 << 19
 
 
 class OpenBins:
@@ -164,9 +166,10 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [(t or b"").decode("utf-8", "replace") for t in part.column(1).to_pylist()]
+            raw = batch.column(1).to_pylist()
+            for a, b in batched([raw], BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                texts = [(t or b"").decode("utf-8", "replace") for t in raw[a:b]]
                 out: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     ids += end

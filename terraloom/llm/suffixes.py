@@ -37,7 +37,7 @@ from terraloom.llm.sortedarrays import ROWS, SortedArrays, counted, write_arrays
 LENGTH = 100
 GRAM = 32
 BATCH_BYTES = 1 << 19
-KEPT_ANCHORS = 2_000_000
+KEPT_ANCHORS = 400_000
 BYTES_A_SHARD = 64 << 20
 SORT_BYTES = 1 << 20
 MOST_SHARDS = 4096

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import crc32_of, mix64, table
+from terraloom.llm.common import batched, crc32_of, mix64, table
 
 TRAIN_ROWS = 1_500
 LANDMARKS, CLEAN_LANDMARKS = 128, 32
@@ -37,7 +37,9 @@ TABLE_BITS = 20
 THRESHOLD = 0.3
 #: Word decisions are clipped to this range before calibration: below it, one clean word is as clean as another.
 DECISIONS = (-1.0, 3.0)
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
+#: Bytes of text scored at a time; a longer document is a batch of its own.
+BATCH_BYTES = 1 << 19
 PATTERNS = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -310,9 +312,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                top = scorer.top([t or "" for t in part.column(text_at).to_pylist()])
+            texts = batch.column(text_at).to_pylist()
+            for a, b in batched([texts], BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                top = scorer.top([t or "" for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.probability(np.clip(top, *DECISIONS)))], names=[*part.schema.names, "toxicity"])
 
     from pyspark.sql import types as T
