@@ -25,9 +25,17 @@ CALLS = {
     "lte": lambda a, b, x, y: F.when(a <= b, x).otherwise(y),
     "gte": lambda a, b, x, y: F.when(a >= b, x).otherwise(y),
     "eq": lambda a, b, x, y: F.when(a == b, x).otherwise(y),
+    #: Uniform numbers from a fixed seed; they depend on the partitioning, not on the cell.
+    "rand": lambda: F.rand(0),
 }
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point division has it: infinite where b is 0, not a number where both are."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b != 0, F.try_divide(a, b)).when(a == 0, F.lit(float("nan"))).when(b == 0, F.signum(a) * F.lit(float("inf")))
+
+
 class Calculator:
     """Compiles one expression; used are the variables that occur in it."""
 
@@ -67,7 +75,7 @@ class Calculator:
     def _product(self) -> Column:
         left = self._value()
         if self._peek() in ("*", "/"):
-            return left * self._product() if self._take() == "*" else F.try_divide(left, self._product())
+            return left * self._product() if self._take() == "*" else quotient(left, self._product())
         return left
 
     def _value(self) -> Column:
@@ -83,6 +91,9 @@ class Calculator:
             return self.variables[token]
         if token in CALLS:
             self._take("(")
+            if self._peek() == ")":
+                self._take(")")
+                return CALLS[token]()
             parts = [self._sum()]
             while self._peek() == ",":
                 self._take(",")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Makes the median absolute deviation of a normal law equal its standard deviation.
@@ -41,6 +41,64 @@ def rounded_percentile(v: Column, p: float) -> Column:
     return pick(s, F.floor(F.lit(p) * (F.size(s) - 1) + 0.5))
 
 
+#: Ranges into which values are cut, so that no task ranks all values of a group.
+SPLITS = 64
+
+
+def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, value, c, upto, n: each distinct value of a group, its rows, the rows up to and with it, and the group's rows.
+
+    Values are counted first, then ranked in ranges that an approximate quantile sketch cuts, with the ranges' totals as
+    offsets; a group of any size spreads over SPLITS tasks. Null values are left out.
+    """
+    keys = keys or []
+    v = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    cuts = v.agg(F.percentile_approx(value, [i / SPLITS for i in range(1, SPLITS)], 1000).alias("_cuts"))  # one row of 63 numbers
+    counts = v.groupBy(*keys, value).agg(F.count("*").alias("c")).crossJoin(F.broadcast(cuts))
+    counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(value)))).drop("_cuts")
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("_sum"))
+    whole = Window.partitionBy(*keys)
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), (F.sum("_sum").over(whole.orderBy("_b")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(whole).alias("n"))
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inner = F.sum("c").over(Window.partitionBy(*keys, "_b").orderBy(value))
+    return counts.withColumn("_inner", inner).join(totals, same).select(*keys, value, "c", (F.col("_inner") + F.col("_before")).alias("upto"), "n")
+
+
+def picks(df: DataFrame, value: str, ranks: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """For each group the elements at given places (from 0; columns of n, the number of values) of its sorted values."""
+    found = value_ranks(df, value, keys)
+    return found.groupBy(*(keys or [])).agg(*(F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in ranks.items()))
+
+
+def upper_middle() -> Column:
+    return F.floor(F.col("n") / 2)
+
+
+def floor_place(p: float) -> Column:
+    """Element floor(p * n), the last one at most."""
+    return F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
+
+
+def rounded_place(p: float) -> Column:
+    """Element round(p * n), the last one at most."""
+    return F.least(F.floor(F.lit(p) * F.col("n") + 0.5), F.col("n") - 1)
+
+
+def medians(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "median") -> DataFrame:
+    """Mean of the two middle values of each group, by ranks."""
+    found = picks(df, value, {"_a": F.floor((F.col("n") - 1) / 2), "_b": upper_middle()}, keys)
+    return found.select(*(keys or []), ((F.col("_a") + F.col("_b")) / 2).alias(name))
+
+
+def centre_and_nmad(df: DataFrame, value: str) -> DataFrame:
+    """One row: median and nmad of all values, by ranks."""
+    centre = medians(df, value)
+    off = df.crossJoin(F.broadcast(centre)).select("median", F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return centre.crossJoin(medians(off, "_off", name="_o")).select("median", (NMAD_FACTOR * F.col("_o")).alias("nmad"))
+
+
 def nmad(df: DataFrame, keys: list[str], value: str, name: str = "nmad") -> DataFrame:
     """NMAD_FACTOR * median of |value - median| for each group: two passes, the medians joined back in between."""
     centre = df.groupBy(*keys).agg(F.median(value).alias("_m"))

@@ -41,17 +41,124 @@ def box_overlaps(boxes: DataFrame, size: float) -> DataFrame:
     return joined.filter(hit & home).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
+def bilinear(points: DataFrame, cells: DataFrame, codes: bool = False) -> DataFrame:
     """points(px, py, ...) with the raster's value between its four nodes.
 
     A node with weight counts only if it is there: on a node its own value is enough, between nodes all must be valid.
+    With codes, a point outside the raster's frame (cells of null value are inside) has `value` null and `code` 0, one
+    next to a hole null and -1, others 1. One join and one aggregation: each point asks for its four nodes.
     """
-    out = points.withColumns({"_c": F.floor("px"), "_r": F.floor("py")}).withColumns({"_fx": F.col("px") - F.col("_c"), "_fy": F.col("py") - F.col("_r")})
-    parts = []
-    for dx in (0, 1):
-        for dy in (0, 1):
-            node = cells.select((F.col("col") - dx).alias("_c"), (F.col("row") - dy).alias("_r"), F.col("v").alias(f"_v{dx}{dy}"))
-            out = out.join(node, ["_c", "_r"], "left")
-            weight = (F.col("_fx") if dx else 1 - F.col("_fx")) * (F.col("_fy") if dy else 1 - F.col("_fy"))
-            parts.append(F.when(weight == 0, F.lit(0.0)).otherwise(weight * F.col(f"_v{dx}{dy}")))
-    return out.withColumn("value", parts[0] + parts[1] + parts[2] + parts[3]).select(*points.columns, "value")
+    c, r = F.floor("px"), F.floor("py")
+    fx, fy = F.col("px") - c, F.col("py") - r
+    nodes = F.array(*(F.struct((c + dx).alias("col"), (r + dy).alias("row"), ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("w")) for dx in (0, 1) for dy in (0, 1)))
+    asked = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_n", F.explode(F.filter(nodes, lambda n: n["w"] > 0)))
+    asked = asked.select(*points.columns, "_id", F.col("_n.col").alias("_c"), F.col("_n.row").alias("_r"), F.col("_n.w").alias("_w"))
+    there = cells.select(F.col("col").alias("_c"), F.col("row").alias("_r"), F.col("v").alias("_v"), F.lit(1).alias("_in"))
+    found = asked.join(there, ["_c", "_r"], "left").groupBy("_id", *points.columns).agg(
+        F.when(F.count("_v") == F.count("*"), F.sum(F.col("_w") * F.col("_v"))).alias("value"),
+        F.when(F.count("_in") < F.count("*"), 0).when(F.count("_v") < F.count("*"), -1).otherwise(1).alias("code"),
+    )
+    return found.select(*points.columns, "value", *(["code"] if codes else []))
+
+
+def raster_difference(a: DataFrame, b: DataFrame, absolute: bool = False) -> DataFrame:
+    """Cells(col, row, v) valid in both rasters with a - b, or its absolute value."""
+    both = a.filter("v IS NOT NULL").join(b.filter("v IS NOT NULL").select("col", "row", F.col("v").alias("_b")), ["col", "row"])
+    diff = F.col("v") - F.col("_b")
+    return both.select("col", "row", (F.abs(diff) if absolute else diff).alias("diff"))
+
+
+def points_difference(points: DataFrame, cells: DataFrame, height: str) -> DataFrame:
+    """Raster less point height for the points(px, py, ...) that fall between valid nodes."""
+    return bilinear(points, cells).filter(F.col("value").isNotNull() & F.col(height).isNotNull()).withColumn("diff", F.col("value") - F.col(height)).drop("value")
+
+
+def nearest_in_time(asked: DataFrame, ref: DataFrame, keys: list[str], ts: str, value: str, out: str, most_seconds: float | None = None) -> DataFrame:
+    """asked with the ref value nearest in absolute time, the earlier one on ties; null beyond `most_seconds`.
+
+    Two as-of passes over one partitioning, so no pairs are made.
+    """
+    ref = ref.withColumn("_rv", F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).select(*keys, ts, "_rv")
+    found = as_of(as_of(asked, ref, keys, ts, "_rv", "_lo"), ref, keys, ts, "_rv", "_hi", forward=True)
+    gap = lambda side: F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"{side}.t").cast("timestamp"))) / 1e6
+    low = gap("_lo").isNotNull() & (gap("_hi").isNull() | (gap("_lo") <= gap("_hi")))
+    best, far = F.when(low, F.col("_lo.v")).otherwise(F.col("_hi.v")), F.when(low, gap("_lo")).otherwise(gap("_hi"))
+    return found.withColumn(out, best if most_seconds is None else F.when(far <= most_seconds, best)).drop("_lo", "_hi")
+
+
+def bracket_nearest_midpoint(ref: DataFrame, frames: DataFrame, keys: list[str], ts: str, value: str, most_seconds: float) -> DataFrame:
+    """For each interval of neighbouring reference times (keys, start, end), at most `most_seconds` long, the frame of
+    each sensor inside it that is nearest to its middle, the earliest on ties.
+
+    Each frame finds its interval as of its own time: an interval is its start, with the end beside it.
+    """
+    w = Window.partitionBy(*keys).orderBy(ts)
+    spans = ref.select(*keys, ts).distinct().withColumn("_end", F.lead(ts).over(w)).filter(F.col("_end").isNotNull())
+    spans = spans.withColumn("_span", F.struct(F.col(ts).alias("a"), F.col("_end").alias("b"))).select(*keys, ts, "_span")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    inside = as_of(frames, spans, keys, ts, "_span", "_in").filter(F.col("_in").isNotNull() & (F.col(ts) < F.col("_in.b")))
+    inside = inside.filter(us(F.col("_in.b")) - us(F.col("_in.a")) <= most_seconds * 1e6)
+    off = F.abs(2 * us(F.col(ts)) - us(F.col("_in.a")) - us(F.col("_in.b")))
+    best = F.min(F.struct(off.alias("off"), F.col(ts).alias("t"), F.col(value).alias("v")))
+    return inside.groupBy(*keys, "sensor", F.col("_in.a").alias("start"), F.col("_in.b").alias("end")).agg(best.alias("m")).select(*keys, "sensor", "start", "end", F.col("m.v").alias(value))
+
+
+def nearest_points(source: DataFrame, ref: DataFrame, size: float, rings: int) -> DataFrame:
+    """source(id, x, y, z) with the distance to the nearest ref(x, y, z) among the cells up to `rings` away.
+
+    Exact where that distance is at most rings * size; a point with none that near has null. Each source point visits
+    (2 * rings + 1)^2 cells of the x-y grid and keeps its least distance, so nothing is paired across cells.
+    """
+    d = F.sequence(F.lit(-rings), F.lit(rings))
+    cell = lambda c: F.floor(F.col(c) / size)
+    asked = source.withColumn("_dx", F.explode(d)).withColumn("_dy", F.explode(d)).select("id", "x", "y", "z", (cell("x") + F.col("_dx")).alias("_cx"), (cell("y") + F.col("_dy")).alias("_cy"))
+    put = ref.select(cell("x").alias("_cx"), cell("y").alias("_cy"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z")).distinct()
+    dist = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(F.col("z") - F.col("_z"), 2))
+    near = asked.join(put, ["_cx", "_cy"]).groupBy("id").agg(F.min(dist).alias("_d"))
+    return source.join(near, "id", "left").select("id", F.when(F.col("_d") <= rings * size, F.col("_d")).alias("distance"))
+
+
+def nearest_click(points: DataFrame, x: float, y: float, limit: float) -> DataFrame:
+    """The point(id, x, y) nearest to a place, if within the limit; the smallest id on ties."""
+    dist = F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))
+    return points.withColumn("distance", dist).filter(F.col("distance") <= limit).orderBy("distance", "id").limit(1).select("id", "distance")
+
+
+def tiles_with_margin(points: DataFrame, tile: float, margin: float) -> DataFrame:
+    """points(x, y, ...) once for each tile(tx, ty) whose square, grown by the margin, holds them."""
+    cells = lambda c: F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile))
+    return points.withColumn("tx", F.explode(cells("x"))).withColumn("ty", F.explode(cells("y")))
+
+
+def triangles(cells: DataFrame) -> DataFrame:
+    """Two triangles (a, b, c: dense numbers of cells from 0, row by row) for each square of four valid cells.
+
+    Numbers are ranks in (row, col) order, from counts of each row, so no task holds them all.
+    """
+    v = cells.filter(F.col("v").isNotNull()).select("col", "row")
+    rows = v.groupBy("row").agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    before = rows.select("row", (F.sum("n").over(Window.partitionBy("_one").orderBy("row")) - F.col("n")).alias("_before"))  # one line a raster row
+    ids = v.join(before, "row").select("col", "row", (F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1 + F.col("_before")).alias("v"))
+    from terraloom.operators.neighbourhood import around
+
+    q = around(ids, {"a": (0, 0), "b": (1, 0), "c": (0, 1), "d": (1, 1)}).dropna(subset=["a", "b", "c", "d"])
+    pair = F.array(F.struct(F.col("a").alias("a"), F.col("c").alias("b"), F.col("b").alias("c")), F.struct(F.col("b").alias("a"), F.col("c").alias("b"), F.col("d").alias("c")))
+    return q.select(F.explode(pair).alias("t")).select("t.*")
+
+
+def same_frame(rasters: list[DataFrame]) -> DataFrame:
+    """The rasters (col, row, v) side by side as v0, v1, ...; a raster of another number of cells raises when it is read."""
+    out = rasters[0].select("col", "row", F.col("v").alias("v0"))
+    for i, r in enumerate(rasters[1:], 1):
+        out = out.join(r.select("col", "row", F.col("v").alias(f"v{i}"), F.lit(True).alias(f"_in{i}")), ["col", "row"], "full_outer")
+    whole = [F.col(f"_in{i}").isNull() for i in range(1, len(rasters))]
+    bad = F.array_contains(F.array(*whole), True) if whole else F.lit(False)
+    return out.select("col", "row", *(F.when(bad, F.raise_error(F.lit("rasters of different size"))).otherwise(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(rasters))))
+
+
+def overlap_list(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) of names as places i, j in names(name, place); a name that isn't listed raises when it is read."""
+    known = names.select("name", "place")
+    out = pairs.join(known.select(F.col("name").alias("a"), F.col("place").alias("i")), "a", "left").join(known.select(F.col("name").alias("b"), F.col("place").alias("j")), "b", "left")
+    unknown = lambda side, at: F.when(F.col(at).isNull(), F.raise_error(F.concat(F.lit("unknown image: "), F.col(side)))).otherwise(F.col(at))
+    return out.select(unknown("a", "i").alias("i"), unknown("b", "j").alias("j"))

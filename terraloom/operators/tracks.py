@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators.storage import stored
+
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Written to the cluster's shared folder and read back, so a long loop has a short lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="terraloom-")
-    path = f"{base.rstrip('/')}/terraloom/tracks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, "tracks")
 
 
 def tracks(links: DataFrame) -> DataFrame:

@@ -19,24 +19,24 @@ CLOUD = "cloud AS (SELECT l_extendedprice / 1000 AS x, l_quantity AS y, l_discou
 
 
 def cells(spark, d) -> DataFrame:
-    """Three overlapping rasters: sums of whole quantities; every eleventh sum is a hole."""
+    """Three overlapping rasters, a column for each supplier: sums of whole quantities; every eleventh sum is a hole."""
     img = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    out = table(spark, d, "lineitem").groupBy(img.alias("idx"), (F.col("l_suppkey") % 40).alias("col"), (F.col("l_partkey") % 30).alias("row")).agg(F.sum("l_quantity").alias("s"))
+    out = table(spark, d, "lineitem").groupBy(img.alias("idx"), F.col("l_suppkey").alias("col"), (F.col("l_partkey") % 30).alias("row")).agg(F.sum("l_quantity").alias("s"))
     return out.select("idx", "col", "row", F.when(F.col("s") % 11 != 0, F.col("s")).alias("v"))
 
 
 CELLS = """cells AS (SELECT idx, col, "row", CASE WHEN s % 11 <> 0 THEN s END AS v FROM (
-  SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS idx, l_suppkey % 40 AS col, l_partkey % 30 AS "row", sum(l_quantity) AS s
+  SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS idx, l_suppkey AS col, l_partkey % 30 AS "row", sum(l_quantity) AS s
   FROM lineitem GROUP BY ALL))"""
 
 
 def raster(spark, d) -> DataFrame:
-    """The first of them, with a cell for all places of its frame."""
-    frame = spark.range(40).select(F.col("id").alias("col")).crossJoin(spark.range(30).select(F.col("id").alias("row")))
+    """The first of them, with a cell for all places of its frame, which grows with the suppliers."""
+    frame = table(spark, d, "supplier").select(F.col("s_suppkey").alias("col"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("row"))
     return frame.join(cells(spark, d).filter("idx = 0").select("col", "row", "v"), ["col", "row"], "left")
 
 
-RASTER = CELLS + """, raster AS (SELECT c.col, r."row", v FROM (SELECT unnest(range(40)) AS col) c CROSS JOIN (SELECT unnest(range(30)) AS "row") r
+RASTER = CELLS + """, raster AS (SELECT c.col, r."row", v FROM (SELECT s_suppkey AS col FROM supplier) c CROSS JOIN (SELECT unnest(range(30)) AS "row") r
   LEFT JOIN (SELECT col, "row", v FROM cells WHERE idx = 0) k ON k.col = c.col AND k."row" = r."row")"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import statistics as S
 from terraloom.functions.expressions import calculate, polynomial, postfix
-from terraloom.operators import gridding, joins, mosaic, neighbourhood, tracks
+from terraloom.operators import filters, gridding, joins, mosaic, neighbourhood, networks, reports, series, tracks
 from terraloom.plans.inputs import CELLS, CLOUD, RASTER, RESIDUALS, cells, cloud, frames, raster, residuals, table
 
 FLAGSHIP = "grid_cloud"
@@ -47,13 +47,16 @@ cy AS (SELECT *, unnest(range(ceil((y - 5) / 5)::BIGINT, floor((y + 5) / 5)::BIG
 near AS (SELECT *, sqrt(pow(x - col * 5, 2) + pow(y - "row" * 5, 2)) AS dist FROM cy WHERE sqrt(pow(x - col * 5, 2) + pow(y - "row" * 5, 2)) <= 5)"""
 
 
-@query(f"""WITH {_NEAR}, a AS (SELECT col, "row", round(sum(exp(ln(0.25) / 25 * dist * dist) * z) / sum(exp(ln(0.25) / 25 * dist * dist)), 6) AS weighted_average,
-round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(stddev_pop(z), 6) AS stddev, count(z) AS count, median(z) AS m FROM near GROUP BY ALL),
+_WEIGHT = "exp(ln(0.25) / 25 * pow(floor(dist / (5.0 / 999) + 0.5) * (5.0 / 999), 2))"
+
+
+@query(f"""WITH {_NEAR}, a AS (SELECT col, "row", round(sum({_WEIGHT} * z) / sum({_WEIGHT}), 6) AS weighted_average,
+round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(stddev_pop(z), 6) AS stddev, count(z) AS count, median(z) AS m, round(quantile_cont(z, 0.8), 6) AS p80 FROM near GROUP BY ALL),
 n AS (SELECT near.col, near."row", round(1.4826 * median(abs(z - m)), 6) AS nmad FROM near JOIN a ON near.col = a.col AND near."row" = a."row" GROUP BY ALL)
-SELECT a.col, a."row", weighted_average, min, max, mean, median, stddev, count, nmad FROM a JOIN n ON a.col = n.col AND a."row" = n."row" """)
+SELECT a.col, a."row", weighted_average, min, max, mean, median, stddev, count, nmad, p80 FROM a JOIN n ON a.col = n.col AND a."row" = n."row" """)
 def grid_cloud(spark, d):
-    out = gridding.grid(cloud(spark, d), 5.0, 5.0)
-    return rounded(out, "weighted_average", "min", "max", "mean", "median", "stddev", "nmad")
+    out = gridding.grid(cloud(spark, d), 5.0, 5.0, (*gridding.FILTERS, "80-pct")).withColumnRenamed("80-pct", "p80")
+    return rounded(out, "weighted_average", "min", "max", "mean", "median", "stddev", "nmad", "p80")
 
 
 @query(f"""WITH {CLOUD}, b AS (SELECT quantile_cont(err, 0.25) AS a, quantile_cont(err, 0.75) AS b FROM cloud)
@@ -70,14 +73,11 @@ def block_boxes(spark, d):
     return cloud(spark, d).groupBy(F.floor(F.col("x") / 16).alias("bx"), F.floor(F.col("y") / 16).alias("by")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
 
 
-@query(f"""WITH {CLOUD}, b AS (SELECT quantile_cont(x, 0.125) AS xa, quantile_cont(x, 0.875) AS xb, quantile_cont(y, 0.125) AS ya, quantile_cont(y, 0.875) AS yb FROM cloud)
-SELECT count(*) AS n, round(sum(z), 4) AS total FROM cloud, b WHERE x BETWEEN xa - 0.1 * (xb - xa) AND xb + 0.1 * (xb - xa) AND y BETWEEN ya - 0.1 * (yb - ya) AND yb + 0.1 * (yb - ya)""")
+@query(f"""WITH {CLOUD}, b AS (SELECT quantile_cont(x, 0.125) AS xa, quantile_cont(x, 0.875) AS xb, quantile_cont(y, 0.125) AS ya, quantile_cont(y, 0.875) AS yb, quantile_cont(z, 0.0625) AS za, quantile_cont(z, 0.9375) AS zb FROM cloud)
+SELECT count(*) AS n, round(sum(z), 4) AS total FROM cloud, b WHERE x BETWEEN xa - 0.1 * (xb - xa) AND xb + 0.1 * (xb - xa) AND y BETWEEN ya - 0.1 * (yb - ya) AND yb + 0.1 * (yb - ya) AND z BETWEEN za - 0.1 * (zb - za) AND zb + 0.1 * (zb - za)""")
 def inlier_box(spark, d):
     points = cloud(spark, d)
-    kept = points
-    for axis in ("x", "y"):
-        found = S.brackets(points, axis, 0.875, 0.1)
-        kept = kept.crossJoin(F.broadcast(found)).filter((F.col(axis) >= F.col("lo")) & (F.col(axis) <= F.col("hi"))).drop("lo", "hi")
+    kept = filters.inside_box(points, filters.inlier_box(points, 75, 0.05))
     return rounded(kept.agg(F.count("*").alias("n"), F.sum("z").alias("total")), "total", digits=4)
 
 
@@ -100,7 +100,7 @@ def mosaic_index_map(spark, d):
     return mosaic.index_map(cells(spark, d))
 
 
-@query(f"""WITH {CELLS}, t AS (SELECT col // 8 AS tx, "row" // 8 AS ty, idx, sum(v) AS total FROM cells GROUP BY ALL HAVING sum(v) IS NOT NULL)
+@query(f"""WITH {CELLS}, t AS (SELECT floor(col / 8)::BIGINT AS tx, floor("row" / 8)::BIGINT AS ty, idx, sum(v) AS total FROM cells GROUP BY ALL HAVING sum(v) IS NOT NULL)
 SELECT tx, ty, idx, total FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY total DESC, idx) AS r FROM t) WHERE r = 1""")
 def mosaic_block_max(spark, d):
     return mosaic.block_max(cells(spark, d), 8)
@@ -143,14 +143,11 @@ def ephemeris_equations(spark, d):
     return rounded(out, "square", "wave", "poly", digits=9)
 
 
-@query(f"""WITH {CELLS}, s AS (SELECT idx, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM cells GROUP BY idx)
-SELECT cells.idx, col, "row", CASE WHEN v IS NOT NULL THEN round(greatest(0, least(255, (v - lo) / (hi - lo) * 255)), 4) END AS stretched FROM cells JOIN s ON cells.idx = s.idx""")
+@query(f"""WITH {CELLS}, k AS (SELECT idx, list_sort(list(v)) AS s FROM cells WHERE v IS NOT NULL GROUP BY idx),
+s AS (SELECT idx, s[floor(0.02 * len(s))::BIGINT + 1] AS lo, s[least(floor(0.98 * len(s))::BIGINT, len(s) - 1) + 1] AS hi FROM k)
+SELECT cells.idx, col, "row", coalesce(greatest(0, least(255, floor((v - lo) / (hi - lo) * 255 + 0.5))), 0)::SMALLINT AS stretched FROM cells LEFT JOIN s ON cells.idx = s.idx""")
 def percentile_stretch(spark, d):
-    v = cells(spark, d)
-    s = v.groupBy("idx").agg(F.percentile("v", 0.02).alias("lo"), F.percentile("v", 0.98).alias("hi"))
-    scaled = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255
-    out = v.join(F.broadcast(s), "idx").select("idx", "col", "row", F.when(F.col("v").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled))).alias("stretched"))
-    return rounded(out, "stretched", digits=4)
+    return reports.percentile_stretch(cells(spark, d))
 
 
 # --- differences and summaries ----------------------------------------------------------------------------------------
@@ -159,12 +156,12 @@ def percentile_stretch(spark, d):
 @query(f"""WITH {_PAIR}, d AS (SELECT abs(a - b) AS v FROM pair WHERE a IS NOT NULL AND b IS NOT NULL), s AS (SELECT list_sort(list(v)) AS s FROM d)
 SELECT max(v) AS max, min(v) AS min, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stddev, any_value(s[len(s) // 2 + 1]) AS median, count(*) AS n FROM d, s""")
 def difference_summary(spark, d):
-    diff = _pair(spark, d).filter("a IS NOT NULL AND b IS NOT NULL").select(F.abs(F.col("a") - F.col("b")).alias("v"))
-    out = diff.agg(F.max("v").alias("max"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), S.upper_median(F.col("v")).alias("median"), F.count("*").alias("n"))
-    return rounded(out, "mean", "stddev")
+    all_ = cells(spark, d)
+    diff = joins.raster_difference(all_.filter("idx = 0"), all_.filter("idx = 1"), absolute=True)
+    return rounded(reports.difference_summary(diff, "diff"), "mean", "stddev")
 
 
-_POINTS = "pts AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 390) / 10.0::DOUBLE AS px, (s_suppkey * 3 % 290) / 10.0::DOUBLE AS py FROM supplier)"
+_POINTS = "pts AS (SELECT s_suppkey AS id, s_suppkey * 0.97::DOUBLE AS px, (s_suppkey * 3 % 290) / 10.0::DOUBLE AS py FROM supplier)"
 
 
 @query(f"""WITH {RASTER}, {_POINTS}, q AS (SELECT *, floor(px)::BIGINT AS c, floor(py)::BIGINT AS r, px - floor(px) AS fx, py - floor(py) AS fy FROM pts)
@@ -173,78 +170,72 @@ SELECT q.id, round(CASE WHEN (1 - fx) * (1 - fy) = 0 THEN 0 ELSE (1 - fx) * (1 -
 FROM q LEFT JOIN raster a ON a.col = q.c AND a."row" = q.r LEFT JOIN raster b ON b.col = q.c AND b."row" = q.r + 1
 LEFT JOIN raster c ON c.col = q.c + 1 AND c."row" = q.r LEFT JOIN raster e ON e.col = q.c + 1 AND e."row" = q.r + 1""")
 def bilinear_lookup(spark, d):
-    pts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7 % 390 / 10.0).alias("px"), (F.col("s_suppkey") * 3 % 290 / 10.0).alias("py"))
+    pts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 0.97).alias("px"), (F.col("s_suppkey") * 3 % 290 / 10.0).alias("py"))
     return rounded(joins.bilinear(pts, raster(spark, d)).select("id", "value"), "value", digits=5)
 
 
 @query(f"""WITH {RESIDUALS}, s AS (SELECT cid, list_sort(list(resid)) AS s, avg(resid) AS mean FROM res GROUP BY cid) SELECT cid, round(mean, 6) AS mean, round(s[len(s) // 2 + 1], 6) AS median, len(s) AS n FROM s""")
 def camera_residuals(spark, d):
-    out = residuals(spark, d).groupBy("cid").agg(F.avg("resid").alias("mean"), S.upper_median(F.col("resid")).alias("median"), F.count("*").alias("n"))
-    return rounded(out, "mean", "median")
+    return rounded(reports.camera_report(residuals(spark, d), "resid", ["cid"]), "mean", "median")
 
 
 @query(f"WITH {RESIDUALS} SELECT pid, round(avg(resid), 6) AS mean_residual, count(*) AS num_observations FROM res GROUP BY pid")
 def point_residuals(spark, d):
-    return rounded(residuals(spark, d).groupBy("pid").agg(F.avg("resid").alias("mean_residual"), F.count("*").alias("num_observations")), "mean_residual")
+    return rounded(reports.point_report(residuals(spark, d), "resid", "pid"), "mean_residual")
+
+
+_PERCENTS = ", ".join(f"round(s[least(floor({p / 100} * len(s))::BIGINT, len(s) - 1) + 1], 6) AS p{p}" for p in (25, 50, 75, 85, 95))
 
 
-@query(f"""WITH {RESIDUALS}, s AS (SELECT cid, list_sort(list(resid)) AS s FROM res GROUP BY cid)
-SELECT cid, {", ".join(f"round(s[floor({p} * len(s))::BIGINT + 1], 6) AS p{round(100 * p)}" for p in (0.25, 0.5, 0.75, 0.85, 0.95))}, len(s) AS num FROM s""")
+@query(f"""WITH s AS (SELECT l_suppkey AS left_image, l_linenumber::BIGINT AS right_image, list_sort(list(l_discount * 100)) AS s FROM lineitem GROUP BY ALL)
+SELECT left_image, right_image, {_PERCENTS}, len(s) AS num FROM s""")
 def pair_percentiles(spark, d):
-    v = F.col("resid")
-    names = {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.85, 0.95)}
-    return rounded(residuals(spark, d).groupBy("cid").agg(*(S.floor_percentile(v, p).alias(n) for n, p in names.items()), F.count("*").alias("num")), *names)
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left_image"), F.col("l_linenumber").cast("long").alias("right_image"), (F.col("l_discount") * 100).alias("v"))
+    return rounded(reports.percentile_report(t, "v", ["left_image", "right_image"]), "p25", "p50", "p75", "p85", "p95")
 
 
-@query(f"""WITH {RESIDUALS}, p AS (SELECT pid, avg(resid) AS m FROM res GROUP BY pid), b AS (SELECT quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.75) AS b FROM p)
-SELECT count(*) AS outliers FROM p, b WHERE m > greatest(3, least(6, b + 3 * (b - a)))""")
+@query(f"""WITH p AS (SELECT l_suppkey AS image, l_discount * 100 AS v FROM lineitem UNION ALL SELECT l_partkey, l_discount * 100 FROM lineitem),
+s AS (SELECT image, list_sort(list(v)) AS s FROM p GROUP BY ALL) SELECT image, {_PERCENTS}, len(s) AS num FROM s""")
+def image_percentiles(spark, d):
+    t = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_discount") * 100).alias("v"))
+    return rounded(reports.percentile_report(reports.both_sides(t, "l_suppkey", "l_partkey", "v"), "v", ["image"]), "p25", "p50", "p75", "p85", "p95")
+
+
+@query(f"""WITH {RESIDUALS}, p AS (SELECT pid, avg(resid) AS m, count(*) = 1 AS gcp FROM res GROUP BY pid), b AS (SELECT quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.75) AS b FROM p WHERE NOT gcp)
+SELECT pid, round(m, 6) AS m FROM p, b WHERE NOT gcp AND m > least(6, greatest(3, b + 3 * (b - a)))""")
 def adjustment_outliers(spark, d):
-    means = residuals(spark, d).groupBy("pid").agg(F.avg("resid").alias("m"))
-    cut = S.brackets(means, "m", 0.75, 3.0).select(F.greatest(F.lit(3.0), F.least(F.lit(6.0), "hi")).alias("cut"))
-    return means.crossJoin(F.broadcast(cut)).filter("m > cut").agg(F.count("*").alias("outliers"))
+    means = residuals(spark, d).groupBy("pid").agg(F.avg("resid").alias("m"), (F.count("*") == 1).alias("gcp"))
+    return rounded(filters.adjustment_outliers(means, "m", 75, 3, 3, 6, "gcp").select("pid", "m"), "m")
 
 
-@query("""WITH b AS (SELECT least(floor((l_quantity - 1) / 4.9), 9)::BIGINT AS bin, l_extendedprice AS v FROM lineitem WHERE l_quantity BETWEEN 1 AND 50)
+@query("""WITH b AS (SELECT least(floor((l_quantity - 1) / 5.0), 11)::BIGINT AS bin, l_extendedprice AS v FROM lineitem WHERE l_quantity BETWEEN 1 AND 61)
 SELECT r.bin, coalesce(round(avg(v), 4), 0) AS mean, count(v) AS n, coalesce(round(median(v), 4), 0) AS median FROM (SELECT unnest(range(12)) AS bin) r LEFT JOIN b ON b.bin = r.bin GROUP BY r.bin""")
 def binned_statistics(spark, d):
-    t = table(spark, d, "lineitem").filter("l_quantity BETWEEN 1 AND 50")
-    b = t.select(F.least(F.floor((F.col("l_quantity") - 1) / 4.9), F.lit(9)).alias("bin"), F.col("l_extendedprice").alias("v"))
-    b = b.groupBy("bin").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.median("v").alias("median"))
-    out = spark.range(12).select(F.col("id").alias("bin")).join(b, "bin", "left").fillna(0)
-    return rounded(out, "mean", "median", digits=4)
+    return rounded(reports.binned_statistics(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 12, 1.0, 61.0), "mean", "median", digits=4)
 
 
-@query("""WITH h AS (SELECT least(floor(l_extendedprice / 500), 255)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1),
-c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS below, sum(n * bin) OVER (ORDER BY bin) AS mass, sum(n) OVER () AS total, sum(n * bin) OVER () AS all_mass FROM h),
-v AS (SELECT bin, CASE WHEN below < total THEN pow(all_mass::DOUBLE * below / total - mass, 2) / (below::DOUBLE * (total - below)) END AS between_var FROM c)
-SELECT bin FROM v WHERE between_var IS NOT NULL ORDER BY round(between_var, 6) DESC, bin LIMIT 1""")
+@query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+h AS (SELECT greatest(0, least(floor((l_extendedprice - lo) / (hi - lo) * 256), 255))::BIGINT AS bin, lo, hi, count(*) AS n FROM lineitem, e GROUP BY ALL),
+c AS (SELECT bin, lo, hi, sum(n) OVER (ORDER BY bin) AS below, sum(n * bin) OVER (ORDER BY bin) AS mass, sum(n) OVER () AS total, sum(n * bin) OVER () AS all_mass FROM h),
+v AS (SELECT bin, lo, hi, pow(all_mass::DOUBLE * below / total - mass, 2) / (below::DOUBLE * (total - below)) AS between_var FROM c WHERE below < total)
+SELECT round(lo + (bin + 1) * (hi - lo) / 256, 6) AS threshold FROM v ORDER BY round(between_var, 6) DESC, bin LIMIT 1""")
 def otsu_threshold(spark, d):
-    h = table(spark, d, "lineitem").groupBy(F.least(F.floor(F.col("l_extendedprice") / 500), F.lit(255)).alias("bin")).agg(F.count("*").alias("n"))
-    up, all_ = Window.orderBy("bin"), Window.partitionBy()  # at most 256 rows
-    c = h.select("bin", F.sum("n").over(up).alias("below"), F.sum(F.col("n") * F.col("bin")).over(up).alias("mass"), F.sum("n").over(all_).alias("total"), F.sum(F.col("n") * F.col("bin")).over(all_).alias("all_mass"))
-    var = F.pow(F.col("all_mass").cast("double") * F.col("below") / F.col("total") - F.col("mass"), 2) / (F.col("below").cast("double") * (F.col("total") - F.col("below")))
-    return c.filter("below < total").withColumn("v", F.round(var, 6)).orderBy(F.desc("v"), "bin").limit(1).select("bin")
+    return rounded(reports.otsu_threshold(table(spark, d, "lineitem"), "l_extendedprice"), "threshold")
 
 
-@query(f"""WITH {RESIDUALS}, r AS (SELECT resid, row_number() OVER (ORDER BY resid) AS k, count(*) OVER () AS n FROM res)
-SELECT {", ".join(f"round(avg(CASE WHEN k <= {q} * n THEN resid END), 6) AS best{round(100 * q)}" for q in (0.25, 0.5, 0.75, 1.0))}, round(sqrt(avg(resid * resid)), 6) AS rmse FROM r""")
+@query(f"""WITH {RESIDUALS}, r AS (SELECT resid, row_number() OVER (ORDER BY resid) AS k, count(*) OVER () AS n, median(resid) OVER () AS m FROM res)
+SELECT {", ".join(f"round(avg(CASE WHEN k <= {q} * n // 4 THEN resid END), 6) AS best{25 * q}" for q in (1, 2, 3, 4))}, {", ".join(f"round(min(CASE WHEN k = least(floor({p / 100} * n + 0.5), n - 1) + 1 THEN resid END), 6) AS p{p}" for p in (16, 84))},
+round(median(resid), 6) AS p50, round(median(resid), 6) AS median, round(avg(resid), 6) AS mean, round(stddev_pop(resid), 6) AS stddev, round(sqrt(avg(resid * resid)), 6) AS rmse, round(1.4826 * median(abs(resid - m)), 6) AS nmad FROM r""")
 def error_summary(spark, d):
-    # ranks by value counts: equal values are alike, so no row needs a place of its own
-    h = residuals(spark, d).groupBy("resid").agg(F.count("*").alias("c"))
-    w = Window.orderBy("resid")
-    h = h.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    out = []
-    for q in (0.25, 0.5, 0.75, 1.0):
-        most = F.floor(q * F.col("n"))
-        took = F.greatest(F.lit(0), F.least(F.col("c"), most - (F.col("upto") - F.col("c"))))
-        out.append((F.sum(took * F.col("resid")) / F.sum(took)).alias(f"best{round(100 * q)}"))
-    out.append(F.sqrt(F.sum(F.col("c") * F.col("resid") * F.col("resid")) / F.sum("c")).alias("rmse"))
-    return rounded(h.agg(*out), "best25", "best50", "best75", "best100", "rmse")
-
-
-@query("SELECT l_suppkey AS camera, count(*) FILTER (WHERE l_discount >= 0.05) / count(*)::DOUBLE AS valid_fraction, count(*) FILTER (WHERE l_discount = 0) AS invalid FROM lineitem GROUP BY 1")
+    out = reports.error_summary(residuals(spark, d), "resid")
+    return rounded(out, *out.columns)
+
+
+@query("""WITH c AS (SELECT l_suppkey AS camera, l_discount * 100 - 1 AS v FROM lineitem)
+SELECT camera, count(*) FILTER (WHERE v < 0) AS masked, count(*) FILTER (WHERE v = 0 OR v >= 8) AS invalid, round(count(*) FILTER (WHERE v > 0 AND v < 8) / count(*) FILTER (WHERE v >= 0)::DOUBLE, 6) AS valid_fraction FROM c GROUP BY 1""")
 def coverage_fraction(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("camera")).agg((F.count_if(F.col("l_discount") >= 0.05) / F.count("*")).alias("valid_fraction"), F.count_if(F.col("l_discount") == 0).alias("invalid"))
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("camera"), (F.col("l_discount") * 100 - 1).alias("v"))
+    return rounded(reports.coverage(t, "v", 8.0, ["camera"]), "valid_fraction")
 
 
 @query(f"""WITH {CLOUD} SELECT round(covar_pop(x, y), 4) AS xy, round(covar_pop(x, z), 4) AS xz, round(covar_pop(y, z), 4) AS yz, round(var_pop(x), 4) AS xx, round(var_pop(y), 4) AS yy, round(var_pop(z), 4) AS zz, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM cloud""")
@@ -282,9 +273,7 @@ def footprint_overlaps(spark, d):
 
 @query("SELECT a.l_suppkey AS c1, b.l_suppkey AS c2, count(*) AS matches FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL")
 def track_pairs(spark, d):
-    obs = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    a, b = obs.select("l_orderkey", F.col("l_suppkey").alias("c1")), obs.select("l_orderkey", F.col("l_suppkey").alias("c2"))
-    return a.join(b, "l_orderkey").filter("c1 < c2").groupBy("c1", "c2").agg(F.count("*").alias("matches"))
+    return networks.track_pairs(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p_size < 10)")
@@ -313,13 +302,16 @@ def mask_dilation(spark, d):
     return neighbourhood.dilate(raster(spark, d), 2)
 
 
-@query(f"""WITH {RASTER}, v AS (SELECT * FROM raster WHERE v IS NOT NULL) SELECT col, "row", v, (1 + least(col - min(col) OVER (PARTITION BY "row"), max(col) OVER (PARTITION BY "row") - col, "row" - min("row") OVER (PARTITION BY col), max("row") OVER (PARTITION BY col) - "row"))::DOUBLE AS weight FROM v""")
+@query(f"""WITH {RASTER}, v AS (SELECT *, min(col) OVER a AS l, max(col) OVER a AS r, min("row") OVER b AS t, max("row") OVER b AS u FROM raster WHERE v IS NOT NULL WINDOW a AS (PARTITION BY "row"), b AS (PARTITION BY col)),
+h AS (SELECT *, (r - l) / 2.0::DOUBLE AS hx, (u - t) / 2.0::DOUBLE AS hy FROM v)
+SELECT col, "row", v, round(CASE WHEN hx > 0 THEN least(greatest(0, hx - abs(col - (l + r) / 2.0::DOUBLE) + 1e-8 * hx), 8) ELSE 0 END * CASE WHEN hy > 0 THEN least(greatest(0, hy - abs("row" - (t + u) / 2.0::DOUBLE) + 1e-8 * hy), 8) ELSE 0 END, 6) AS weight FROM h""")
 def centreline_weights(spark, d):
-    return neighbourhood.centreline_weight(raster(spark, d))
+    return rounded(neighbourhood.centreline_weight(raster(spark, d), 8.0), "weight")
 
 
-@query(f"""WITH {RASTER}, v AS (SELECT * FROM raster WHERE v IS NOT NULL) SELECT a.col, a."row", round(degrees(atan(sqrt(pow((e.v - w.v) / 200, 2) + pow((n.v - s.v) / 200, 2)))), 6) AS slope,
-round(degrees(atan2((n.v - s.v) / 200, (e.v - w.v) / 200)), 6) AS aspect FROM v a JOIN v w ON w.col = a.col - 1 AND w."row" = a."row" JOIN v e ON e.col = a.col + 1 AND e."row" = a."row" JOIN v n ON n.col = a.col AND n."row" = a."row" - 1 JOIN v s ON s.col = a.col AND s."row" = a."row" + 1""")
+@query(f"""WITH {RASTER}, v AS (SELECT * FROM raster WHERE v IS NOT NULL), g AS (SELECT a.col, a."row", e.v - w.v AS dx, s.v - n.v AS dy FROM v a JOIN v w ON w.col = a.col - 1 AND w."row" = a."row" JOIN v e ON e.col = a.col + 1 AND e."row" = a."row"
+JOIN v n ON n.col = a.col AND n."row" = a."row" - 1 JOIN v s ON s.col = a.col AND s."row" = a."row" + 1), t AS (SELECT *, degrees(atan2(dy, -dx)) AS t FROM g)
+SELECT col, "row", round(degrees(atan(sqrt(dx * dx + dy * dy) / 200)), 6) AS slope, CASE WHEN dx <> 0 OR dy <> 0 THEN round(CASE WHEN t > 90 THEN 450 - t ELSE 90 - t END - CASE WHEN CASE WHEN t > 90 THEN 450 - t ELSE 90 - t END >= 360 THEN 360 ELSE 0 END, 6) END AS aspect FROM t""")
 def slope_aspect(spark, d):
     return rounded(neighbourhood.slope_aspect(raster(spark, d), 100.0), "slope", "aspect")
 
@@ -332,11 +324,11 @@ def moving_average(spark, d):
 # --- tracks, sets, order ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000000 + o_orderkey % 1000 AS b FROM orders WHERE o_totalprice > 300000),
-n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, track) AS (SELECT x, x FROM n UNION SELECT n.y, r.track FROM r JOIN n ON n.x = r.node AND r.track < n.y)
-SELECT node, min(track) AS track FROM r GROUP BY node""")
+@query("""WITH e AS (SELECT o_orderkey AS a, 1000000000000 + o_orderkey // 7 AS b FROM orders), g AS (SELECT b, min(a) AS track FROM e GROUP BY b)
+SELECT a AS node, track FROM e JOIN g ON e.b = g.b UNION SELECT b, track FROM g""")
 def match_tracks(spark, d):
-    links = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("a"), (F.lit(1000000000) + F.col("o_orderkey") % 1000).alias("b"))
+    """All orders, each matched with the seventh of the keys it falls in: components are known, so the twin needs no recursion."""
+    links = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.expr("1000000000000 + o_orderkey div 7").alias("b"))
     return tracks.tracks(links)
 
 
@@ -360,20 +352,19 @@ def track_lengths(spark, d):
 
 @query("SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM (SELECT l_suppkey AS a, l_partkey % 100 + 1 AS b FROM lineitem UNION ALL SELECT l_partkey % 100 + 1, l_suppkey FROM lineitem) WHERE a <> b")
 def pair_closure(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b"))
-    both = t.unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    return networks.pair_closure(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def unseen_cameras(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Customers without the reference cameras, those with an urgent order."""
+    seen = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").subtract(seen)
 
 
 @query("SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events")
 def consecutive_frames(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return frames(spark, d).select("user_id", "event_id", F.lead("event_id").over(w).alias("next_id"))
+    return series.consecutive(frames(spark, d), ["user_id"], ["ts", "event_id"], "event_id", "next_id").select("user_id", "event_id", "next_id")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type AS sensor, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

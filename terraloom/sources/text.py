@@ -130,10 +130,34 @@ def parse_report(lines: DataFrame, header: str, strings: list[str], numbers: lis
 
 
 def parse_settings(text: Column) -> Column:
-    """`A=1 B=a=b C=long value` as a map: a name is the word before an equals sign; its value runs to the next name."""
-    names = F.regexp_extract_all(text, F.lit(r"(?:^|\s)([A-Za-z_]\w*)="), F.lit(1))
-    values = F.slice(F.split(text, r"(?:^|\s+)[A-Za-z_]\w*="), 2, 1 << 20)
-    return F.map_from_entries(F.arrays_zip(names.alias("k"), F.transform(values, lambda v: F.trim(v)).alias("v")))
+    """`A=1 B=a=b C=long value` as a map, the last of equal names counting.
+
+    Words are separated by white space. One with an equals sign after its first character starts a name, of any
+    characters, with the rest of the word as value; a word without one, or starting with one, goes on with the value
+    before it, after a blank. A name without value, or a first word that is no name, raises.
+    """
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    start = lambda w: F.locate("=", w) > 1
+
+    def step(acc: Column, w: Column) -> Column:
+        name = F.substring_index(w, "=", 1)
+        value = F.substr(w, F.locate("=", w) + 1)
+        fresh = F.when(value == "", F.raise_error(F.concat(F.lit("no value: "), w))).otherwise(value)
+        last = F.element_at(acc, -1)
+        longer = F.when(F.size(acc) == 0, F.raise_error(F.concat(F.lit("no name: "), w))).otherwise(F.concat(last["v"], F.lit(" "), w))
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["k"].alias("k"), longer.alias("v"))))
+        return F.when(start(w), F.concat(acc, F.array(F.struct(name.alias("k"), fresh.alias("v"))))).otherwise(grown)
+
+    pairs = F.aggregate(words, F.array().cast("array<struct<k:string,v:string>>"), step)
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def parse_key_values(lines: DataFrame) -> DataFrame:
+    """lines(value) -> key, values: the first word of each line and the others; empty lines and comments (#) are left out."""
+    words = F.split(F.trim("value"), r"[ \t]+")
+    kept = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    return kept.select(F.get(words, F.lit(0)).alias("key"), F.slice(words, 2, F.size(words)).alias("values"))
 
 
 def parse_numbers(text: Column) -> Column:

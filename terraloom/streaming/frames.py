@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.operators.storage import shared_path
+
 
 def frame_stream(spark: SparkSession, folder: str, name: str, per_trigger: int = 64) -> DataFrame:
     """The files of a folder with this name pattern as a stream; ts as TIMESTAMP, which watermarks need."""
@@ -33,8 +32,19 @@ def final_state(stream: DataFrame, name: str) -> DataFrame:
     Each batch replaces one folder of the shared place, so a repeated batch changes nothing; no row passes the driver.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terraloom-")
-    at = f"{base.rstrip('/')}/terraloom/{name}-{uuid.uuid4().hex}"
+    at = shared_path(spark, name)
     run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/result"))
     run.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/result")
+
+
+def closed_windows(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a windowed stream in append mode over all that is there: a window is written once, when the watermark passes its end.
+
+    State is dropped with it, so memory is bounded by the open windows; those still open at the end aren't in the result.
+    """
+    spark = stream.sparkSession
+    at = shared_path(spark, name)
+    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/result").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    run.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/result")
