@@ -169,10 +169,12 @@ def error_clusters(df: DataFrame, value: str, rounds: int = 20) -> DataFrame:
 
     e = F.when(F.col(value) == 0, F.lit(9999999.0)).otherwise(F.col(value))
     v = df.select(e.cast("double").alias("e"))
-    facts = v.agg(F.percentile_approx("e", [0.25, 0.75]).alias("q"), F.var_pop("e").alias("var"), F.count("*").alias("n")).first()
+    facts = v.agg(F.avg("e").alias("mean"), F.var_pop("e").alias("var"), F.count("*").alias("n")).first()
     if not facts["n"]:
         return df
-    mean, var, share = list(facts["q"]), [max(facts["var"], 1e-12)] * 2, [0.5, 0.5]
+    tight = S.centre_and_nmad(v, "e").first()
+    # one cluster starts as the values around the median, the other as all of them
+    mean, var, share = [tight["median"], facts["mean"]], [max(tight["nmad"] ** 2, 1e-12), max(facts["var"], 1e-12)], [0.5, 0.5]
     for _ in range(rounds):
         dens = [share[k] / math.sqrt(var[k]) * F.exp(-F.pow(F.col("e") - mean[k], 2) / (2 * var[k])) for k in (0, 1)]
         part = F.coalesce(F.try_divide(dens[0], dens[0] + dens[1]), (F.abs(F.col("e") - mean[0]) <= F.abs(F.col("e") - mean[1])).cast("double"))

@@ -148,11 +148,12 @@ def triangles(cells: DataFrame) -> DataFrame:
 
 def same_frame(rasters: list[DataFrame]) -> DataFrame:
     """The rasters (col, row, v) side by side as v0, v1, ...; a raster of another number of cells raises when it is read."""
-    out = rasters[0].select("col", "row", F.col("v").alias("v0"))
-    for i, r in enumerate(rasters[1:], 1):
-        out = out.join(r.select("col", "row", F.col("v").alias(f"v{i}"), F.lit(True).alias(f"_in{i}")), ["col", "row"], "full_outer")
-    whole = [F.col(f"_in{i}").isNull() for i in range(1, len(rasters))]
-    bad = F.array_contains(F.array(*whole), True) if whole else F.lit(False)
+    parts = [r.select("col", "row", F.col("v").alias(f"v{i}"), F.lit(True).alias(f"_in{i}")) for i, r in enumerate(rasters)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, ["col", "row"], "full_outer")
+    there = F.array(*(F.col(f"_in{i}").isNotNull() for i in range(len(rasters))))
+    bad = F.array_contains(there, False)
     return out.select("col", "row", *(F.when(bad, F.raise_error(F.lit("rasters of different size"))).otherwise(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(rasters))))
 
 
@@ -162,3 +163,19 @@ def overlap_list(names: DataFrame, pairs: DataFrame) -> DataFrame:
     out = pairs.join(known.select(F.col("name").alias("a"), F.col("place").alias("i")), "a", "left").join(known.select(F.col("name").alias("b"), F.col("place").alias("j")), "b", "left")
     unknown = lambda side, at: F.when(F.col(at).isNull(), F.raise_error(F.concat(F.lit("unknown image: "), F.col(side)))).otherwise(F.col(at))
     return out.select(unknown("a", "i").alias("i"), unknown("b", "j").alias("j"))
+
+
+def blunder_filter(rows: DataFrame, ref: DataFrame, key: str, value: str, most: float) -> DataFrame:
+    """rows within `most` of the mean of the reference's rows of their key; rows without a reference stay."""
+    mean = ref.groupBy(key).agg(F.avg(value).alias("_m"))
+    return rows.join(mean, key, "left").filter(F.coalesce(F.abs(F.col(value) - F.col("_m")) <= most, F.lit(True))).drop("_m")
+
+
+def points_by_disparity(points: DataFrame, disparity: DataFrame, heights: DataFrame) -> DataFrame:
+    """points(id, col, row) carried by disparity(col, row, dx, dy) to a reference raster heights(col, row, height).
+
+    id, col, row, rx, ry and the height there; points without a disparity, or that land on no height, are left out.
+    """
+    moved = points.join(disparity.dropna(subset=["dx", "dy"]), ["col", "row"]).withColumns({"rx": F.col("col") + F.col("dx"), "ry": F.col("row") + F.col("dy")})
+    at = heights.filter(F.col("height").isNotNull()).select(F.col("col").alias("_c"), F.col("row").alias("_r"), "height")
+    return moved.join(at, (F.floor(F.col("rx") + 0.5) == F.col("_c")) & (F.floor(F.col("ry") + 0.5) == F.col("_r"))).select("id", "col", "row", "rx", "ry", "height")

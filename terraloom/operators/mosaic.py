@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.statistics import nmad
@@ -52,3 +52,37 @@ def blend(cells: DataFrame, weight: str) -> DataFrame:
 def propagate_holes(cells: DataFrame) -> DataFrame:
     """Mean of a cell, null if any input has a hole there."""
     return cells.groupBy("col", "row").agg(F.when(~F.bool_or(F.col("v").isNull()), F.avg("v")).alias("mean"))
+
+
+def priority_blend(cells: DataFrame, depth: str, reach: float, power: float) -> DataFrame:
+    """Earlier inputs win, except near their border, where they pass over into later ones.
+
+    depth is a cell's distance to its input's border. The first valid input of a cell has its full weight, depth to a
+    power; the others' are scaled by 1 - depth of the first / reach, at least 0.
+    """
+    v = cells.filter(F.col("v").isNotNull())
+    w = Window.partitionBy("col", "row")
+    v = v.withColumn("_top", F.min(F.struct("idx", F.col(depth).alias("d"))).over(w))
+    rest = F.greatest(F.lit(0.0), 1 - F.col("_top.d") / reach)
+    weight = F.pow(depth, power) * F.when(F.col("idx") == F.col("_top.idx"), 1.0).otherwise(rest)
+    return v.groupBy("col", "row").agg(F.try_divide(F.sum(weight * F.col("v")), F.sum(weight)).alias("v"))
+
+
+def max_lit(cells: DataFrame) -> DataFrame:
+    """The largest valid value of each cell, at least 0: the composite starts from black."""
+    return cells.filter(F.col("v").isNotNull()).groupBy("col", "row").agg(F.greatest(F.max("v"), F.lit(0.0)).alias("v"))
+
+
+def mean_differences(cells: DataFrame) -> DataFrame:
+    """i, j, mean, n for each pair of inputs i < j: the mean of i less j on the cells valid in both.
+
+    A cell's inputs are paired among themselves; their number is that of the inputs, not of the cells.
+    """
+    v = cells.filter(F.col("v").isNotNull())
+    a, b = v.select("col", "row", F.col("idx").alias("i"), F.col("v").alias("a")), v.select("col", "row", F.col("idx").alias("j"), F.col("v").alias("b"))
+    return a.join(b, ["col", "row"]).filter("i < j").groupBy("i", "j").agg(F.avg(F.col("a") - F.col("b")).alias("mean"), F.count("*").alias("n"))
+
+
+def lit_albedo(cells: DataFrame, shadow: float) -> DataFrame:
+    """mean of each image's cells above the shadow threshold, and its highest cell."""
+    return cells.groupBy("idx").agg(F.avg(F.when(F.col("v") > shadow, F.col("v"))).alias("mean"), F.max("v").alias("highest"))

@@ -149,3 +149,17 @@ def correlation(pairs: DataFrame, half: int) -> DataFrame:
     sent = sent.select((F.col("col") + F.col("_dx")).alias("col"), (F.col("row") + F.col("_dy")).alias("row"), "l", "r")
     s = sent.groupBy("col", "row").agg(F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.count("*").alias("n"))
     return s.filter(F.col("n") == (2 * half + 1) ** 2).select("col", "row", F.try_divide("lr", F.sqrt(F.col("ll") * F.col("rr"))).alias("ncc"))
+
+
+def fill_holes(cells: DataFrame, radius: int, power: float, share: float) -> DataFrame:
+    """cells with holes filled by the mean of the valid cells within the radius, weighted by distance to the power -power.
+
+    A hole is filled only if at least `share` of the disc's places around it are valid.
+    """
+    places = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if 0 < dx * dx + dy * dy <= radius * radius]
+    to = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(dx * dx + dy * dy) ** (-power / 2)).alias("w")) for dx, dy in places)))
+    sent = cells.filter(F.col("v").isNotNull()).withColumn("_s", to).select((F.col("col") + F.col("_s.dx")).alias("col"), (F.col("row") + F.col("_s.dy")).alias("row"), F.col("_s.w").alias("_w"), F.col("v").alias("_v"))
+    holes = cells.filter(F.col("v").isNull()).select("col", "row")
+    mean = F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")
+    found = holes.join(sent, ["col", "row"]).groupBy("col", "row").agg(F.when(F.count("*") >= share * len(places), mean).alias("_m"))
+    return cells.join(found, ["col", "row"], "left").select("col", "row", F.coalesce("v", "_m").alias("v"))

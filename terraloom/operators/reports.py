@@ -102,7 +102,7 @@ def percentile_stretch(cells: DataFrame, low: float = 2.0, high: float = 98.0) -
     s = S.picks(v, "v", {"lo": S.floor_place(low / 100), "hi": S.floor_place(high / 100)}, ["idx"])
     scaled = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255 + 0.5)
     stretched = F.greatest(F.lit(0), F.least(F.lit(255), scaled))
-    return cells.join(F.broadcast(s), "idx", "left").select("idx", "col", "row", F.coalesce(stretched, F.lit(0)).cast("smallint").alias("stretched"))
+    return cells.join(F.broadcast(s), "idx", "left").select("idx", "col", "row", F.when(F.col("v").isNotNull(), stretched).otherwise(0).cast("smallint").alias("stretched"))
 
 
 def binned_statistics(df: DataFrame, x: str, y: str, bins: int, lo: float, hi: float) -> DataFrame:

@@ -36,7 +36,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df, *names: str, digits: int = 6):
-    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+    """Columns rounded; a negative zero becomes zero."""
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) + F.lit(0.0) for n in names})
 
 
 # --- gridding ---------------------------------------------------------------------------------------------------------
@@ -145,7 +146,7 @@ def ephemeris_equations(spark, d):
 
 @query(f"""WITH {CELLS}, k AS (SELECT idx, list_sort(list(v)) AS s FROM cells WHERE v IS NOT NULL GROUP BY idx),
 s AS (SELECT idx, s[floor(0.02 * len(s))::BIGINT + 1] AS lo, s[least(floor(0.98 * len(s))::BIGINT, len(s) - 1) + 1] AS hi FROM k)
-SELECT cells.idx, col, "row", coalesce(greatest(0, least(255, floor((v - lo) / (hi - lo) * 255 + 0.5))), 0)::SMALLINT AS stretched FROM cells LEFT JOIN s ON cells.idx = s.idx""")
+SELECT cells.idx, col, "row", CASE WHEN v IS NULL THEN 0 ELSE greatest(0, least(255, floor((v - lo) / (hi - lo) * 255 + 0.5))) END::SMALLINT AS stretched FROM cells LEFT JOIN s ON cells.idx = s.idx""")
 def percentile_stretch(spark, d):
     return reports.percentile_stretch(cells(spark, d))
 
@@ -373,4 +374,4 @@ def frames_per_hour(spark, d):
     return rounded(out, "total", digits=4)
 
 
-from terraloom.plans import more  # noqa: E402,F401  registers its queries
+from terraloom.plans import matches, more, rasters, summaries  # noqa: E402,F401  they register their queries

@@ -48,7 +48,7 @@ def network_lines(cameras: DataFrame, points: DataFrame, obs: DataFrame) -> Data
     fewer than two raises. A track is gathered in one row, which the number of cameras bounds.
     """
     n = cameras.agg(F.count("*").alias("n"))
-    top = n.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("line"), F.lit(NETWORK_TITLE).alias("value")), F.struct(F.lit(1).cast("long"), F.col("n").cast("string")))).alias("s")).select("s.*")
+    top = n.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("line"), F.lit(NETWORK_TITLE).alias("value")), F.struct(F.lit(1).cast("long").alias("line"), F.col("n").cast("string").alias("value")))).alias("s")).select("s.*")
     cams = cameras.select((F.col("cid") + 2).cast("long").alias("line"), F.concat_ws(" ", "name", *(F.col(c).cast("string") for c in ("focal", "qw", "qx", "qy", "qz", "x", "y", "z")), F.lit("0 0")).alias("value"))
     total = points.agg(F.count("*").cast("string").alias("value")).crossJoin(n).select((F.col("n") + 2).cast("long").alias("line"), "value")
     one = F.concat_ws(" ", F.col("cid").cast("string"), F.col("fid").cast("string"), F.col("px").cast("string"), F.col("py").cast("string"))

@@ -143,9 +143,9 @@ def parse_settings(text: Column) -> Column:
         name = F.substring_index(w, "=", 1)
         value = F.substr(w, F.locate("=", w) + 1)
         fresh = F.when(value == "", F.raise_error(F.concat(F.lit("no value: "), w))).otherwise(value)
-        last = F.element_at(acc, -1)
+        last = F.get(acc, F.size(acc) - 1)
         longer = F.when(F.size(acc) == 0, F.raise_error(F.concat(F.lit("no name: "), w))).otherwise(F.concat(last["v"], F.lit(" "), w))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["k"].alias("k"), longer.alias("v"))))
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["k"].alias("k"), longer.alias("v"))))
         return F.when(start(w), F.concat(acc, F.array(F.struct(name.alias("k"), fresh.alias("v"))))).otherwise(grown)
 
     pairs = F.aggregate(words, F.array().cast("array<struct<k:string,v:string>>"), step)
@@ -153,11 +153,11 @@ def parse_settings(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def parse_key_values(lines: DataFrame) -> DataFrame:
-    """lines(value) -> key, values: the first word of each line and the others; empty lines and comments (#) are left out."""
+def parse_key_values(lines: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """lines(value, ...) -> others, key, values: the first word of each line and the others; empty lines and comments (#) are left out."""
     words = F.split(F.trim("value"), r"[ \t]+")
     kept = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    return kept.select(F.get(words, F.lit(0)).alias("key"), F.slice(words, 2, F.size(words)).alias("values"))
+    return kept.select(*others, F.get(words, F.lit(0)).alias("key"), F.slice(words, 2, F.size(words)).alias("values"))
 
 
 def parse_numbers(text: Column) -> Column:

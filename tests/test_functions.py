@@ -17,7 +17,10 @@ def test_right_grouping_and_missing_values(spark):
     assert one(spark, calculate("max(var_0, var_1)", v), a=10, b=None) is None
     assert one(spark, calculate("lt(var_0, var_1, 1, 2)", v), a=1, b=1) == 2
     assert one(spark, calculate("-(var_0 + 2) * 3", v), a=1, b=0) == -9
-    assert one(spark, calculate("var_0 / var_1", v), a=1, b=0) is None
+    assert one(spark, calculate("var_0 / var_1", v), a=1, b=0) == float("inf")
+    assert one(spark, calculate("var_0 / var_1", v), a=-1, b=0) == float("-inf")
+    assert one(spark, calculate("var_0 / var_1", v), a=0, b=0) != one(spark, calculate("var_0 / var_1", v), a=0, b=0)
+    assert 0 <= one(spark, calculate("rand() + 0 * var_0", v), a=0, b=0) < 1
 
 
 @pytest.mark.parametrize("text", ["1 +", "foo(1)", "(1", "1 $ 2", "pow(1, 2"])

@@ -23,7 +23,7 @@ def db(sf_dir):
 
 def same(a, b):
     if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=1e-9)
+        return a is not None and b is not None and (math.isclose(float(a), float(b), rel_tol=1e-9, abs_tol=1e-9) or math.isnan(a) and math.isnan(b))
     return a == b
 
 
@@ -36,9 +36,9 @@ def test_matches_sql(spark, sf_dir, db, name):
     assert sorted(columns) == sorted(df.columns)
     at = [columns.index(c) for c in df.columns]
     wanted = [tuple(r[i] for i in at) for r in cursor.fetchall()]
-    key = lambda r: tuple((x is None, round(x, 3) if isinstance(x, float) else str(x)) if not isinstance(x, (int, float)) or isinstance(x, bool) else (False, round(float(x), 3)) for x in r)
-    got.sort(key=lambda r: str(key(r)))
-    wanted.sort(key=lambda r: str(key(r)))
+    key = lambda r: tuple((x is None, f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)) for x in r)
+    got.sort(key=key)
+    wanted.sort(key=key)
     assert len(got) == len(wanted)
     assert all(same(x, y) for g, w in zip(got, wanted, strict=True) for x, y in zip(g, w, strict=True))
 

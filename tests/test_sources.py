@@ -9,6 +9,7 @@ def lines(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "value string")
 
 
+# Sample lines of the point formats and what they hold.
 @pytest.mark.parametrize(
     ("fmt", "line", "wanted"),
     [
@@ -66,6 +67,19 @@ def test_settings_and_numbers(spark):
     assert row["m"] == {"A": "1", "B": "a=b", "C": "long value"} and row["n"] == [1.0, 2.0, None]
 
 
+@pytest.mark.parametrize("line", ["A=", "word A=1", "=1 A=2", "A=1 B="])
+def test_bad_settings(spark, line):
+    with pytest.raises(Exception, match="no (value|name)"):
+        lines(spark, line).select(text.parse_settings(F.col("value"))).collect()
+
+
+def test_setting_names_and_blanks(spark):
+    row = lines(spark, "a-b.c=1   two  =x  D=4 a-b.c=9").select(text.parse_settings(F.col("value")).alias("m")).first()
+    assert row["m"] == {"a-b.c": "9", "D": "4"} and lines(spark, "").select(text.parse_settings(F.col("value")).alias("m")).first()["m"] == {}
+    got = text.parse_key_values(lines(spark, "# no", "", " key a  b")).first()
+    assert (got["key"], got["values"]) == ("key", ["a", "b"])
+
+
 def test_pixels_kinds_and_angles(spark):
     row = spark.range(1).select(
         text.as_pixel(F.lit(300.7), "uint8").alias("a"), text.as_pixel(F.lit(-5.0), "uint32").alias("b"), text.rounded_offset(F.lit(10.3), 10, 0.25).alias("c"),
