@@ -1,12 +1,12 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 1. Count the rows of each input partition (no column is read for that).
-2. Draw the matrix "rows that partition p sends to shard s" from the multivariate hypergeometric law with both margins
-   fixed: rows of p by count, rows of s by the exact size of the shard. It has partitions x shards numbers, whatever the
-   number of rows.
+2. The matrix "rows that partition p sends to chunk c" follows the multivariate hypergeometric law with both margins
+   fixed: rows of p by count, rows of c by exact size; a shard is a run of chunks of at most CHUNK_ROWS slots. It is never
+   held as a whole: a binary tree over the partitions splits the chunks' sizes between its halves, each node with a
+   generator of its own, and a task walks from the root to its own row. The law is closed under such splits.
 3. Each partition permutes its rows locally and deals them out by its row of the matrix.
-4. The rows are exchanged; the second permutation gives a row its slot. It is a keyed bijection of the shard's slots
-   (Feistel rounds with cycle walking), so a shard may be spread over any number of tasks and none needs a whole one.
+4. The rows are exchanged, and each chunk permutes what arrived; a row's place there is its slot.
 """
 
 from __future__ import annotations
@@ -16,111 +16,129 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraloom.llm.common import crc32_of, materialize, mix64, table  # noqa: F401
+from terraloom.llm.common import materialize, table
 
-#: Rows of a shard that one task of the exchange sorts.
+#: Slots of a shard that one task of the exchange permutes.
 CHUNK_ROWS = 50_000
+#: From here on numpy's samplers take no more rows; draws go by inversion instead, with the same law.
+SAMPLER_ROWS = 1_000_000_000
 
 
-def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Rows for each pair (partition, shard); its row sums are counts, its column sums are sizes."""
-    rng = np.random.Generator(np.random.Philox(seed))
-    left = np.asarray(sizes, np.int64).copy()
-    out = np.zeros((len(counts), len(left)), np.int64)
-    for p, n in enumerate(counts):
-        rest, wanted = int(left.sum()), int(n)
-        for s in range(len(left)):
-            if wanted == 0:
-                break
-            rest -= int(left[s])
-            # numpy's sampler takes up to 1e9 rows of each kind; one draw may be split, as the law is closed under it
-            got = wanted if rest == 0 else _hypergeometric(rng, int(left[s]), rest, wanted)
-            out[p, s] = got
-            wanted -= got
-        left -= out[p]
-    return out
-
-
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn from good + bad are good.
+
+    Beyond the sampler's range by inversion: probabilities relative to the mode come from the exact ratios of neighbours,
+    over 14 standard deviations to either side, which leaves out less than a generator of 53 bits can tell.
+    """
+    lo, hi = max(0, n - bad), min(good, n)
+    if lo == hi:
+        return lo
+    if good < SAMPLER_ROWS and bad < SAMPLER_ROWS:
         return int(rng.hypergeometric(good, bad, n))
-    # beyond the sampler's range: the normal law with the same mean and variance, clipped to what is possible
     total = good + bad
-    mean = n * good / total
-    var = mean * (bad / total) * ((total - n) / max(total - 1, 1))
-    return int(min(max(round(rng.normal(mean, var**0.5)), n - bad, 0), good, n))
-
-
-def permuted_slot(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """A bijection of 0 .. size-1 for each key: Feistel rounds on the next even number of bits, walked back into range."""
-    size = size.astype(np.uint64)
-    bits = np.maximum(np.ceil(np.log2(np.maximum(size.astype(float), 2))).astype(np.uint64), np.uint64(2))
-    half = (bits + np.uint64(1)) >> np.uint64(1)
-    mask = (np.uint64(1) << half) - np.uint64(1)
-    out = index.astype(np.uint64)
-    todo = np.arange(len(out))
-    while len(todo):
-        x, h, m, k = out[todo], half[todo], mask[todo], key[todo].astype(np.uint64)
-        left, right = x >> h, x & m
-        for r in range(rounds):
-            left, right = right, left ^ (mix64(right + (k << np.uint64(20)) * np.uint64(2 * r + 3) + np.uint64(r * 0x632BE5AB)) & m)
-        out[todo] = (left << h) | right
-        todo = todo[out[todo] >= size[todo]]
-    return out.astype(np.int64)
-
-
-def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 7, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
+    mode = min(max((n + 1) * (good + 1) // (total + 2), lo), hi)
+    spread = int(14 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5) + 20
+    first, last = max(lo, mode - spread), min(hi, mode + spread)
+    k = np.arange(first, last, dtype=np.longdouble)  # from k to k + 1
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    log_p = np.concatenate([[np.longdouble(0)], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(log_p - log_p.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
+
+
+def split(rng: np.random.Generator, sizes: np.ndarray, n: int) -> np.ndarray:
+    """How many rows of each kind n rows hold that are drawn from kinds of these sizes."""
+    total = int(sizes.sum())
+    if len(sizes) == 1:
+        return np.array([n], np.int64)
+    if total < SAMPLER_ROWS:
+        return rng.multivariate_hypergeometric(sizes, n, method="marginals")
+    half = len(sizes) // 2
+    left = int(sizes[:half].sum())
+    here = hypergeometric(rng, left, total - left, n)
+    return np.concatenate([split(rng, sizes[:half], here), split(rng, sizes[half:], n - here)])
+
+
+def matrix_row(upto: np.ndarray, sizes: np.ndarray, seed: int, p: int) -> np.ndarray:
+    """Row p of the matrix. upto: rows before each partition, with the total at the end; sizes: of the chunks."""
+    lo, hi, here = 0, len(upto) - 1, np.asarray(sizes, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = split(np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, lo, hi]))), here, int(upto[mid] - upto[lo]))
+        lo, hi, here = (lo, mid, left) if p < mid else (mid, hi, here - left)
+    return here
+
+
+def communication_matrix(counts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """All rows of the matrix; its row sums are counts, its column sums are sizes."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    return np.stack([matrix_row(upto, sizes, seed, p) for p in range(len(counts))])
+
+
+def chunks_of(n: int, n_shards: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, first slot, size) of every chunk: shards of n // n_shards rows, one more in the first n % n_shards."""
+    shard, first, size = [], [], []
+    for s in range(n_shards):
+        whole = n // n_shards + (s < n % n_shards)
+        starts = np.arange(0, max(whole, 1), rows)
+        shard.append(np.full(len(starts), s))
+        first.append(starts)
+        size.append(np.minimum(rows, whole - starts))
+    return tuple(np.concatenate(x).astype(np.int64) for x in (shard, first, size))
+
+
+def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 7, shard_col: str = "shard", slot_col: str = "slot", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All rows and columns of df with a shard (0 .. n_shards-1) and a slot in it (from 0, without gaps).
 
     The shuffle is uniform over all assignments with shard sizes n // n_shards, plus one for the first n % n_shards
-    shards. Cost: a count without columns, one pass and one exchange of the rows.
+    shards. Cost: a count without columns, one pass and one exchange of the rows. Eight bytes for each partition are
+    broadcast.
 
     Nulls and repeated rows are rows like others; an empty table gives an empty result. Columns of df named like the two
-    new ones raise ValueError. A df that isn't a plain scan is written to the shared folder first, as both passes must
-    see the same partitions; a pass that doesn't fails.
+    new ones, or _chunk, _first, _key or _at, raise ValueError. A df that isn't a plain scan is written to the shared
+    folder first, as both passes must see the same partitions; a pass that doesn't fails.
     """
-    if {shard_col, slot_col} & set(df.columns):
-        raise ValueError(f"the table has a column {shard_col} or {slot_col}")
+    extra = ["_chunk", "_first", "_key", "_at"]
+    if {shard_col, slot_col, *extra} & set(df.columns):
+        raise ValueError(f"the table has a column {shard_col}, {slot_col} or one of {extra}")
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = materialize(df, "sharding-input")
     found = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()  # a row for each partition
-    counts = np.zeros(1 + max((r["p"] for r in found), default=-1), np.int64)
+    counts = np.zeros(1 + max((r["p"] for r in found), default=0), np.int64)
     for r in found:
         counts[r["p"]] = r["count"]
-    n = int(counts.sum())
-    sizes = np.full(n_shards, n // n_shards, np.int64)
-    sizes[: n % n_shards] += 1
-    matrix = communication_matrix(counts, sizes, seed)
-    arrived = np.cumsum(matrix, axis=0) - matrix  # rows that a shard has from earlier partitions
-    shared = df.sparkSession.sparkContext.broadcast((matrix, arrived, sizes))
-    schema = T.StructType([*df.schema.fields, T.StructField(shard_col, T.IntegerType(), False), T.StructField(slot_col, T.LongType(), False)])
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    shared = df.sparkSession.sparkContext.broadcast(upto)
+    fields = [T.StructField(shard_col, T.IntegerType(), False), *(T.StructField(c, T.LongType(), False) for c in extra)]
+    schema = T.StructType([*df.schema.fields, *fields])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, arrived, sizes = shared.value
-        p = TaskContext.get().partitionId()
-        expected = int(matrix[p].sum()) if p < len(matrix) else 0
-        order = np.random.Generator(np.random.Philox([seed, p])).permutation(expected)
-        edges = np.cumsum(matrix[p]) if expected else np.zeros(0, np.int64)
+        upto, p = shared.value, TaskContext.get().partitionId()
+        shard_of, first_of, sizes = chunks_of(int(upto[-1]), n_shards, chunk_rows)
+        expected = int(upto[p + 1] - upto[p]) if p + 1 < len(upto) else 0
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, p])))
+        order = rng.permutation(expected)
+        edges = np.cumsum(matrix_row(upto, sizes, seed, p)) if expected else np.zeros(0, np.int64)
         at = 0
         for batch in batches:
             if at + batch.num_rows > expected:
                 raise RuntimeError("the input changed between two passes; write it to a table first")
-            place = order[at : at + batch.num_rows]
+            chunk = np.searchsorted(edges, order[at : at + batch.num_rows], "right")
+            place = upto[p] + np.arange(at, at + batch.num_rows)
             at += batch.num_rows
-            shard = np.searchsorted(edges, place, "right")
-            index = arrived[p][shard] + place - (edges[shard] - matrix[p][shard])
-            slot = permuted_slot(index, sizes[shard], mix64(np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + shard.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int32()), pa.array(slot, pa.int64())], names=[*batch.schema.names, shard_col, slot_col])
+            key = rng.integers(-(1 << 63), (1 << 63) - 1, batch.num_rows)
+            made = [pa.array(shard_of[chunk], pa.int32()), *(pa.array(x, pa.int64()) for x in (chunk, first_of[chunk], key, place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, shard_col, *extra])
         if at != expected:
             raise RuntimeError("the input changed between two passes; write it to a table first")
 
-    dealt = df.mapInArrow(deal, schema)
-    chunk = F.floor(F.col(slot_col) / F.lit(CHUNK_ROWS))
-    return dealt.repartition(F.col(shard_col), chunk).sortWithinPartitions(shard_col, slot_col)
+    order = Window.partitionBy("_chunk").orderBy("_key", "_at")
+    slot = (F.col("_first") + F.row_number().over(order) - 1).cast("long")
+    return df.mapInArrow(deal, schema).withColumn(slot_col, slot).drop(*extra)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
