@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.operators.storage import shared_path
+
 #: ASCII white space that separates words; every other character belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Tables up to this size are sent to every task; larger ones are joined by shuffling.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); where that is unset, as in tests, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-        else:
-            base = tempfile.mkdtemp(prefix="terraloom-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/terraloom/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage in a way that survives lost executors."""
     spark = df.sparkSession
@@ -43,6 +32,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def is_small(df: DataFrame, bytes_a_row: int) -> bool:
+    """Whether a written table's rows take BROADCAST_BYTES at most, by their number; such a table may be broadcast."""
+    return df.count() * bytes_a_row <= BROADCAST_BYTES
+
+
 def crc32_of(doc_id: Column) -> Column:
     """crc32 of an id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraloom.llm.common import WordHasher, batched, materialize, mix64, table
+from terraloom.llm.common import WordHasher, batched, is_small, materialize, mix64, table
 from terraloom.llm.graph import components
 
 WORDS = 5
@@ -43,8 +43,6 @@ BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 LEAST_AGREED = 72
 #: Candidates of a class confirmed in each round; the comparison of whole regions covers the others.
 ROUNDS = (1, 6)
-#: Up to so many candidate rows are sent to every task; beyond, sets are joined by shuffling them.
-BROADCAST_ROWS = 500_000
 BATCH_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20)
@@ -177,7 +175,7 @@ def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b, ca, cb), sets(class, shingles) -> a, b: components ca and cb of the pairs whose whole sets are similar enough."""
     both = pairs.select("a", "b", "ca", "cb", F.explode(F.array("a", "b")).alias("class"))
-    if both.count() <= BROADCAST_ROWS:
+    if is_small(both, 48):
         both = F.broadcast(both)
     joined = sets.join(both, "class").select("a", "b", "ca", "cb", "shingles")
     joined = joined.repartition("a", "b").sortWithinPartitions("a", "b")
@@ -261,7 +259,7 @@ def region_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     regions = rows.mapInArrow(plant(False), kind).groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.min("component").alias("least"), F.max("component").alias("most"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("sizes") * 8 / BLOCK_BYTES)).cast("int")
     regions = materialize(regions.filter("least < most").select("region", parts.alias("parts")), "forest-regions")
-    if regions.count() <= BROADCAST_ROWS:
+    if is_small(regions, 24):
         regions = F.broadcast(regions)
     dealt = rows.mapInArrow(plant(True), kind).join(regions, "region").withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -277,7 +275,7 @@ def region_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
                 yield group.filter(pa.array(met))
 
     doubtful = materialize(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(doubt, dealt.schema), "forest-doubtful")
-    few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_ROWS // 5 else doubtful
+    few = F.broadcast(doubtful) if is_small(doubtful, 60 + 5 * SIGNATURE) else doubtful
     joined = sets.join(few, "class").select(*doubtful.columns, "shingles").repartition(*keys).sortWithinPartitions(*keys)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +352,7 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """class, shingles (sorted 64-bit hashes) of the document that stands for each class."""
     few = nodes.select(F.col("doc_id").alias("node_id"), "class")
-    if few.count() <= BROADCAST_ROWS:
+    if is_small(few, 24):
         few = F.broadcast(few)
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["node_id"])).select("class", docs["text"].cast("binary").alias("text"))
 
@@ -388,3 +386,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
     """Component and decision for every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s),
+u AS (SELECT doc_id, hash(unnest(shingles)) AS shingle FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 75 * (x.n_shingles + y.n_shingles - both_have)),
+e AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+reach(node, least) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.least FROM reach r JOIN e ON e.x = r.node WHERE r.least < e.y),
+c AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON node = doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": bsi.OP4_SQL, "op5_warc": warc.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op4_topk": bsi.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_minhash": forest.OP6_SQL, "op7_suffix": suffixes.OP7_SQL, "op8_mixing": mixing.OP8_SQL}

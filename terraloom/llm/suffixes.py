@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraloom.llm.common import _BASE, _BASE_INVERSE, _BYTE_CODE, _powers, batched, materialize, mix64, shared_path, table
+from terraloom.llm.common import _BASE, _BASE_INVERSE, _BYTE_CODE, BROADCAST_BYTES, _powers, batched, materialize, mix64, shared_path, table
 from terraloom.llm.induced import InducedSorter, repeat_groups
 from terraloom.llm.sortedarrays import ROWS, SortedArrays, counted, write_arrays
 
@@ -38,11 +38,11 @@ LENGTH = 100
 GRAM = 32
 BATCH_BYTES = 1 << 19
 KEPT_ANCHORS = 400_000
+#: Bytes whose anchors are found at a time.
+PIECE_BYTES = 1 << 20
 BYTES_A_SHARD = 64 << 20
 SORT_BYTES = 1 << 20
 MOST_SHARDS = 4096
-#: Up to so many documents with spans are sent to every task; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 400_000
 SEPARATOR = 0xFF  # a byte that UTF-8 never has
 
 
@@ -59,7 +59,26 @@ class Anchors:
             self.sums, self.gram, self.ordered, self.spare = (np.empty(n + 1, np.uint64) for _ in range(4))
 
     def find(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(anchor, stretch hash, text number, first start in the text, number of strings); hashes of 63 bits."""
+        """(anchor, stretch hash, text number, first start in the text, number of strings); hashes of 63 bits.
+
+        Long texts are cut into pieces that share length - 1 bytes, which cuts stretches but no string.
+        """
+        step = PIECE_BYTES - self.length + 1
+        pieces = [(i, at, t[at : at + PIECE_BYTES]) for i, t in enumerate(texts) for at in range(0, max(len(t) - self.length + 1, 1), step)]
+        found, held, size = [], [], 0
+        for piece in pieces:
+            if held and size + len(piece[2]) > PIECE_BYTES:
+                found.append(self._find(held))
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece[2])
+        if held:
+            found.append(self._find(held))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+    def _find(self, pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        texts = [p[2] for p in pieces]
+        number, offset = (np.array([p[k] for p in pieces], np.int64) for k in (0, 1))
         data = np.frombuffer(b"".join(texts), np.uint8)
         n, length = len(data), self.length
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -79,8 +98,9 @@ class Anchors:
         gram *= np.uint64(0xBF58476D1CE4E5B9)
         np.right_shift(gram, np.uint64(32), out=spare)
         gram ^= spare
-        # the leading bits of a gram's hash with its place: the smallest in a window is the leftmost smallest hash
-        bits = np.uint64(n.bit_length())
+        # the leading bits of a gram's hash with its place: the smallest in a window is the leftmost of the smallest; the
+        # number of bits is fixed, so that a string has the same anchor in every batch
+        bits = np.uint64(PIECE_BYTES.bit_length())
         np.bitwise_and(gram, ~((np.uint64(1) << bits) - np.uint64(1)), out=ordered)
         ordered |= np.arange(grams, dtype=np.uint64)
         window, have = length - GRAM + 1, 1
@@ -99,7 +119,7 @@ class Anchors:
         a, which, run = cuts[fine], which[fine], run[fine]
         place = (ordered[a] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         stretch = mix64((sums[a + run + length - 1] - sums[a]) * self.down[a] + run.astype(np.uint64))
-        return (gram[place] >> np.uint64(1)).astype(np.int64), (stretch >> np.uint64(1)).astype(np.int64), which, a - (ends - lengths)[which], run
+        return (gram[place] >> np.uint64(1)).astype(np.int64), (stretch >> np.uint64(1)).astype(np.int64), number[which], a - (ends - lengths)[which] + offset[which], run
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -157,7 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeats = rows.join(firsts.select("anchor", "stretch", "first"), ["anchor", "stretch"]).filter(F.struct("doc", "tag", "start") != F.col("first"))
     spans = repeats.select("doc", "tag", "start", (F.col("start") + F.col("run") + (length - 1)).alias("end"))
     sizes = doubtful.groupBy("anchor").agg(F.sum(F.col("run") + (length - 1)).alias("bytes"))
-    hot = F.broadcast(materialize(sizes.filter(F.col("bytes") > SORT_BYTES).select("anchor"), "hot-anchors"))
+    hot = materialize(sizes.filter(F.col("bytes") > SORT_BYTES).select("anchor"), "hot-anchors")
     spans = spans.unionByName(_sorted_repeats(docs, doubtful.join(hot, "anchor", "left_anti"), length))
     spans = spans.unionByName(_hashed_repeats(docs, doubtful.join(hot, "anchor", "left_semi"), length))
     return _merged(spans, fields)
@@ -302,7 +322,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("the table has a column named doc, tag, raw, spans or kept")
     whole = keyed(docs)
     spans = materialize(repeated_spans(whole.select("doc", "tag", "raw"), length), "spans")
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    size = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    spans = F.broadcast(spans) if 40 * size[0] + 8 * (size[1] or 0) <= BROADCAST_BYTES else spans
     joined = whole.join(spans, ["doc", "tag"], "left").select(*(whole[c] for c in docs.columns), whole["raw"], spans["spans"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,3 +351,22 @@ def op7_suffix(spark, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP7_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (len(h) // 2)::BIGINT AS n_bytes FROM t),
+p AS (SELECT doc_id, unnest(range(1, n_bytes - 98)) AS i FROM n WHERE n_bytes >= 100),
+k AS (SELECT p.doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS k FROM p JOIN n ON n.doc_id = p.doc_id),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM k) WHERE r > 1),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (
+    SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM again)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+parts AS (SELECT s.doc_id, a, substr(h, 2 * before - 1, 2 * (a - before)) AS part FROM (
+    SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS before FROM s) s JOIN n ON n.doc_id = s.doc_id),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS first_parts FROM parts GROUP BY doc_id),
+e AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last_end FROM s GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last_end IS NULL THEN h ELSE first_parts || substr(h, 2 * last_end - 1) END)) AS kept_sha256
+FROM n LEFT JOIN e ON e.doc_id = n.doc_id LEFT JOIN kept ON kept.doc_id = n.doc_id
+"""

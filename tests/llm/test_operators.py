@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and repeated texts, ties and extra columns."""
 
 import collections
+import gzip
 import hashlib
 import math
 import re
@@ -53,8 +54,34 @@ def test_communication_matrix():
     counts, sizes = np.array([5, 0, 9]), np.array([7, 7])
     m = sharding.communication_matrix(counts, sizes, 1)
     assert m.sum(axis=1).tolist() == counts.tolist() and m.sum(axis=0).tolist() == sizes.tolist()
-    key = np.zeros(1000, np.int64)
-    assert sorted(sharding.permuted_slot(np.arange(1000), np.full(1000, 1000), key)) == list(range(1000))
+
+
+def test_hypergeometric_beyond_the_sampler(monkeypatch):
+    rng = np.random.default_rng(1)
+    draw = lambda *a: np.array([sharding.hypergeometric(rng, *a) for _ in range(4000)])
+    exact = [math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5) for k in range(6)]
+    monkeypatch.setattr(sharding, "SAMPLER_ROWS", 1)
+    got = np.bincount(draw(6, 9, 5), minlength=6)
+    assert sum((g - 4000 * e) ** 2 / (4000 * e) for g, e in zip(got, exact)) < 25  # 5 degrees of freedom
+    assert set(draw(3, 0, 2)) == {2} and set(draw(0, 3, 2)) == {0}
+    big = draw(3 * 10**9, 7 * 10**9, 10**6)
+    assert abs(big.mean() - 300_000) < 5 * (210_000 / 4000) ** 0.5 and abs(big.var() / 210_000 - 1) < 0.15
+    parts = sharding.split(rng, np.array([2 * 10**9, 5, 10**9, 0]), 10**6)
+    assert parts.sum() == 10**6 and parts[3] == 0
+
+
+def test_sharding_is_uniform(spark):
+    # every row meets every slot equally often: chi-square over 5 shards of 4 slots, chunks of 2
+    df = spark.range(20).repartition(3).sortWithinPartitions("id")
+    path = shared_path(spark, "twenty")
+    df.write.parquet(path)
+    df, seen = spark.read.parquet(path), np.zeros((20, 20))
+    rounds = 60
+    for seed in range(rounds):
+        for r in sharding.hypergeometric_shuffle(df, 5, seed, chunk_rows=2).collect():
+            seen[r["id"], 4 * r["shard"] + r["slot"]] += 1
+    assert (seen.sum(axis=0) == rounds).all() and (seen.sum(axis=1) == rounds).all()
+    assert ((seen - rounds / 20) ** 2 / (rounds / 20)).sum() < 361 + 5 * (2 * 361) ** 0.5
 
 
 def test_hilbert_curve_is_continuous():
@@ -165,6 +192,34 @@ def test_arc_round_trip(spark):
     assert sorted(rows) == sorted([(0, "response", None, 150, d(big)), *[(i, "revisit", 0, 150, d(big)) for i in (1, 1, 2)], (3, "response", None, 0, d("")), (4, "response", None, 18, d("HTTP\r\n\r\nWARC/1.1\r\n")), (5, "response", None, 5, d("short")), (6, "response", None, 5, d("short"))])
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://x 1 2\nabc"))
+    assert warc.read_arc(spark, arc).count() == 8
+    warc.write_arc(pages.filter("false"), arc + "-none")
+    warc.convert_arc(spark, arc + "-none", out + "-none")
+    assert warc.read_warc(spark, out + "-none").count() == 0
+
+
+def arc_file(version, *records):
+    block = f"{version} 0 x\n{warc.ARC_TITLES[version]}\n\n".encode()
+    more = " 200 - - 0 f" if version == 2 else ""
+    parts = [f"filedesc://f 0.0.0.0 20200101 text/plain{more} {len(block)}\n".encode() + block + b"\n"]
+    return [*parts, *(f"http://x 1.2.3.4 20200102030405 {kind}{more} {len(body)}\n".encode() + body + b"\n" for kind, body in records)]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("packed", [b"".join, lambda parts: gzip.compress(b"".join(parts)), lambda parts: b"".join(map(gzip.compress, parts))])
+def test_archives_of_others(version, packed):
+    records = [("text/html; charset=utf-8", b"HTTP/1.1 200 OK\nA: b\n\npay"), ("text/html", b"HTTP/1.1 200 OK\r\nA: b"), ("text/dns", b"no http"), ("text/html", b"HTTP/1.0 200 OK\r\n\r\n" + b"z" * 300_000)]
+    got = list(warc.parse_arc(packed(arc_file(version, *records))))
+    assert [(r["type"], r["head"] + r["payload"]) for r in got] == records
+    assert [r["payload"] for r in got[:3]] == [b"pay", b"", b"no http"]
+    first = {"page_id": 3, "url": "http://first", "date": "2019"}
+    written = [warc.warc_record(r, "d", 7, first if r["head"] else None) for r in got]
+    heads = [h.decode() for h, _ in warc.parse_warc(packed([warc.warc_opening(written[0]), *written]))]
+    assert [re.search("WARC-Type: (.*)\r", h)[1] for h in heads] == ["warcinfo", "revisit", "revisit", "resource", "revisit"]
+    assert "WARC-Refers-To-Target-URI: http://first\r\nWARC-Refers-To-Date: 2019-01-01T00:00:00Z" in heads[1] and "Content-Type: text/dns" in heads[3]
+    assert warc.record_id(3, "http://first", "2019-01-01T00:00:00Z", "d") in heads[1]
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(packed(arc_file(version, *records))[:-20]))
 
 
 def test_near_duplicates(docs, none):
@@ -198,6 +253,20 @@ def test_near_duplicates_in_a_crowded_region(spark, monkeypatch):
         assert (r["n_shingles"], r["component_id"]) == (170, r["doc_id"] // 2 * 2)
 
 
+def test_near_duplicates_far_from_each_other_in_a_crowd(spark):
+    # 1,000 near copies with a word of their own, and 30 documents that are linked (255 / 339) to one of them only
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(1000)]
+    for j in range(30):
+        gone = set(rng.choice(np.arange(0, 292, 8), 8, replace=False).tolist())
+        rows.append((1000 + j, " ".join([*(f"x{j}y{k}" if k in gone else w for k, w in enumerate(base)), f"own{33 * j}"])))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alone = {1000 + j for j in range(30) if not any(100 * len(sets[1000 + j] & s) >= 75 * len(sets[1000 + j] | s) for s in sets[:1000])}
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in got if got[i] != 0 and i not in alone} == set() and {i for i in alone if got[i] == 0} == set()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for trial in range(60):
@@ -223,6 +292,36 @@ def test_repeats(docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_anchors_dont_depend_on_the_batch(monkeypatch):
+    rng = np.random.default_rng(9)
+    text = bytes(rng.integers(97, 101, 9000).astype(np.uint8))
+
+    def by_string(texts):
+        out = {}
+        for key, _, which, start, run in zip(*suffixes.Anchors(100).find(texts)):
+            for k in range(start, start + run):
+                out.setdefault(texts[which][k : k + 100], set()).add(int(key))
+        return out
+
+    whole = by_string([text])
+    assert len(whole) == 8901 and all(len(v) == 1 for v in whole.values())
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 1 << 10)
+    assert by_string([b"", text[:50], text, text[100:300]]).keys() == whole.keys()
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 1 << 20)
+    assert by_string([bytes(rng.integers(97, 101, 200_000).astype(np.uint8)), text])[text[:100]] == whole[text[:100]]
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 1 << 10)
+    rng = np.random.default_rng(10)
+    passage = " ".join(rng.choice(WORDS, 50))
+    long = " ".join(rng.choice(WORDS, 3000)) + passage + "q" * 700
+    rows = [(1, passage), (2, long), (3, long), (3, long), (None, passage), (4, "word" * 500)]
+    got = [(r["doc_id"], len(r["kept"])) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # strings may overlap: of 700 equal letters all but the first go, of a period of four all but the first four
+    assert sorted(got, key=str) == sorted([(1, len(passage)), (2, len(long) - len(passage) - 699), (3, 0), (3, 0), (4, 4), (None, 0)], key=str)
+
+
 def test_repeats_of_a_hot_anchor(spark, monkeypatch):
     rng = np.random.default_rng(6)
     footer = " ".join(rng.choice(WORDS, 40))
