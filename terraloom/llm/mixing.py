@@ -110,8 +110,11 @@ def mix_sources(docs: DataFrame, seed: int = 11) -> DataFrame:
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating. Null texts have size 0: they cost no budget and come
     once for each whole epoch. Documents of equal id, source and text are alike and share one fate, each on its own row.
-    Empty tables give empty results; columns beyond the three pass through.
+    Empty tables give empty results; columns beyond the three pass through. Columns named mix_id, mix_u, mix_copies or
+    mix_turn raise ValueError.
     """
+    if {"mix_id", "mix_u", "mix_copies", "mix_turn"} & set(docs.columns):
+        raise ValueError("the table has a column named mix_id, mix_u, mix_copies or mix_turn")
     mixed = plan_mix(size_documents(docs, seed), seed)
     per_id = mixed.select(F.col("doc_id").alias("mix_id"), F.col("u").alias("mix_u"), F.col("copies").alias("mix_copies")).groupBy("mix_id", "mix_u").agg(F.max("mix_copies").alias("mix_copies"))
     keyed = docs.withColumn("mix_u", uniform_of(seed, docs["doc_id"], docs["text"]))

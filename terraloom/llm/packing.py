@@ -188,8 +188,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces(doc_id, piece, length, ...) with 1 <= length <= capacity -> the same with sequence_id and offset.
 
     Best-fit decreasing over all pieces. Pieces of equal length are interchangeable: those of equal id and number too. An
-    empty table gives an empty result. Needs pieces that read the same twice (a table).
+    empty table gives an empty result. Needs pieces that read the same twice (a table). Columns of pieces named block,
+    blocks, before, rank, sequence_id or offset raise ValueError.
     """
+    if {"block", "blocks", "before", "rank", "sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError("the table has a column named block, blocks, before, rank, sequence_id or offset")
     spark = pieces.sparkSession
     counts = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     plan, _ = best_fit_decreasing({r["length"]: r["count"] for r in counts}, capacity)

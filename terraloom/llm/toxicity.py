@@ -284,9 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     fair = labels.filter(F.col("toxic").isin(0, 1) & (crc32_of(F.col("doc_id")) % 4 != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     some = [fair.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * rows lines
-    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "toxic")
-    found = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * rows)
-    rows_ = found.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text", "toxic")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    texts = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(4 * rows)
+    rows_ = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -295,7 +295,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((used, model.weights[used], model.bias, model.coefficients, model.constant))], pa.binary())], names=["model"])
 
     # one task fits the bounded sample: an executor has more room than the driver
-    used, values, bias, coefficients, constant = pickle.loads(rows_.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    found = rows_.repartition(1).mapInArrow(run, "model binary").first()
+    if found is None:  # no rows, and so no task
+        return fit([], [])
+    used, values, bias, coefficients, constant = pickle.loads(found["model"])
     weights = np.zeros(1 << TABLE_BITS)
     weights[used] = values
     return ToxicityModel(weights, bias, coefficients, constant)
