@@ -23,6 +23,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     found = registry.queries()
+    found["block_boxes"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start-up isn't the first query's
     took: dict[str, float] = {}
     for name in HEADLINE:
         began = time.time()
