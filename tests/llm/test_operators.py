@@ -369,6 +369,50 @@ def test_kneser_ney(docs, none):
     assert all(math.isfinite(r["score"]) for r in kneserney.perplexity(docs, empty).collect())
 
 
+def plain_kneser_ney(train):
+    """Log10 probability of a list of words (the end is None) by interpolated modified Kneser-Ney, straight from its definition."""
+    pairs = collections.Counter((a, b) for words in train for a, b in zip(["<s>", *words], words))
+    vocabulary = {w for words in train for w in words}
+    follows = collections.Counter(b for _, b in pairs)  # how many contexts a word follows
+    context = collections.Counter()
+    for (a, _), c in pairs.items():
+        context[a] += c
+
+    def cuts(amounts):
+        n = [sum(x == k for x in amounts) for k in range(1, 5)]
+        if not all(n[:3]):
+            return (0.5, 1.0, 1.5)
+        y = n[0] / (n[0] + 2 * n[1])
+        return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))
+
+    high, low = cuts(pairs.values()), cuts(follows.values())
+    cut = lambda d, c: d[min(c, 3) - 1] if c else 0.0
+    left = sum(cut(low, c) for c in follows.values()) / len(pairs)
+
+    def p(a, b):
+        lower = max(follows[b] - cut(low, follows[b]), 0) / len(pairs) + left / (len(vocabulary) + 1)
+        if not context[a]:
+            return lower
+        rest = sum(cut(high, c) for (x, _), c in pairs.items() if x == a) / context[a]
+        return max(pairs[a, b] - cut(high, pairs[a, b]), 0) / context[a] + rest * lower
+
+    return p, vocabulary, lambda words: sum(math.log10(p(a, b)) for a, b in zip(["<s>", *words], words))
+
+
+def test_kneser_ney_scores(spark, docs):
+    tok = lambda t: [*[w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")], None]
+    taught = [t for i, t in texts() if i % 3]
+    p, vocabulary, wanted = plain_kneser_ney([tok(t) for t in taught])
+    model = kneserney.train(docs.filter("doc_id % 3 <> 0"))
+    asked = [*texts(), (1000, "w1 never seen w2 seen never"), (1001, "unseen"), (1002, " \t"), (1003, (texts()[0][1] + " ") * 500)]
+    got = kneserney.perplexity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r["score"] == pytest.approx(wanted(tok(dict(asked)[r["doc_id"]])), rel=1e-9)
+    for a in ("<s>", "w1", None, "never"):  # every known word and an unknown one: a distribution
+        assert sum(p(a, b) for b in [*vocabulary, "never"]) == pytest.approx(1)
+
+
 def test_toxicity():
     rng = np.random.default_rng(5)
     clean = [" ".join(rng.choice(WORDS, 30)) for _ in range(200)]
