@@ -8,9 +8,9 @@ as one stretch.
 2. Stretches of the other anchors, as (anchor, hash of the stretch, place). Equal stretches are one from there on: all but
    the first go whole.
 3. Where an anchor has several stretches, one text of each is fetched, and shards of about SORT_BYTES of them are sorted
-   in memory by induced sorting (induced.py; its queues would go to disk beyond a budget that such shards don't reach).
-   Neighbours in suffix order that share `length` bytes form groups; all of a group but the first in document order are
-   repeats.
+   by external induced sorting (induced.py): of the suffix tuples and common prefixes in its queues, no more than
+   QUEUED_TUPLES are in memory, the others on disk. Neighbours whose carried prefix is `length` or more form groups; all
+   of a group but the first in document order are repeats.
 4. The stretches of an anchor with more than SORT_BYTES of them aren't sorted: each of their strings becomes a row with
    128 bits of hash, and all of equal hash but the first are repeats.
 5. Covered bytes are merged for each document.
@@ -22,6 +22,7 @@ occurrence, joined by a skew-proof sort-merge join; texts are fetched once for e
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from terraloom.llm.common import _BASE, _BASE_INVERSE, _BYTE_CODE, BROADCAST_BYTES, _powers, batched, materialize, mix64, shared_path, table
 from terraloom.llm.induced import InducedSorter, repeat_groups
-from terraloom.llm.sortedarrays import ROWS, SortedArrays, counted, write_arrays
+from terraloom.llm.sortedarrays import ROWS, SortedArrays, counted, local_of, write_arrays
 
 LENGTH = 100
 GRAM = 32
@@ -42,6 +43,7 @@ KEPT_ANCHORS = 400_000
 PIECE_BYTES = 1 << 20
 BYTES_A_SHARD = 64 << 20
 SORT_BYTES = 1 << 20
+QUEUED_TUPLES = 1 << 16
 MOST_SHARDS = 4096
 SEPARATOR = 0xFF  # a byte that UTF-8 never has
 
@@ -224,6 +226,7 @@ def _sorted_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFr
     shards = min(1 << 20, max(1, -(-(facts["bytes"] or 0) // SORT_BYTES)))
     texts = _parts(docs, doubtful, length).select((F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int").alias("shard"), "doc", "tag", "start", "part")
     out = T.StructType([docs.schema["doc"], docs.schema["tag"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    queues = shared_path(docs.sparkSession, "suffix-queues")
 
     def sort(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -233,7 +236,12 @@ def _sorted_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFr
         rank[order] = np.arange(len(order))  # stretches in document order
         starts = np.cumsum([0] + [len(p) + 1 for p in parts])
         text = np.frombuffer(bytes([SEPARATOR]).join(parts) + bytes([SEPARATOR]), np.uint8)
-        suffixes, group = repeat_groups(text, InducedSorter(text, length).sort(), length)
+        # where the shared store isn't mounted, queues are scratch of this task, which starts anew if its executor is lost
+        folder = local_of(queues)
+        if folder is not None:
+            os.makedirs(folder, exist_ok=True)
+        order, lcp = InducedSorter(text, length, QUEUED_TUPLES, folder).sort_with_prefixes()
+        suffixes, group = repeat_groups(order, lcp, length, len(text))
         owner = np.searchsorted(starts, suffixes, "right") - 1
         inside = suffixes - starts[owner]
         valid = inside + length <= np.fromiter(map(len, parts), np.int64, len(parts))[owner]

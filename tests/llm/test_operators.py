@@ -267,14 +267,42 @@ def test_near_duplicates_far_from_each_other_in_a_crowd(spark):
     assert {i for i in got if got[i] != 0 and i not in alone} == set() and {i for i in alone if got[i] == 0} == set()
 
 
-def test_suffix_order():
+def common_prefix(a: list[int], b: list[int]) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize(("chunk", "least", "often"), [(1 << 18, 1 << 12, 16), (3, 4, 1), (7, 8, 2)])
+def test_suffix_order(monkeypatch, chunk, least, often):
+    """Order and prefixes of all suffixes, with names sorted by pairs or by recursion, chunks and queues of any size, prefixes up to a depth."""
+    for name, value in (("CHUNK", chunk), ("LEAST_NAMES", least), ("OFTEN", often)):
+        monkeypatch.setattr(induced, name, value)
     rng = np.random.default_rng(3)
-    for trial in range(60):
-        t = rng.integers(0, 3, int(rng.integers(1, 50))).astype(np.uint8)
+    for trial in range(40):
+        t = rng.integers(0, 1 + trial % 4, int(rng.integers(0, 90))).astype(np.uint8)
         if trial % 3 == 0:
-            t = np.tile(t, 3)
-        for budget in (1 << 20, 4):
-            assert induced.InducedSorter(t, 1000, budget).sort().tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+            t = np.tile(t, 2)
+        texts = t.tolist()
+        for depth, budget in ((1000, 1 << 20), (1000, 4), (1, 9), (10, 9)):
+            order, lcp = induced.InducedSorter(t, depth, budget).sort_with_prefixes()
+            heads = [texts[i : i + depth] for i in order]
+            assert heads == sorted(heads) and sorted(order.tolist()) == list(range(len(t)))
+            assert lcp.tolist() == [0] * (len(t) > 0) + [common_prefix(a, b) for a, b in zip(heads, heads[1:])]
+
+
+def test_suffix_queues_go_to_disk(tmp_path):
+    """A shard of many times the tuples that may wait in memory, by the query's own budget, sorts the same from files."""
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(2, 9, 400)]
+    text = np.frombuffer(b" ".join(words[int(i)] for i in rng.integers(0, 400, 120_000)), np.uint8)
+    outside = induced.InducedSorter(text, 100, suffixes.QUEUED_TUPLES, str(tmp_path))
+    order, lcp = outside.sort_with_prefixes()
+    assert len(text) > 8 * suffixes.QUEUED_TUPLES and outside.spilled > 0 and not list(tmp_path.iterdir())
+    inside = induced.InducedSorter(text, 100, 1 << 24)
+    assert all((a == b).all() for a, b in zip((order, lcp), inside.sort_with_prefixes())) and inside.spilled == 0
+    raw = text.tobytes()
+    heads = [raw[i : i + 100] for i in order]
+    assert all(a <= b for a, b in zip(heads, heads[1:]))
+    assert [a == b and len(a) == 100 for a, b in zip(heads, heads[1:])] == (lcp[1:] >= 100).tolist()
 
 
 def test_repeats(docs, none):
