@@ -40,7 +40,7 @@ class RangeMin:
 
     def __init__(self, values: np.ndarray) -> None:
         n = len(values)
-        self.table = np.zeros((max(n.bit_length(), 1), n), values.dtype)
+        self.table = np.empty((max(n.bit_length(), 1), n), values.dtype)
         self.table[0] = values
         for k in range(1, n.bit_length()):
             half = 1 << (k - 1)
@@ -48,7 +48,9 @@ class RangeMin:
 
     def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         k = np.frexp((last - first + 1).astype(float))[1] - 1
-        return np.minimum(self.table[k, first], self.table[k, last - (1 << k.astype(np.int64)) + 1])
+        flat, n = self.table.ravel(), self.table.shape[1]
+        row = k.astype(np.int64) * n
+        return np.minimum(flat[row + first], flat[row + last - np.left_shift(1, k) + 1])
 
 
 class SymbolQueues:
@@ -121,15 +123,19 @@ class Inducing:
         self.since = np.zeros(len(queues.memory), np.uint16)
 
     def visit(self, seen: np.ndarray) -> None:
-        at, lcp = seen["at"], seen["lcp"]
-        if not len(at):
+        if not len(seen):
             return
-        which = np.flatnonzero((at > 0) & (self.smaller[at - 1] == self.kind))
-        after = np.minimum.accumulate(lcp[::-1])[::-1]
+        before, lcp = seen["at"] - 1, seen["lcp"].copy()
+        fits = self.smaller[before]  # the text's first suffix has none before it
+        fits = fits if self.kind else ~fits
+        fits &= before >= 0
+        which = np.flatnonzero(fits)
         if not len(which):
-            np.minimum(self.since, after[0], out=self.since)
+            np.minimum(self.since, lcp.min(), out=self.since)
             return
-        symbols = self.text[at[which] - 1]
+        after = np.minimum.accumulate(lcp[::-1])[::-1]
+        before = before[which]
+        symbols = self.text[before]
         order = np.argsort(symbols, kind="stable")
         which, symbols = which[order], symbols[order]
         fresh = np.concatenate([[True], symbols[1:] != symbols[:-1]])
@@ -140,7 +146,7 @@ class Inducing:
         others = np.flatnonzero(~fresh)
         if len(others):
             least[others] = RangeMin(lcp).least(which[others - 1] + 1, which[others])
-        induced = items(at[which] - 1, np.minimum(least + 1, self.cap))
+        induced = items(before[order], np.minimum(least + 1, self.cap))
         ends = np.append(edges[1:], len(which))
         np.minimum(self.since, after[0], out=self.since)
         self.since[firsts] = np.append(after, np.uint16(self.cap))[which[ends - 1] + 1]
@@ -201,9 +207,12 @@ class InducedSorter:
         if n < 2:
             return items(lms, 0)
         order, lcp = self._upward(self._induce(items(lms, 0), sorted_=False))
-        rank = np.searchsorted(lms, order)
-        at = np.flatnonzero((rank < n) & (lms[np.minimum(rank, n - 1)] == order))
+        number = np.full(len(self.text), -1, np.int32 if n < 1 << 31 else np.int64)
+        number[lms] = np.arange(n)
+        rank = number[order]
+        at = np.flatnonzero(rank >= 0)
         rank = rank[at]
+        del number
         lcp = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))  # of each seed and the seed before
         size_of = np.append(lms[1:] + 1, len(self.text)) - lms  # a substring ends with the next seed's first symbol
         sizes = size_of[rank]
@@ -238,29 +247,23 @@ class InducedSorter:
         if kinds == n:
             return np.argsort(names), np.zeros(n, np.uint16)
         if n >= LEAST_NAMES and n >= OFTEN * kinds:
-            below = InducedSorter(names, depth, self.budget, self.folder)
+            below = InducedSorter(names.astype(np.uint16) if kinds < 1 << 16 else names, depth, self.budget, self.folder)
             found = below.sort_with_prefixes()
             self.spilled += below.spilled
             return found
-        order = self._by_names(names, depth)
-        shared = np.zeros(n, np.uint16)
-        same = np.arange(1, n)
-        for step in range(depth):
-            same = same[np.maximum(order[same], order[same - 1]) + step < n]
-            same = same[names[order[same] + step] == names[order[same - 1] + step]]
-            shared[same] += 1
-        return order, shared
-
-    def _by_names(self, names: np.ndarray, depth: int) -> np.ndarray:
-        """Order of the suffixes of a string of names by `depth` names at least, by pairs of names that cover twice as much each time."""
+        return self._by_names(names, depth)
+
+    def _by_names(self, names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """As _sort_names, by pairs of names that cover twice as much each time; the last name occurs once."""
         n, step = len(names), 1
         order = np.argsort(names, kind="stable")
+        levels = [(1, names)]
         while True:
             ranked = names[order]
             fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
             open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # places whose name isn't unique yet
             if not len(open_) or step >= depth or step >= n:
-                return order
+                break
             first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
             names = np.empty(n, np.int64)
             names[order] = first  # a name is the place where its equals start
@@ -272,6 +275,14 @@ class InducedSorter:
             new = np.concatenate([[True], (f[1:] != f[:-1]) | (a[1:] != a[:-1])])
             names[order[open_]] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
             step *= 2
+            levels.append((step, names))
+        shared, a, b = np.zeros(n, np.int64), order[:-1].copy(), order[1:].copy()
+        for step, names in reversed(levels):
+            equal = np.where(names[a] == names[b], step, 0)
+            shared[1:] += equal
+            a += equal
+            b += equal
+        return order, np.minimum(shared, depth).astype(np.uint16)
 
     def _run(self, at: int) -> int:
         """How often the symbol at a position is repeated from there on, up to the cap."""
