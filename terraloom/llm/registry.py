@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import bsi, forest, hilbert, kneserney, mixing, packing, sharding, suffixes, toxicity, warc
+from terraloom.llm import bsi, divergence, forest, hilbert, kneserney, mixing, packing, sharding, suffixes, toxicity, warc, yinyang
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm": kneserney.op10_lm,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_yinyang": yinyang.op12_yinyang,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": bsi.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_minhash": forest.OP6_SQL, "op7_suffix": suffixes.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op4_topk": bsi.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_minhash": forest.OP6_SQL, "op7_suffix": suffixes.OP7_SQL, "op8_mixing": mixing.OP8_SQL, "op11_divergence": divergence.OP11_SQL, "op12_yinyang": yinyang.OP12_SQL}
