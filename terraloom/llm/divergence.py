@@ -116,7 +116,7 @@ def radix_top(rows: DataFrame, keys: list[str], value: str, item: str, k: int) -
         # groups are few or their table is dealt by key and split by AQE where one group is hot
         return rows.join(F.broadcast(state) if small else state.hint("shuffle_hash"), [rows[c].eqNullSafe(state[c]) for c in keys]).drop(*(state[c] for c in keys))
 
-    wide = (F.col("_open") > OPEN_ROWS) & ~F.col("_ended")
+    wide = (F.col("_open") > max(OPEN_ROWS, k)) & ~F.col("_ended")
     while not edge.filter(wide).isEmpty():
         on_edge = meet(edge.filter(wide)).filter(F.substring("_order", 1, depth) == F.col("_edge"))
         # the next two bytes; where the key ends, its end comes first

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import bsi, divergence, forest, hilbert, kneserney, mixing, packing, sharding, suffixes, toxicity, warc, yinyang
+from terraloom.llm import bsi, contentmodel, divergence, forest, hilbert, kneserney, mixing, packing, sharding, suffixes, toxicity, warc, yinyang
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_lm": kneserney.op10_lm,
         "op11_divergence": divergence.op11_divergence,
         "op12_yinyang": yinyang.op12_yinyang,
+        "op13_html": contentmodel.op13_html,
     }
 
 
