@@ -311,8 +311,9 @@ def train(pages: DataFrame) -> np.ndarray:
 
     Fitted in one task, as what it reads is bounded; one row of SIZE numbers comes back.
     """
-    chosen = pages.filter(F.col("html").rlike(SELF_LABEL) & (F.length("html") <= LONGEST_LABELLED)).select("html").distinct()
-    chosen = chosen.orderBy(F.xxhash64("html"), "html").limit(SELF_LABELLED)
+    own = pages.filter(F.col("html").rlike(SELF_LABEL) & (F.length("html") <= LONGEST_LABELLED)).select("html", F.xxhash64("html").alias("h"))
+    first = own.select("h").distinct().orderBy("h").limit(SELF_LABELLED)
+    chosen = own.join(F.broadcast(first), "h").groupBy("h").agg(F.min("html").alias("html"))  # only hashes and chosen pages are shuffled
     found = chosen.groupBy().agg(F.sort_array(F.collect_list("html")).alias("html"))  # one row, bounded by the two above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,8 +88,8 @@ def set_key(shingles: np.ndarray) -> int | None:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, class (of equal sets; null if empty), signature."""
-    names = ["doc_id", "n_shingles", "class", "signature"]
+    """docs(doc_id, text) -> doc_id, n_shingles, class (of equal sets; null if empty), signature, mark (hash of the text)."""
+    names = ["doc_id", "n_shingles", "class", "signature", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -99,9 +99,10 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(hasher, texts[a:b])
                 keys = [set_key(s) for s in sets]
                 signs = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), batch.column(2).slice(a, b - a)], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, signature binary")
+    read = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("mark"))
+    return read.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, signature binary, mark long")
 
 
 def region_of(values: np.ndarray, tree: int) -> np.ndarray:
@@ -313,14 +314,14 @@ def merge_components(where: DataFrame, links: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     """class, component for every class of at least two that are linked."""
-    order = Window.partitionBy("class").orderBy("doc_id")
+    order = Window.partitionBy("class").orderBy("doc_id", "mark")
     classes = described.filter(F.col("class").isNotNull()).withColumn("r", F.row_number().over(order)).filter("r = 1")
-    classes = materialize(classes.select("class", "doc_id", F.col("n_shingles").alias("size"), "signature"), "forest-classes")
+    classes = materialize(classes.select("class", "doc_id", "mark", F.col("n_shingles").alias("size"), "signature"), "forest-classes")
     found = materialize(neighbours(classes, NEAR), "forest-found")
     pairs = materialize(alike(found, classes), "forest-pairs")
     involved = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     nodes = materialize(classes.join(involved, "class"), "forest-nodes")
-    sets = materialize(_sets(docs, nodes.select("class", "doc_id")), "forest-sets")
+    sets = materialize(_sets(docs, nodes.select("class", "doc_id", "mark")), "forest-sets")
     where = nodes.select("class", "size", F.col("class").alias("component"))
     pairs = pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
 
@@ -350,18 +351,23 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """class, shingles (sorted 64-bit hashes) of the document that stands for each class."""
-    few = nodes.select(F.col("doc_id").alias("node_id"), "class")
-    if is_small(few, 24):
+    """class, shingles (sorted 64-bit hashes) of the document that stands for each class.
+
+    It is found by its id and the hash of its text together, as ids may be null or repeat, and its set must have the class's key.
+    """
+    few = nodes.select(F.col("doc_id").alias("node_id"), F.col("mark").alias("node_mark"), "class")
+    if is_small(few, 32):
         few = F.broadcast(few)
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["node_id"])).select("class", docs["text"].cast("binary").alias("text"))
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    texts = marked.join(few, (marked["mark"] == few["node_mark"]) & marked["doc_id"].eqNullSafe(few["node_id"])).select("class", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            texts_ = batch.column(1).to_pylist()
+            texts_, classes = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for a, b in batched([texts_], BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(hasher, texts_[a:b])], pa.binary())], names=["class", "shingles"])
+                own = [(c, s.tobytes()) for c, s in zip(classes[a:b], shingle_sets(hasher, texts_[a:b]), strict=True) if set_key(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["class", "shingles"])
 
     return texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
 

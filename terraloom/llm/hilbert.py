@@ -8,7 +8,7 @@ nearest by exact inner product stay.
 A window is a share of the table, so recall is the same at every size; so is the number of inner products for each
 query relative to the table. Large ranges are split into pieces by hash, and the queries that meet a piece into groups,
 so that no task holds more than PIECE_ROWS vectors and GROUP_QUERIES queries or so. Where ranges would hold fewer than
-LEAST_RANGE distinct vectors, or fewer than are asked for, there is one ordering of one range: all are compared.
+LEAST_RANGE distinct vectors, or fewer than are asked for, there are fewer ranges.
 """
 
 from __future__ import annotations
@@ -112,8 +112,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = C
     result = "query_id long, rank int, vec_id long, score double"
     if n == 0:
         return spark.createDataFrame([], result)
-    if n <= blocks * max(LEAST_RANGE, k + 1):
-        curves = blocks = 1
+    blocks = max(1, min(blocks, n // max(LEAST_RANGE, k + 1)))  # a range holds enough for a whole answer
     sampled = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(max(1, -(-n // SAMPLE_ROWS)))) == 0).select("embedding").limit(2 * SAMPLE_ROWS).toArrow()
     fitted = spark.sparkContext.broadcast(Curves(_matrix(sampled.column(0).combine_chunks()).astype(float), curves, blocks))
     pieces = max(1, -(-n // (blocks * PIECE_ROWS)))

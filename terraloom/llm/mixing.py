@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import materialize, table, word_count
 
 BUCKET_ROWS = 2_000
+#: Steps of the weight in which a source's law of keys is kept.
+WEIGHT_STEPS = 10
 #: Passes that fill what is left of a budget with the documents that still fit.
 PASSES = 4
 MAX_REPEATS = 3
@@ -60,7 +62,8 @@ def plan_mix(sized: DataFrame, seed: int = 11) -> DataFrame:
     """
     spark = sized.sparkSession
     sized = materialize(sized, "mix-sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    step = sized.groupBy("source", F.floor(F.col("weight") * WEIGHT_STEPS).alias("step")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("weight").alias("w"))
+    sources = step.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "w")).alias("law")).collect()
     sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     if not sources:
         return sized.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "copies": F.lit(0)})
@@ -70,12 +73,13 @@ def plan_mix(sized: DataFrame, seed: int = 11) -> DataFrame:
     for i, r in enumerate(sources):
         epochs = 0 if sizes[i] == 0 else min(int(targets[i] // sizes[i]), MAX_REPEATS)
         budget = math.floor(targets[i] - epochs * sizes[i] + 0.5) if epochs < MAX_REPEATS else 0
-        plan.append((i, r["source"], sizes[i], targets[i], epochs, budget, max(1, math.ceil(r["n"] / BUCKET_ROWS))))
-    plan = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, epochs int, budget long, buckets int")
+        plan.append((i, r["source"], sizes[i], targets[i], epochs, budget, max(1, math.ceil(r["n"] / BUCKET_ROWS)), [(x["n"], x["w"]) for x in r["law"]], r["n"]))
+    plan = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, epochs int, budget long, buckets int, law array<struct<n double, w double>>, rows long")
     keyed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     keyed = keyed.withColumn("key", -F.log(F.col("u")) / F.col("weight")).withColumn("chosen", F.lit(False))
-    # weights lie in 0.1 .. 1, so 1 - exp(-key) spreads keys over the buckets well enough
-    keyed = keyed.withColumn("bucket", F.least((F.col("buckets") * (1 - F.exp(-F.col("key")))).cast("int"), F.col("buckets") - 1))
+    # buckets follow the keys' own law, so that they are of one size whatever the weights: the mean of 1 - exp(-weight * key) over the source's weights
+    below = F.aggregate("law", F.lit(0.0), lambda t, x: t + x["n"] * (1 - F.exp(-x["w"] * F.col("key")))) / F.col("rows")
+    keyed = keyed.withColumn("bucket", F.least((F.col("buckets") * below).cast("int"), F.col("buckets") - 1)).drop("law", "rows")
     for k in range(PASSES):
         keyed = materialize(_fill(keyed), f"mix-pass{k}")
     copies = F.col("epochs") + F.col("chosen").cast("int")
@@ -110,15 +114,15 @@ def mix_sources(docs: DataFrame, seed: int = 11) -> DataFrame:
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating. Null texts have size 0: they cost no budget and come
     once for each whole epoch. Documents of equal id, source and text are alike and share one fate, each on its own row.
-    Empty tables give empty results; columns beyond the three pass through. Columns named mix_id, mix_u, mix_copies or
+    Empty tables give empty results; columns beyond the three pass through. Columns named mix_id, mix_u, mix_source, mix_copies or
     mix_turn raise ValueError.
     """
-    if {"mix_id", "mix_u", "mix_copies", "mix_turn"} & set(docs.columns):
-        raise ValueError("the table has a column named mix_id, mix_u, mix_copies or mix_turn")
+    if {"mix_id", "mix_u", "mix_source", "mix_copies", "mix_turn"} & set(docs.columns):
+        raise ValueError("the table has a column named mix_id, mix_u, mix_source, mix_copies or mix_turn")
     mixed = plan_mix(size_documents(docs, seed), seed)
-    per_id = mixed.select(F.col("doc_id").alias("mix_id"), F.col("u").alias("mix_u"), F.col("copies").alias("mix_copies")).groupBy("mix_id", "mix_u").agg(F.max("mix_copies").alias("mix_copies"))
+    per_id = mixed.select(F.col("doc_id").alias("mix_id"), F.col("u").alias("mix_u"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies")).groupBy("mix_id", "mix_u", "mix_source").agg(F.max("mix_copies").alias("mix_copies"))
     keyed = docs.withColumn("mix_u", uniform_of(seed, docs["doc_id"], docs["text"]))
-    joined = keyed.join(per_id, keyed["doc_id"].eqNullSafe(per_id["mix_id"]) & (keyed["mix_u"] == per_id["mix_u"]))
+    joined = keyed.join(per_id, keyed["doc_id"].eqNullSafe(per_id["mix_id"]) & (keyed["mix_u"] == per_id["mix_u"]) & keyed["source"].eqNullSafe(per_id["mix_source"]))
     repeated = joined.withColumn("mix_turn", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))))
     return repeated.select(*(docs[c] for c in docs.columns))
 

@@ -450,3 +450,53 @@ def test_toxicity():
     assert p("w1 w2 grumbel w5 snarkip") > 0.3 and p("w1 w2 g.r.u.m.b.e.l w5 s n a r k i p") > 0.3
     assert p("w1 w2 w3") < 0.3 and p("") < 0.3
     assert toxicity.fit([], []).constant == 0.0
+
+
+def test_curves_decide(spark):
+    # 5,000 vectors: 16 ranges a curve
+    rng = np.random.default_rng(11)
+    heads = rng.normal(size=(60, 24))
+    v = (heads[rng.integers(0, 60, 5000)] + rng.normal(0, 0.5, (5000, 24))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in hilbert.nearest(df, df.filter("vec_id % 50 = 0"), k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[q] & set(sorted(set(range(5000)) - {q}, key=lambda i: -float(v[q] @ v[i]))[:20])) for q in range(0, 5000, 50))
+    assert all(len(x) == 20 for x in got.values()) and hits >= 0.9 * 20 * 100
+
+
+def test_one_text_in_two_sources(spark):
+    rows = [(1, "a", "one two three")] * 2 + [(1, "b", "one two three"), (1, None, "one two three")] + [(i, "a", "x " * 50) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = collections.Counter()
+    for r in mixing.plan_mix(mixing.size_documents(df)).collect():
+        plan[r["source"], r["doc_id"]] += r["copies"]
+    got = collections.Counter((r["source"], r["doc_id"]) for r in mixing.mix_sources(df).collect())
+    assert got == +plan and len({plan["a", 1] / 2, plan["b", 1], plan[None, 1]}) > 1
+
+
+def test_buckets_are_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    seen = []
+    monkeypatch.setattr(mixing, "_fill", lambda keyed: seen.append(keyed.groupBy("bucket").count().collect()) or keyed)
+    sized = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("size"), F.when(F.col("id") % 2 == 0, 0.1).otherwise(1.0).alias("weight"), mixing.uniform_of(1, F.col("id")).alias("u"))
+    mixing.plan_mix(sized)
+    assert len(seen[0]) == 200 and max(r["count"] for r in seen[0]) < 200
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_near_duplicates_without_ids(spark, ids):
+    rng = np.random.default_rng(8)
+    doc_id = lambda i: {"null": None, "one": i // 3, "own": i}[ids]
+    far, near = [], []
+    for i in range(20):
+        words = [f"q{i}x{j}" for j in rng.integers(0, 10**6, 60)]
+        other = [*words[:-11], *(f"z{i}y{j}" for j in range(11))]  # 45 of 67 shingles: 0.67
+        far += [" ".join(words), " ".join(other)]
+        near += [" ".join(words), " ".join([*words[:-5], *other[-5:]])]  # 51 of 61: 0.84
+    for texts_, linked in ((far, 0), (near, 40)):
+        for step in (1, 7):
+            rows = [(doc_id(i), t) for i, t in enumerate(texts_)][::-1 if step == 7 else 1]
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(step)
+            described = forest.describe(df)
+            assert forest.link_classes(df, described).count() == linked
