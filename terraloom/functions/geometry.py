@@ -285,3 +285,21 @@ def ray_midpoint(c1: list[Column], d1: list[Column], c2: list[Column], d2: list[
     s, t = F.try_divide(b * e - c * d, det), F.try_divide(a * e - b * d, det)
     p, q = [x + s * y for x, y in zip(c1, d1, strict=True)], [x + t * y for x, y in zip(c2, d2, strict=True)]
     return [(x + y) / 2 for x, y in zip(p, q, strict=True)], norm([x - y for x, y in zip(p, q, strict=True)])
+
+
+def refract(centre: list[Column], direction: list[Column], normal: tuple[float, float, float], offset: float, index: float) -> tuple[list[Column], list[Column]]:
+    """(where a ray meets the plane normal . p = offset, its unit direction beyond it); index is that beyond the plane over that before it.
+
+    The normal points to the side that the ray comes from. Null for rays along the plane and where all light is reflected.
+    """
+    size = F.sqrt(sum((c * c for c in normal[1:]), normal[0] * normal[0]) + F.lit(0.0))
+    n = [F.lit(float(c)) / size for c in normal]
+    dot = lambda a, b: sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
+    length = norm(direction)
+    d = [F.try_divide(c, length) for c in direction]
+    along = dot(n, d)
+    t = F.try_divide(F.lit(float(offset)) / size - dot(n, centre), along)
+    ratio = 1.0 / index
+    inside = 1 - ratio * ratio * (1 - along * along)
+    bend = F.when(inside >= 0, -ratio * along - F.sqrt(inside))
+    return [c + t * x for c, x in zip(centre, d, strict=True)], [ratio * x + bend * y for x, y in zip(d, n, strict=True)]

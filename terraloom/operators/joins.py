@@ -103,21 +103,6 @@ def bracket_nearest_midpoint(ref: DataFrame, frames: DataFrame, keys: list[str],
     return inside.groupBy(*keys, "sensor", F.col("_in.a").alias("start"), F.col("_in.b").alias("end")).agg(best.alias("m")).select(*keys, "sensor", "start", "end", F.col("m.v").alias(value))
 
 
-def nearest_points(source: DataFrame, ref: DataFrame, size: float, rings: int) -> DataFrame:
-    """source(id, x, y, z) with the distance to the nearest ref(x, y, z) among the cells up to `rings` away.
-
-    Exact where that distance is at most rings * size; a point with none that near has null. Each source point visits
-    (2 * rings + 1)^2 cells of the x-y grid and keeps its least distance, so nothing is paired across cells.
-    """
-    d = F.sequence(F.lit(-rings), F.lit(rings))
-    cell = lambda c: F.floor(F.col(c) / size)
-    asked = source.withColumn("_dx", F.explode(d)).withColumn("_dy", F.explode(d)).select("id", "x", "y", "z", (cell("x") + F.col("_dx")).alias("_cx"), (cell("y") + F.col("_dy")).alias("_cy"))
-    put = ref.select(cell("x").alias("_cx"), cell("y").alias("_cy"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z")).distinct()
-    dist = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(F.col("z") - F.col("_z"), 2))
-    near = asked.join(put, ["_cx", "_cy"]).groupBy("id").agg(F.min(dist).alias("_d"))
-    return source.join(near, "id", "left").select("id", F.when(F.col("_d") <= rings * size, F.col("_d")).alias("distance"))
-
-
 def nearest_click(points: DataFrame, x: float, y: float, limit: float) -> DataFrame:
     """The point(id, x, y) nearest to a place, if within the limit; the smallest id on ties."""
     dist = F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.operators.chips import first_come
+
 
 def track_pairs(obs: DataFrame, pid: str = "pid", cid: str = "cid") -> DataFrame:
     """c1 < c2 and the number of tracks that both cameras see. The work is the square of a track's length, at most that of the number of cameras."""
@@ -58,15 +60,13 @@ def distinct_tracks(obs: DataFrame) -> DataFrame:
 
 
 def unseen_matches(have: DataFrame, more: DataFrame) -> DataFrame:
-    """have(lx, ly, rx, ry) and those of more that repeat neither a left nor a right point of it or of an earlier row of more.
+    """have(lx, ly, rx, ry) and those of more that repeat neither a left nor a right point of it or of an earlier row of more that was taken.
 
-    Earlier is the smaller (lx, ly, rx, ry). Of more, rows that are the first for both their points are taken; rows
-    that lose one point to a row which itself isn't taken are left out as well, unlike in a sequential pass.
+    Earlier is the smaller (lx, ly, rx, ry): the result of a pass in that order. Equal rows of more count once.
     """
     left, right = ["lx", "ly"], ["rx", "ry"]
     new = more.select(*left, *right).distinct().join(have.select(*left).distinct(), left, "left_anti").join(have.select(*right).distinct(), right, "left_anti")
-    new = new.withColumns({"_a": F.row_number().over(Window.partitionBy(*left).orderBy(*right)), "_b": F.row_number().over(Window.partitionBy(*right).orderBy(*left))})
-    return have.select(*left, *right).unionByName(new.filter("_a = 1 AND _b = 1").select(*left, *right))
+    return have.select(*left, *right).unionByName(first_come(new.select(*left, *right), left, right, [*left, *right]))
 
 
 def map_correspondences(obs_a: DataFrame, obs_b: DataFrame, shared: DataFrame) -> DataFrame:

@@ -53,10 +53,19 @@ def distinct_tracks(spark, d):
     return networks.distinct_tracks(o)
 
 
-@query("""WITH have AS (SELECT DISTINCT l_suppkey AS lx, l_linenumber AS ly, l_partkey AS rx, l_quantity AS ry FROM lineitem WHERE l_returnflag = 'A'), more AS (SELECT DISTINCT l_suppkey + l_partkey AS lx, l_linenumber AS ly, l_partkey AS rx, l_quantity + l_tax AS ry FROM lineitem WHERE l_returnflag = 'R'),
-f AS (SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.lx = m.lx AND h.ly = m.ly) AND NOT EXISTS (SELECT 1 FROM have h WHERE h.rx = m.rx AND h.ry = m.ry)),
-n AS (SELECT *, row_number() OVER (PARTITION BY lx, ly ORDER BY rx, ry) AS a, row_number() OVER (PARTITION BY rx, ry ORDER BY lx, ly) AS b FROM f)
-SELECT lx, ly, rx, round(ry, 6) AS ry FROM have UNION ALL SELECT lx, ly, rx, round(ry, 6) FROM n WHERE a = 1 AND b = 1""")
+_NEW = """WITH have AS (SELECT DISTINCT l_suppkey AS lx, l_linenumber AS ly, l_partkey AS rx, l_quantity AS ry FROM lineitem WHERE l_returnflag = 'A'), more AS (SELECT DISTINCT l_suppkey + l_partkey AS lx, l_linenumber AS ly, l_partkey AS rx, l_quantity + l_tax AS ry FROM lineitem WHERE l_returnflag = 'R'),
+n0 AS (SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.lx = m.lx AND h.ly = m.ly) AND NOT EXISTS (SELECT 1 FROM have h WHERE h.rx = m.rx AND h.ry = m.ry))"""
+#: The twin decides as many rounds of first rows, more than the chains of the tables are long.
+_ROUNDS = 10
+_TAKEN = "".join(
+    f""",
+f{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lx, ly ORDER BY rx, ry) = 1 AND row_number() OVER (PARTITION BY rx, ry ORDER BY lx, ly) = 1 AS taken FROM n{i}),
+n{i + 1} AS MATERIALIZED (SELECT lx, ly, rx, ry FROM f{i} m WHERE NOT EXISTS (SELECT 1 FROM f{i} t WHERE t.taken AND t.lx = m.lx AND t.ly = m.ly) AND NOT EXISTS (SELECT 1 FROM f{i} t WHERE t.taken AND t.rx = m.rx AND t.ry = m.ry))"""
+    for i in range(_ROUNDS)
+)
+
+
+@query(_NEW + _TAKEN + " SELECT lx, ly, rx, round(ry, 6) AS ry FROM have" + "".join(f" UNION ALL SELECT lx, ly, rx, round(ry, 6) FROM f{i} WHERE taken" for i in range(_ROUNDS)))
 def unseen_matches(spark, d):
     t = table(spark, d, "lineitem")
     have = t.filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("lx"), F.col("l_linenumber").alias("ly"), F.col("l_partkey").alias("rx"), F.col("l_quantity").alias("ry")).distinct()

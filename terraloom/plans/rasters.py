@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as G
-from terraloom.operators import joins, mosaic, neighbourhood
+from terraloom.operators import alignment, joins, mosaic, neighbourhood
 from terraloom.plans.inputs import CELLS, CLOUD, RASTER, cells, cloud, frames, raster, table
 from terraloom.plans.registry import _PAIR, _pair, query, rounded
 
@@ -148,11 +148,12 @@ def rig_brackets(spark, d):
 _KNN = "a AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey * 4.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM customer), b AS (SELECT s_acctbal / 100 AS x, s_nationkey * 4.0::DOUBLE AS y, 1.0::DOUBLE AS z FROM supplier)"
 
 
-@query(f"""WITH {_KNN}, d AS (SELECT a.id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM a, b GROUP BY a.id) SELECT id, CASE WHEN d <= 20 THEN round(d, 6) END AS distance FROM d""")
+@query(f"""WITH {_KNN}, d AS (SELECT a.id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM a, b GROUP BY a.id) SELECT id, round(d, 6) AS distance FROM d""")
 def nearest_points(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_nationkey") * 4.0).alias("y"), F.lit(0.0).alias("z"))
     b = table(spark, d, "supplier").select((F.col("s_acctbal") / 100).alias("x"), (F.col("s_nationkey") * 4.0).alias("y"), F.lit(1.0).alias("z"))
-    return rounded(joins.nearest_points(a, b, 10.0, 2), "distance")
+    b = b.withColumn("id", F.monotonically_increasing_id())
+    return rounded(alignment.nearest_k(a, b, 10.0).select("id", "distance"), "distance")
 
 
 @query(f"""WITH {_KNN} SELECT id, round(sqrt(pow(x - 40, 2) + pow(y - 40, 2)), 6) AS distance FROM a WHERE sqrt(pow(x - 40, 2) + pow(y - 40, 2)) <= 10 ORDER BY 2, 1 LIMIT 1""")
