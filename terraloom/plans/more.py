@@ -8,7 +8,7 @@ from terraloom.functions import geometry as G
 from terraloom.plans.inputs import table
 from terraloom.plans.registry import query, rounded
 from terraloom.sources import text
-from terraloom.streaming import frames
+from terraloom.streaming import cursor, frames
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice AS x, l_quantity AS y, l_tax AS z, l_shipdate::DATE::VARCHAR AS file FROM lineitem WHERE l_linenumber <> 3")
@@ -80,3 +80,27 @@ SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*
 def stream_sessions(spark, d):
     found = frames.final_state(frames.sessions(frames.frame_stream(spark, d, "events.parquet"), ["user_id"], "30 minutes"), "sessions")
     return found.withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("start", "end")})
+
+
+def _asked(spark, d):
+    """Clicks ask for the frames before and after them."""
+    stream = frames.frame_stream(spark, d, "events.parquet")
+    return stream.select("user_id", F.unix_micros("ts").alias("t"), (F.col("event_type") == "click").alias("asked"), F.col("event_id").alias("id"), "value")
+
+
+_CURSOR = """c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), v AS (SELECT user_id, ts, max(event_id) AS ref, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL),
+p AS (SELECT c.event_id AS id, c.user_id::VARCHAR AS user_id, c.ts, b.ref AS before, f.ref AS after, b.ts AS bt, f.ts AS ft, b.value AS bv, f.value AS fv
+  FROM c ASOF LEFT JOIN v b ON c.user_id = b.user_id AND c.ts >= b.ts ASOF JOIN v f ON c.user_id = f.user_id AND c.ts <= f.ts)"""
+
+
+@query(f"WITH {_CURSOR} SELECT user_id, id, before, after FROM p")
+def cursor_frames(spark, d):
+    """A forward-only cursor: the frames before and after each click, for clicks with a later frame."""
+    return cursor.run_forward(cursor.between(_asked(spark, d), "user_id", ["value"]), "cursor").select("user_id", "id", "before", "after")
+
+
+@query(f"WITH {_CURSOR} SELECT user_id, id, round(bv + (CASE WHEN ft > bt THEN (epoch_us(ts) - epoch_us(bt)) / (epoch_us(ft) - epoch_us(bt)) ELSE 0 END) * (fv - bv), 6) AS value FROM p WHERE before IS NOT NULL")
+def stream_interpolation(spark, d):
+    """Values between the samples around each click, as samples come in."""
+    found = cursor.run_forward(cursor.between(_asked(spark, d), "user_id", ["value"]), "interpolation")
+    return rounded(cursor.interpolated(found, ["value"]).select("user_id", "id", "value"), "value")
