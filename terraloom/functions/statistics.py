@@ -41,19 +41,25 @@ def rounded_percentile(v: Column, p: float) -> Column:
     return pick(s, F.floor(F.lit(p) * (F.size(s) - 1) + 0.5))
 
 
-#: Ranges into which values are cut, so that no task ranks all values of a group.
-SPLITS = 64
+#: Ranges into which values are cut, so that no task ranks all values of a group: at least and at most.
+SPLITS, MOST_SPLITS = 64, 512
+
+
+def splits(spark) -> int:
+    """Ranges for a session: two for each of its shuffle partitions, within the bounds."""
+    return min(MOST_SPLITS, max(SPLITS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """keys, value, c, upto, n: each distinct value of a group, its rows, the rows up to and with it, and the group's rows.
 
-    Values are counted first, then ranked in ranges that an approximate quantile sketch cuts, with the ranges' totals as
-    offsets; a group of any size spreads over SPLITS tasks. Null values are left out.
+    Values are counted first, then ranked in ranges that an approximate quantile sketch of all values cuts, with the ranges'
+    totals as offsets: a task ranks the distinct values of one range of one group. Null values are left out.
     """
+    parts = splits(df.sparkSession)
     keys = keys or []
     v = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    cuts = v.agg(F.percentile_approx(value, [i / SPLITS for i in range(1, SPLITS)], 1000).alias("_cuts"))  # one row of 63 numbers
+    cuts = v.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))  # one row of parts - 1 numbers
     counts = v.groupBy(*keys, value).agg(F.count("*").alias("c")).crossJoin(F.broadcast(cuts))
     counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(value)))).drop("_cuts")
     totals = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("_sum"))
@@ -106,9 +112,20 @@ def nmad(df: DataFrame, keys: list[str], value: str, name: str = "nmad") -> Data
     return off.groupBy(*keys).agg((NMAD_FACTOR * F.median(F.abs(F.col(value) - F.col("_m")))).alias(name))
 
 
+def shares(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """For each group the values below which given shares lie, drawn linearly between neighbours, by ranks."""
+    place = {name: F.lit(p) * (F.col("n") - 1) for name, p in wanted.items()}
+    found = value_ranks(df, value, keys)
+    first = lambda at: F.min(F.when(F.col("upto") > at, F.col(value)))
+    ends = [e for name, at in place.items() for e in (first(F.floor(at)).alias(f"_l{name}"), first(F.ceil(at)).alias(f"_h{name}"))]
+    ends = found.groupBy(*(keys or [])).agg(F.max("n").alias("n"), *ends)
+    between = lambda name, at: F.col(f"_l{name}") + (at - F.floor(at)) * (F.col(f"_h{name}") - F.col(f"_l{name}"))
+    return ends.select(*(keys or []), *(between(name, at).alias(name) for name, at in place.items()))
+
+
 def brackets(df: DataFrame, value: str, pct: float, factor: float, keys: list[str] | None = None) -> DataFrame:
     """lo, hi: the interval between the pct and 1 - pct percentiles, widened by factor times its width on both sides."""
-    s = df.groupBy(*(keys or [])).agg(F.percentile(value, 1 - pct).alias("_a"), F.percentile(value, pct).alias("_b"))
+    s = shares(df, value, {"_a": 1 - pct, "_b": pct}, keys)
     width = F.col("_b") - F.col("_a")
     return s.select(*(keys or []), (F.col("_a") - factor * width).alias("lo"), (F.col("_b") + factor * width).alias("hi"))
 

@@ -90,9 +90,12 @@ def inlier_box(points: DataFrame, percent: float = 75.0, factor: float = 3.0, mo
     if most_error is not None and most_error > 0:
         v = v.filter(F.col("err") <= most_error)
     share = {"x": (1 + p) / 2, "y": (1 + p) / 2, "z": (3 + p) / 4}
-    s = v.agg(*(F.percentile(c, [1 - q, q]).alias(c) for c, q in share.items()))
-    wide = lambda c: 2 * factor * (F.col(c)[1] - F.col(c)[0])
-    return s.select(*(e for c in share for e in ((F.col(c)[0] - wide(c)).alias(f"{c}_lo"), (F.col(c)[1] + wide(c)).alias(f"{c}_hi"))))
+    box = None
+    for c, q in share.items():
+        wide = 2 * factor * (F.col("_b") - F.col("_a"))
+        side = S.shares(v, c, {"_a": 1 - q, "_b": q}).select((F.col("_a") - wide).alias(f"{c}_lo"), (F.col("_b") + wide).alias(f"{c}_hi"))
+        box = side if box is None else box.crossJoin(F.broadcast(side))  # one row each
+    return box
 
 
 def inside_box(points: DataFrame, box: DataFrame) -> DataFrame:

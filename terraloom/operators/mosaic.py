@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.functions.statistics import nmad
+from terraloom.functions.statistics import NMAD_FACTOR
+
+
+def _middle(values: Column) -> Column:
+    """Mean of the two middle elements of a sorted array."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
 
 
 def mosaic(cells: DataFrame) -> DataFrame:
-    """All statistics of the valid inputs of each cell. stddev is the sample's and null below two inputs."""
+    """All statistics of the valid inputs of each cell, in one exchange: a cell's values, one an input, come together as an array.
+
+    stddev is the sample's and null below two inputs.
+    """
     v = cells.filter(F.col("v").isNotNull())
     out = v.groupBy("col", "row").agg(
         F.min_by("v", "idx").alias("first"),
@@ -18,21 +27,20 @@ def mosaic(cells: DataFrame) -> DataFrame:
         F.max("v").alias("max"),
         F.avg("v").alias("mean"),
         F.when(F.count("v") > 1, F.stddev_samp("v")).alias("stddev"),
-        F.median("v").alias("median"),
         F.count("v").alias("count"),
+        F.array_sort(F.collect_list("v")).alias("_v"),
     )
-    return out.join(nmad(v, ["col", "row"], "v"), ["col", "row"])
+    out = out.withColumn("median", _middle(F.col("_v")))
+    off = F.array_sort(F.transform("_v", lambda x: F.abs(x - F.col("median"))))
+    return out.withColumn("nmad", NMAD_FACTOR * _middle(off)).drop("_v")
 
 
 def index_map(cells: DataFrame) -> DataFrame:
-    """Which input gives a cell its minimum, its maximum and the value closest to the median; the earliest wins ties."""
-    v = cells.filter(F.col("v").isNotNull())
-    centre = v.groupBy("col", "row").agg(F.median("v").alias("_m"))
-    return v.join(centre, ["col", "row"]).groupBy("col", "row").agg(
-        F.min(F.struct("v", "idx"))["idx"].alias("min_idx"),
-        F.min(F.struct((-F.col("v")).alias("v"), "idx"))["idx"].alias("max_idx"),
-        F.min(F.struct(F.abs(F.col("v") - F.col("_m")).alias("v"), "idx"))["idx"].alias("median_idx"),
-    )
+    """Which input gives a cell its minimum, its maximum and the value closest to the median; the earliest wins ties. One exchange."""
+    v = cells.filter(F.col("v").isNotNull()).groupBy("col", "row").agg(F.array_sort(F.collect_list(F.struct("v", "idx"))).alias("_p"))
+    v = v.withColumn("_m", _middle(F.col("_p.v")))
+    best = lambda rank: F.array_min(F.transform("_p", lambda p: F.struct(rank(p["v"]).alias("v"), p["idx"].alias("idx"))))["idx"]
+    return v.select("col", "row", best(lambda x: x).alias("min_idx"), best(lambda x: -x).alias("max_idx"), best(lambda x: F.abs(x - F.col("_m"))).alias("median_idx"))
 
 
 def block_max(cells: DataFrame, tile: int) -> DataFrame:
