@@ -12,21 +12,26 @@ def _stored(df: DataFrame) -> DataFrame:
     return stored(df, "tracks")
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node of links(hi, lo) is a centre (only lo) or bound to a single centre (hi, once)."""
+    ends = links.select(F.col("hi").alias("node"), F.lit(1).alias("bound")).unionByName(links.select(F.col("lo").alias("node"), F.lit(0).alias("bound")))
+    return ends.groupBy("node").agg(F.sum("bound").alias("n"), F.min("bound").alias("least")).filter((F.col("n") > 1) | (F.col("least") < F.col("n"))).isEmpty()
+
+
 def tracks(links: DataFrame) -> DataFrame:
-    """links(a, b) -> node, track (the smallest node of its component)."""
+    """links(a, b) -> node, track (the smallest node of its component).
+
+    Rounds until the links are stars around the smallest nodes; links that are stars already take none.
+    """
     links = _stored(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    facts = None
-    while True:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         root = both.groupBy("hi").agg(F.min("lo").alias("root")).withColumn("root", F.least("hi", "root"))
         large = both.join(root, "hi").filter(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         root = large.groupBy("hi").agg(F.min("lo").alias("root"))
         small = large.join(root, "hi").filter(F.col("lo") != F.col("root")).select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         links = _stored(small.unionByName(root.select("hi", F.col("root").alias("lo"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == facts:
-            return links.select(F.col("hi").alias("node"), F.col("lo").alias("track")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("track")).distinct())
-        facts = now
+    return links.select(F.col("hi").alias("node"), F.col("lo").alias("track")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("track")).distinct())
 
 
 def without_conflicts(found: DataFrame, least: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from terraloom.operators import tracks
@@ -51,3 +52,14 @@ def test_tracks_without_conflicts(spark):
     got = {(r["track"], r["node"]) for r in tracks.without_conflicts(found).collect()}
     assert got == {(10, 10), (10, 20), (10, 30), (10, 40), (11, 11), (11, 21), (11, 31), (13, 13), (13, 24)}
     assert {r["track"] for r in tracks.without_conflicts(found, 3).collect()} == {10, 11}
+
+
+def test_tracks_of_chains_and_cycles(spark):
+    rng = np.random.default_rng(3)
+    names = rng.permutation(400).tolist()
+    links = list(zip(names[:150], names[1:150])) + list(zip(names[150:300], [*names[151:300], names[150]]))  # a chain of 150, a cycle of 150
+    links += [(b, a) for a, b in links[::3]] + [(names[300], names[300])] + [(names[301], n) for n in names[302:340]]
+    got = {r["node"]: r["track"] for r in tracks.tracks(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    groups = [names[:150], names[150:300], names[301:340]]
+    assert got == {n: min(g) for g in groups for n in g}
+    assert tracks.tracks(spark.createDataFrame([], "a long, b long")).count() == 0
