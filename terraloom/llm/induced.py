@@ -256,7 +256,7 @@ class InducedSorter:
     def _by_names(self, names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """As _sort_names, by pairs of names that cover twice as much each time; the last name occurs once."""
         n, step = len(names), 1
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         levels = [(1, names)]
         while True:
             ranked = names[order]
@@ -269,9 +269,10 @@ class InducedSorter:
             names[order] = first  # a name is the place where its equals start
             held = order[open_]
             after = np.where(held + step < n, names[np.minimum(held + step, n - 1)], -1)
-            inner = np.lexsort((after, first[open_]))
+            f = first[open_]
+            inner = np.argsort(f * (n + 1) + after)  # one number for both: n is below 2^31; equals may come in any order
             order[open_] = held[inner]
-            a, f = after[inner], first[open_]
+            a = after[inner]
             new = np.concatenate([[True], (f[1:] != f[:-1]) | (a[1:] != a[:-1])])
             names[order[open_]] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
             step *= 2
