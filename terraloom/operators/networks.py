@@ -125,12 +125,16 @@ def check_names(paths: DataFrame, column: str) -> DataFrame:
     return named.join(twice, "_base").withColumn(column, bad).select(*paths.columns)
 
 
-def combinations(spark, **values: list) -> DataFrame:
-    """All combinations of the given lists, a column for each; small by nature, made on one row of arrays."""
-    names = list(values)
-    df = spark.createDataFrame([tuple(values[n] for n in names)], names)
-    for n in names:
-        df = df.withColumn(n, F.explode(n))
+def sweep(df: DataFrame, **values: list) -> DataFrame:
+    """Every row of df under all combinations of the given lists, a column for each; an empty list leaves no row.
+
+    Rows are multiplied where they are read, without an exchange; aggregate by the parameters, so that sums are made in
+    the tasks. A parameter named like a column of df raises ValueError.
+    """
+    if set(values) & set(df.columns):
+        raise ValueError("a parameter is named like a column of the table")
+    for name, choices in values.items():
+        df = df.filter(F.lit(False)).withColumn(name, F.lit(None)) if not choices else df.withColumn(name, F.explode(F.array(*(F.lit(c) for c in choices))))
     return df
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as G
 from terraloom.operators import networks
-from terraloom.plans.inputs import table
+from terraloom.plans.inputs import RASTER, raster, table
 from terraloom.plans.registry import query, rounded
 from terraloom.sources import networks as N
 from terraloom.sources import text
@@ -107,9 +107,13 @@ def checked_names(spark, d):
     return networks.check_names(table(spark, d, "customer").select(F.concat("c_name", F.lit(".tif")).alias("path")), "path")
 
 
-@query("SELECT a, b, c FROM (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest(['x', 'y']) AS b), (SELECT unnest([0.5::DOUBLE, 1.5]) AS c)")
+@query(f"""WITH {RASTER} SELECT least, factor, count(*) AS kept, round(avg(v * factor), 6) AS mean FROM raster CROSS JOIN (SELECT unnest([100.0::DOUBLE, 150.0, 200.0]) AS least) CROSS JOIN (SELECT unnest([0.5::DOUBLE, 1.0, 1.5]) AS factor)
+WHERE v * factor >= least GROUP BY ALL""")
 def parameter_sweep(spark, d):
-    return networks.combinations(spark, a=[1, 2, 3], b=["x", "y"], c=[0.5, 1.5])
+    """A raster under every threshold and factor."""
+    swept = networks.sweep(raster(spark, d), least=[100.0, 150.0, 200.0], factor=[0.5, 1.0, 1.5])
+    value = F.col("v") * F.col("factor")
+    return rounded(swept.filter(value >= F.col("least")).groupBy("least", "factor").agg(F.count("*").alias("kept"), F.avg(value).alias("mean")), "mean")
 
 
 @query("""SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM (SELECT DISTINCT l_suppkey AS x, l_partkey % 100 AS y FROM lineitem) p JOIN supplier a ON a.s_suppkey = x JOIN supplier b ON b.s_suppkey = y""")
@@ -263,9 +267,16 @@ def geoid_heights(spark, d):
     return rounded(out, "lon", "lat", "above", "back")
 
 
-@query("SELECT kind, CASE kind WHEN 'int32' THEN -2147483648.0 WHEN 'int16' THEN -32768.0 WHEN 'uint8' THEN 0.0 WHEN 'uint16' THEN 0.0 WHEN 'uint32' THEN 0.0 ELSE -1e6 END::DOUBLE AS nodata FROM (SELECT unnest(['int32', 'int16', 'uint8', 'uint16', 'uint32', 'float32', 'float64']) AS kind)")
+_KINDS = ["int32", "int16", "uint8", "uint16", "uint32", "float32", "float64"]
+
+
+@query(f"""WITH {RASTER}, k AS (SELECT s_suppkey AS col, {_KINDS}[1 + s_nationkey % 7] AS kind FROM supplier)
+SELECT r.col, r."row", kind, coalesce(v, CASE kind WHEN 'int32' THEN -2147483648.0 WHEN 'int16' THEN -32768.0 WHEN 'uint8' THEN 0.0 WHEN 'uint16' THEN 0.0 WHEN 'uint32' THEN 0.0 ELSE -1e6 END)::DOUBLE AS v FROM raster r JOIN k ON k.col = r.col""")
 def nodata_values(spark, d):
-    return networks.combinations(spark, kind=["int32", "int16", "uint8", "uint16", "uint32", "float32", "float64"]).select("kind", G.nodata_of(F.col("kind")).alias("nodata"))
+    """A raster's holes as the no-data value of their column's pixel type, which goes by the supplier's nation."""
+    kind = F.element_at(F.array(*(F.lit(k) for k in _KINDS)), (1 + F.col("s_nationkey") % 7).cast("int"))
+    kinds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("col"), kind.alias("kind"))
+    return raster(spark, d).join(kinds, "col").select("col", "row", "kind", F.coalesce(F.col("v").cast("double"), G.nodata_of(F.col("kind"))).alias("v"))
 
 
 @query("SELECT event_id, date_trunc('second', ts) + INTERVAL 250 MILLISECOND AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250000Z' AS fixed FROM events")

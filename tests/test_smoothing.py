@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.operators.networks import complete_network
+from terraloom.operators.networks import complete_network, sweep
 from terraloom.operators.smoothing import smooth_by_texture, texture, window_means
 
 SCHEMA = "col long, row long, v double, half int"
@@ -91,3 +91,12 @@ def test_completed_network(spark):
         complete_network(o.withColumn("cid", F.lit(3)), moves, aligned, 10).collect()
     with pytest.raises(Exception, match="no inverse"):
         complete_network(o, moves, aligned.withColumn("r", F.array_repeat(F.lit(1.0), 6)), 10).collect()
+
+
+def test_sweep(spark):
+    df = spark.createDataFrame([(1, None), (2, 0.5)], "k long, v double")
+    got = [tuple(r) for r in sweep(df, a=[1, 2, 3], b=["x", "y"]).collect()]
+    assert sorted(got, key=str) == sorted(((k, v, a, b) for k, v in [(1, None), (2, 0.5)] for a in (1, 2, 3) for b in "xy"), key=str)
+    assert sweep(df, a=[]).count() == 0
+    with pytest.raises(ValueError, match="named like"):
+        sweep(df, k=[1])
