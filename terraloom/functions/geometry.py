@@ -163,7 +163,7 @@ def rgb_to_ycbcr(r: Column, g: Column, b: Column, lo: float = 0.0, hi: float = 2
 
 def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, lo: float = 0.0, hi: float = 255.0) -> tuple[Column, Column, Column]:
     mid = (lo + hi + 1) / 2
-    parts = (y + 1.402 * (cr - mid), y - 0.344136 * (cb - mid) - 0.714136 * (cr - mid), y + 1.772 * (cb - mid))
+    parts = (y + 1.402 * (cr - mid), y - 0.34414 * (cb - mid) - 0.71414 * (cr - mid), y + 1.772 * (cb - mid))
     return tuple(F.least(F.greatest(p, F.lit(lo)), F.lit(hi)) for p in parts)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terraloom.functions.geometry import rgb_to_ycbcr, ycbcr_to_rgb
 from terraloom.operators.joins import bilinear
 
 
@@ -118,3 +119,22 @@ def camera_kind(left_image: Column, right_image: Column, left_camera: Column, ri
     ends = lambda cols, *endings: F.coalesce(F.greatest(*(F.coalesce(F.lower(c).endswith(e), F.lit(False)) for c in cols for e in endings)), F.lit(False))
     cameras, every = [left_camera, right_camera], [left_image, right_image, left_camera, right_camera]
     return F.when(ends(cameras, ".tsai", ".pinhole"), "pinhole").when(ends(cameras, ".json", ".isd"), "csm").when(ends(every, ".cub"), "isis").when(ends(cameras, ".dim"), "spot")
+
+
+def pan_sharpened(grey: DataFrame, colours: DataFrame, lo: float = 0.0, hi: float = 255.0) -> DataFrame:
+    """col, row, r, g, b of grey(col, row, v, px, py): the colours between the four nodes around (px, py), with v for their luma.
+
+    colours(col, row, r, g, b) is the coarser raster. All values are kept between lo and hi. Null where the grey cell or a
+    node of weight is a hole or outside. One join and one aggregation by cell; a place is taken to occur once.
+    """
+    c, r = F.floor("px"), F.floor("py")
+    fx, fy = F.col("px") - c, F.col("py") - r
+    nodes = F.array(*(F.struct((c + i).alias("x"), (r + j).alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    asked = grey.select("col", "row", "v", F.explode_outer(F.filter(nodes, lambda n: n["w"] > 0)).alias("n")).select("col", "row", "v", F.col("n.x").alias("x"), F.col("n.y").alias("y"), F.col("n.w").alias("w"))
+    there = colours.select(F.col("col").alias("x"), F.col("row").alias("y"), "r", "g", "b")
+    between = lambda n: F.when(F.count(n) == F.count("*"), F.sum(F.col("w") * F.col(n))).alias(n)
+    mixed = asked.join(there, ["x", "y"], "left").groupBy("col", "row", "v").agg(*(between(n) for n in "rgb"))
+    _, cb, cr = rgb_to_ycbcr(F.col("r"), F.col("g"), F.col("b"), lo, hi)
+    whole = F.col("v").isNotNull() & F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
+    sharp = ycbcr_to_rgb(F.col("v"), cb, cr, lo, hi)
+    return mixed.select("col", "row", *(F.when(whole, s).alias(n) for s, n in zip(sharp, "rgb", strict=True)))

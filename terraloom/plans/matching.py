@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terraloom.operators import networks, smoothing
+from terraloom.operators import composites, networks, smoothing
 from terraloom.operators.storage import shared_path
 from terraloom.plans.inputs import CELLS, RASTER, cells, raster, table
 from terraloom.plans.registry import query, rounded
@@ -56,3 +56,19 @@ def completed_network(spark, d):
     pairs = table(spark, d, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").cast("long").alias("cid"))
     pairs = pairs.select("cid", numbers(1, 0, 0.25 * k, 0, 1, 0.5).alias("l"), numbers(2, 0.5, k, 0.25, 1, -k).alias("r"))
     return rounded(networks.complete_network(o, moves, pairs, 3), "x", "y")
+
+
+@query(f"""WITH {RASTER}, c AS (SELECT col // 2 AS x, "row" // 2 AS y, avg(CASE idx WHEN 0 THEN v END) / 2 AS r, avg(CASE idx WHEN 1 THEN v END) / 2 AS g, avg(CASE idx WHEN 2 THEN v END) / 2 AS b FROM cells GROUP BY ALL),
+p AS (SELECT col, "row", v / 2 AS v, col / 2 - 0.25 AS px, "row" / 2 - 0.25 AS py FROM raster),
+n AS (SELECT p.*, floor(px)::BIGINT + i AS x, floor(py)::BIGINT + j AS y, CASE i WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END * CASE j WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END AS w
+  FROM p CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j)),
+m AS (SELECT col, "row", n.v, CASE WHEN count(r) = count(*) THEN sum(w * r) END AS r, CASE WHEN count(g) = count(*) THEN sum(w * g) END AS g, CASE WHEN count(b) = count(*) THEN sum(w * b) END AS b
+  FROM n LEFT JOIN c ON c.x = n.x AND c.y = n.y WHERE w > 0 GROUP BY col, "row", n.v),
+k AS (SELECT *, v IS NOT NULL AND r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL AS whole, least(greatest(128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 0), 255) - 128 AS cb, least(greatest(128 + 0.5 * r - 0.418688 * g - 0.081312 * b, 0), 255) - 128 AS cr FROM m)
+SELECT col, "row", CASE WHEN whole THEN round(least(greatest(v + 1.402 * cr, 0), 255), 5) END AS r, CASE WHEN whole THEN round(least(greatest(v - 0.34414 * cb - 0.71414 * cr, 0), 255), 5) END AS g, CASE WHEN whole THEN round(least(greatest(v + 1.772 * cb, 0), 255), 5) END AS b FROM k""")
+def pan_sharpening(spark, d):
+    """The first raster as the grey image, all three at half its resolution as the colours."""
+    half = F.expr("col div 2").alias("col"), F.expr("row div 2").alias("row")
+    colours = cells(spark, d).groupBy(*half).agg(*((F.avg(F.when(F.col("idx") == i, F.col("v"))) / 2).alias(n) for i, n in enumerate("rgb")))
+    grey = raster(spark, d).select("col", "row", (F.col("v") / 2).alias("v"), (F.col("col") / 2 - 0.25).alias("px"), (F.col("row") / 2 - 0.25).alias("py"))
+    return rounded(composites.pan_sharpened(grey, colours), "r", "g", "b", digits=5)

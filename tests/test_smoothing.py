@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from terraloom.operators.composites import pan_sharpened
 from terraloom.operators.networks import complete_network, sweep
 from terraloom.operators.smoothing import smooth_by_texture, texture, window_means
 
@@ -100,3 +101,13 @@ def test_sweep(spark):
     assert sweep(df, a=[]).count() == 0
     with pytest.raises(ValueError, match="named like"):
         sweep(df, k=[1])
+
+
+def test_pan_sharpening(spark):
+    grey = spark.createDataFrame([(0, 0, 90.0, 0.5, 0.0), (1, 0, None, 0.5, 0.0), (2, 0, 90.0, 0.5, 0.5), (3, 0, 90.0, 7.0, 0.0), (4, 0, 300.0, 0.0, 0.0), (5, 0, 90.0, None, 0.0)], "col long, row long, v double, px double, py double")
+    colours = spark.createDataFrame([(0, 0, 100.0, 100.0, 100.0), (1, 0, 200.0, 100.0, 0.0), (0, 1, 1.0, 1.0, 1.0), (1, 1, None, 1.0, 1.0)], "col long, row long, r double, g double, b double")
+    got = {r["col"]: (r.r, r.g, r.b) for r in pan_sharpened(grey, colours).collect()}
+    cb, cr = -0.168736 * 150 - 0.331264 * 100 + 0.5 * 50, 0.5 * 150 - 0.418688 * 100 - 0.081312 * 50  # of (150, 100, 50)
+    assert got[0] == pytest.approx((90 + 1.402 * cr, 90 - 0.34414 * cb - 0.71414 * cr, 90 + 1.772 * cb))
+    assert got[1] == got[2] == got[3] == got[5] == (None, None, None)
+    assert got[4] == (255.0, 255.0, 255.0)
