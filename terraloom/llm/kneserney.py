@@ -29,6 +29,8 @@ BATCH_BYTES = 2 << 20
 KEPT_TOKENS = 2_000_000
 BYTES_A_SHARD = 16 << 20
 MOST_SHARDS = 4096
+#: Two word numbers share 64 signed bits.
+MOST_WORDS = 1 << 31
 
 
 def _tokens(hasher: WordHasher, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +191,8 @@ def train(docs: DataFrame) -> Model:
     for r in sorted(facts, key=lambda r: r["shard"]):
         base[r["shard"]] = words
         words += r["count"]
+    if words >= MOST_WORDS:
+        raise ValueError(f"{words} distinct words: pairs of their numbers have room for {MOST_WORDS - 1}")
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, numbers, held, n = WordHasher(), Words(uri, bits, base), [], 0

@@ -500,3 +500,11 @@ def test_near_duplicates_without_ids(spark, ids):
             df = spark.createDataFrame(rows, "doc_id long, text string").repartition(step)
             described = forest.describe(df)
             assert forest.link_classes(df, described).count() == linked
+
+
+def test_too_many_words_raise(spark, monkeypatch):
+    from terraloom.llm import kneserney
+
+    monkeypatch.setattr(kneserney, "MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="distinct words"):
+        kneserney.train(spark.createDataFrame([("a b c d",)], "text string"))
