@@ -271,6 +271,25 @@ def refraction_index(wavelength_nm: Column, celsius: Column, salinity: Column) -
     return n[0] + (n[1] + n[2] * t + n[3] * t * t) * s + n[4] * t * t + (n[5] + n[6] * s + n[7] * t) / w + n[8] / (w * w) + n[9] / (w * w * w)
 
 
+def refraction_index_by_salinity(wavelength_nm: Column, celsius: Column, salinity: Column) -> Column:
+    """Index of water from quadratics in temperature and wavelength, for fresh water and for 35 parts per thousand of salt, drawn linearly by salinity."""
+    # Coefficients of Parrish (2020) for T^2, lambda^2, T, lambda and 1.
+    fresh = (-1.97812e-6, 1.03223e-7, -8.58125e-6, -1.54834e-4, 1.38919)
+    sea = (-1.50156e-6, 1.07085e-7, -4.27594e-5, -1.60476e-4, 1.39807)
+    a, b, c, d, e = (f + salinity / 35.0 * (s - f) for f, s in zip(fresh, sea, strict=True))
+    return a * celsius * celsius + b * wavelength_nm * wavelength_nm + c * celsius + d * wavelength_nm + e
+
+
+def effective_wavelength(wavelength_nm: Column, response: Column, least: float, most: float) -> dict[str, Column]:
+    """Aggregates over a spectral response: its weighted mean wavelength, and that of the largest response (the smaller one on ties).
+
+    Wavelengths outside [least, most] and responses that aren't positive are left out.
+    """
+    counts = (response > 0) & wavelength_nm.between(least, most)
+    w, r = F.when(counts, wavelength_nm), F.when(counts, response)
+    return {"weighted_mean": F.try_divide(F.sum(w * r), F.sum(r)), "peak_response": -F.max(F.struct(r.alias("r"), (-w).alias("w")))["w"]}
+
+
 def parabola_offset(before: Column, at: Column, after: Column) -> Column:
     """Where a parabola through three neighbouring costs has its extremum, as an offset from the middle; 0 where it is flat."""
     return F.coalesce(F.try_divide(before - after, 2 * (before - 2 * at + after)), F.lit(0.0))

@@ -41,6 +41,41 @@ def box_overlaps(boxes: DataFrame, size: float) -> DataFrame:
     return joined.filter(hit & home).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def limited_overlaps(boxes: DataFrame, size: float, most: int, wrap: bool = False) -> DataFrame:
+    """Pairs a < b of boxes that overlap, as a pass over the boxes in the order of their ids (from 0, gapless) picks them.
+
+    Each box takes the next ones that overlap it, at most `most` pairs a box. With wrap the pass goes on, after the last, with the
+    first `most` boxes; pairs that are there already aren't counted again. A box's partners are ranked in one task.
+    """
+    pairs = box_overlaps(boxes, size)
+    nth = F.row_number()
+    forward = pairs.withColumn("_n", nth.over(Window.partitionBy("a").orderBy("b"))).filter(F.col("_n") <= most).drop("_n")
+    if not wrap:
+        return forward
+    taken = forward.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("_taken"))
+    again = pairs.filter(F.col("a") < most).join(forward, ["a", "b"], "left_anti").join(taken, "b", "left")
+    again = again.withColumn("_n", nth.over(Window.partitionBy("b").orderBy("a"))).filter(F.col("_n") <= most - F.coalesce("_taken", F.lit(0)))
+    return forward.unionByName(again.select("a", "b"))
+
+
+def near_pairs(items: DataFrame, limit: int, wrap: bool = False, reach: float | None = None) -> DataFrame:
+    """Pairs i < j of items(i, x, y, z), i from 0 without gaps, at most `limit` apart in order, with wrap also around the end.
+
+    With reach, pairs whose positions are both known (no null coordinate) and farther apart are left out.
+    """
+    ahead = items.select("i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + limit)).alias("j"))
+    if wrap:
+        last = items.agg((F.max("i") + 1).alias("_size"))  # one row
+        ahead = ahead.crossJoin(F.broadcast(last)).select("i", F.pmod("j", "_size").alias("j")).filter("i <> j")
+    ahead = ahead.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    at = lambda name, end: items.select(F.col("i").alias(name), F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), F.array("x", "y", "z")).alias(end))
+    out = ahead.join(at("i", "_p"), "i").join(at("j", "_q"), "j")
+    if reach is not None:
+        apart = F.sqrt(F.aggregate(F.zip_with("_p", "_q", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
+        out = out.filter(F.coalesce(apart <= reach, F.lit(True)))
+    return out.select("i", "j")
+
+
 def bilinear(points: DataFrame, cells: DataFrame, codes: bool = False) -> DataFrame:
     """points(px, py, ...) with the raster's value between its four nodes.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.statistics import NMAD_FACTOR
+from terraloom.operators.surfaces import blurred, grassfire
 
 
 def _middle(values: Column) -> Column:
@@ -76,6 +77,53 @@ def priority_blend(cells: DataFrame, depth: str, reach: float, power: float) ->
     return v.groupBy("col", "row").agg(F.try_divide(F.sum(weight * F.col("v")), F.sum(weight)).alias("v"))
 
 
+def border_weights(cells: DataFrame, most: float, sigma: float, power: float, border: bool = True) -> DataFrame:
+    """Valid cells with weight: the distance to their input's nearest hole, at most `most`, smoothed by a Gaussian, to a power.
+
+    cells has a line for each place of each input's frame. With sigma 0 nothing is smoothed. Without border only holes count, and
+    an input without holes has the weight `most` everywhere.
+    """
+    depth = grassfire(cells, border, ("idx",)).withColumn("_w", F.least(F.coalesce(F.col("distance").cast("double"), F.lit(float(most))), F.lit(float(most))))
+    if sigma > 0:
+        smooth = blurred(depth.select("idx", "col", "row", F.col("_w").alias("v")), sigma, keys=("idx",)).withColumnRenamed("v", "_w")
+        depth = depth.drop("_w").join(smooth, ["idx", "col", "row"])
+    return depth.select("idx", "col", "row", "v", F.pow("_w", F.lit(float(power))).alias("weight"))
+
+
+def blurred_blend(cells: DataFrame, most: float = 200.0, sigma: float = 5.0, power: float = 2.0, border: bool = True) -> DataFrame:
+    """The mosaic's usual blend: the mean of a cell's valid inputs by their border_weights, and the share of the first input's weight."""
+    return blend(border_weights(cells, most, sigma, power, border), "weight")
+
+
+def burnt(cells: DataFrame, depth: str, reach: float) -> DataFrame:
+    """cells with a hole wherever earlier inputs leave nothing to an input, that is, deeper than `reach` inside one of them.
+
+    Going through a cell's inputs in their order, an input's room is the least that its forerunners left, `reach` less their
+    own depth (at least 0), and its depth at most that room; an input without room has a hole there.
+    """
+    valid = cells.filter(F.col("v").isNotNull() & (F.col(depth) > 0))
+    earlier = F.array_sort(F.collect_list(F.struct("idx", F.col(depth).cast("double").alias("d"))))
+
+    def step(state, one):
+        depth_here = F.least(state["room"], one["d"])
+        left = F.least(state["room"], F.greatest(F.lit(0.0), F.lit(float(reach)) - depth_here))
+        return F.struct(left.alias("room"), F.concat(state["kept"], F.when(depth_here > 0, F.array(one["idx"])).otherwise(F.array().cast("array<bigint>"))).alias("kept"))
+
+    start = F.struct(F.lit(float("inf")).alias("room"), F.array().cast("array<bigint>").alias("kept"))
+    by_cell = valid.withColumn("idx", F.col("idx").cast("bigint")).groupBy("col", "row").agg(F.aggregate(earlier, start, step)["kept"].alias("_kept"))
+    out = cells.join(by_cell, ["col", "row"], "left")
+    return out.select("idx", "col", "row", F.when(F.array_contains("_kept", F.col("idx").cast("bigint")), F.col("v")).alias("v"))
+
+
+def border_priority_blend(cells: DataFrame, reach: float, most: float = 200.0, sigma: float = 5.0, power: float = 2.0, border: bool = True) -> DataFrame:
+    """Earlier inputs win, except within `reach` of their border, where they pass over into later ones; depths from the inputs' holes.
+
+    Depths say where later inputs have holes burnt; weights are then those of the inputs with these holes.
+    """
+    deep = grassfire(cells, border, ("idx",)).select("idx", "col", "row", F.coalesce(F.col("distance").cast("double"), F.lit(float("inf"))).alias("_d"))
+    return blurred_blend(burnt(cells.join(deep, ["idx", "col", "row"], "left"), "_d", reach), most, sigma, power, border)
+
+
 def max_lit(cells: DataFrame) -> DataFrame:
     """The largest valid value of each cell, at least 0: the composite starts from black."""
     return cells.filter(F.col("v").isNotNull()).groupBy("col", "row").agg(F.greatest(F.max("v"), F.lit(0.0)).alias("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.functions.statistics import upper_median
+from terraloom.functions.statistics import floor_place, picks, upper_median
 
 
 def spread(cells: DataFrame, half: int) -> DataFrame:
@@ -104,6 +104,13 @@ def clean_by_mean(cells: DataFrame, half: int, most: float) -> DataFrame:
     return kept.filter(F.abs(F.col("v") - F.col("_m")) <= most).select("col", "row", "v")
 
 
+def clean_by_quantile(cells: DataFrame, share: float, multiple: float) -> DataFrame:
+    """Valid cells whose size |v| is at most `multiple` times the `share` quantile of all sizes (element floor(share * n) of them)."""
+    sizes = cells.filter(F.col("v").isNotNull()).withColumn("_s", F.abs("v").cast("double"))
+    most = picks(sizes, "_s", {"_most": floor_place(share)})  # one row
+    return sizes.crossJoin(F.broadcast(most)).filter(F.col("_s") <= multiple * F.col("_most")).select("col", "row", "v")
+
+
 def edge_mask(cells: DataFrame, buffer: int = 0) -> DataFrame:
     """Valid cells inside the first and last valid cell of their row and of their column, `buffer` cells farther in.
 

@@ -14,19 +14,19 @@ from terraloom.functions.geometry import slerp
 from terraloom.operators.joins import bilinear
 
 
-def grassfire(cells: DataFrame, border: bool = True) -> DataFrame:
+def grassfire(cells: DataFrame, border: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """Valid cells with their city-block distance to the nearest hole; cells has a line for each place of its frame.
 
-    With border, what lies outside the frame is a hole too; without, a raster of no holes gives null. The distance along
+    With keys, each of their values is a raster of its own. With border, what lies outside the frame is a hole too; without, a raster of no holes gives null. The distance along
     rows comes from the holes before and after; along columns it is a running minimum each way, so no cell meets another.
     """
 
     def running(axis: str, other: str, aggregate: Column, forward: bool) -> Column:
-        w = Window.partitionBy(other).orderBy(F.col(axis) if forward else F.desc(axis))
+        w = Window.partitionBy(*keys, other).orderBy(F.col(axis) if forward else F.desc(axis))
         return aggregate.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     def edges(axis: str, other: str) -> list[Column]:
-        w = Window.partitionBy(other)
+        w = Window.partitionBy(*keys, other)
         return [F.col(axis) - F.min(axis).over(w) + 1, F.max(axis).over(w) - F.col(axis) + 1] if border else []
 
     hole = F.last(F.when(F.col("v").isNull(), F.col("col")), ignorenulls=True)
@@ -34,24 +34,25 @@ def grassfire(cells: DataFrame, border: bool = True) -> DataFrame:
     along = cells.withColumn("_along", F.least(left, right, *edges("col", "row")))
     up = running("row", "col", F.min(F.col("_along") - F.col("row")), True) + F.col("row")
     down = running("row", "col", F.min(F.col("_along") + F.col("row")), False) - F.col("row")
-    return along.select("col", "row", "v", F.least(up, down, *edges("row", "col")).cast("long").alias("distance")).filter(F.col("v").isNotNull())
+    return along.select(*keys, "col", "row", "v", F.least(up, down, *edges("row", "col")).cast("long").alias("distance")).filter(F.col("v").isNotNull())
 
 
-def blurred(weights: DataFrame, sigma: float, half: int | None = None) -> DataFrame:
+def blurred(weights: DataFrame, sigma: float, half: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Positive weights(col, row, v) smoothed by a Gaussian of 2 * half + 1 taps a direction that sum to 1.
 
-    Where there is no positive weight, 0 is taken, and nothing is returned. The default reach is three sigma.
+    Where there is no positive weight, 0 is taken, and nothing is returned. The default reach is three sigma. With keys, each
+    of their values is a raster of its own.
     """
     half = math.ceil(3 * sigma) if half is None else half
     taps = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
     sent = F.array(*(F.struct(F.lit(k - half).alias("d"), F.lit(g / sum(taps)).alias("g")) for k, g in enumerate(taps)))
-    positive = weights.filter("v > 0").select("col", "row", "v")
+    positive = weights.filter("v > 0").select(*keys, "col", "row", "v")
     smooth = positive
     for axis in ("col", "row"):
         moved = {c: F.col(c) + F.col("_t.d") if c == axis else F.col(c) for c in ("col", "row")}
-        smooth = smooth.withColumn("_t", F.explode(sent)).select(*(x.alias(c) for c, x in moved.items()), (F.col("v") * F.col("_t.g")).alias("v"))
-        smooth = smooth.groupBy("col", "row").agg(F.sum("v").alias("v"))
-    return positive.select("col", "row").join(smooth, ["col", "row"])
+        smooth = smooth.withColumn("_t", F.explode(sent)).select(*keys, *(x.alias(c) for c, x in moved.items()), (F.col("v") * F.col("_t.g")).alias("v"))
+        smooth = smooth.groupBy(*keys, "col", "row").agg(F.sum("v").alias("v"))
+    return positive.select(*keys, "col", "row").join(smooth, [*keys, "col", "row"])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -374,4 +374,4 @@ def frames_per_hour(spark, d):
     return rounded(out, "total", digits=4)
 
 
-from terraloom.plans import alignment, composites, matches, matching, more, rasters, summaries, surfaces  # noqa: E402,F401  they register their queries
+from terraloom.plans import alignment, composites, matches, matching, more, rasters, stereo, summaries, surfaces  # noqa: E402,F401  they register their queries
