@@ -5,7 +5,8 @@ non-zero attributes, shifted by the bits of its coefficients, with carry-save bi
 with negative coefficients are complemented, which turns the sum into one of non-negative terms plus a constant. The top
 rows are found from the most significant slice of the sum downwards, and the rows at the boundary by exact score and id.
 
-Blocks meet chunks of queries through an equi-join on the chunk; a block answers each query with at most k rows.
+Chunks of queries are copied for the blocks, not blocks for the chunks: a task gets a block once, indexes it, and answers the
+chunks that follow it, at most k rows a query.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from terraloom.llm.vectors import usable
 
 BLOCK_ROWS = 32_768
 CHUNK_QUERIES = 64
+#: A task's work: chunks that a block answers at most before another task takes a copy of it.
+TASK_CHUNKS = 64
+#: Tasks of a search at most; beyond that a task takes several blocks, one after the other.
+MOST_TASKS = 50_000
 
 
 class SlicedBlock:
@@ -156,25 +161,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Vectors of other lengths count as filled with zeros. Scores must fit 64 bits.
     """
     queries = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    blocks, _ = _packed(rows, BLOCK_ROWS, "bsi-rows")
+    blocks, n_blocks = _packed(rows, BLOCK_ROWS, "bsi-rows")
     chunks, n_chunks = _packed(queries, CHUNK_QUERIES, "bsi-queries")
-    # each block once for each chunk of queries: the stated query set against all rows, in blocks
-    pairs = blocks.drop("group").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
-    queried = chunks.select(F.col("group").alias("chunk"), F.col("n").alias("qn"), F.col("width").alias("qwidth"), F.col("kind").alias("qkind"), F.col("ids").alias("qids"), F.col("q").alias("qq"))
-    joined = pairs.join(queried, "chunk").select("n", "width", "kind", "ids", "q", "qn", "qwidth", "qkind", "qids", "qq")
+    # a chunk for each block: the stated query set against all rows, in blocks; a block for each lane of chunks
+    wanted = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = min(n_chunks, max(-(-n_chunks // TASK_CHUNKS), -(-wanted // n_blocks)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    columns = ["block", "lane", "asked", "n", "width", "kind", "ids", "q"]
+    indexed = blocks.withColumnRenamed("group", "block").withColumns({"lane": upto(lanes), "asked": F.lit(0)}).select(columns)
+    asking = chunks.withColumns({"lane": F.pmod("group", F.lit(lanes)), "block": upto(n_blocks), "asked": F.lit(1)}).select(columns)
+    dealt = indexed.unionByName(asking).repartition(min(n_blocks * lanes, MOST_TASKS), "block", "lane").sortWithinPartitions("block", "lane", "asked")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, None
+        block, at = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                n, w, kind, ids, q, qn, qw, qkind, qids, qq = (batch.column(c)[r].as_py() for c in range(10))
-                if (n, ids) != last:
-                    last, ids_of = (n, ids), np.frombuffer(ids, "<i8")
-                    block = SlicedBlock(np.frombuffer(q, kind).reshape(n, w).astype(np.int64))
-                    all_rows, order = block.everything(), np.argsort(ids_of, kind="stable")
-                    sorted_ids = ids_of[order]
+                number, lane, asked, n, w, kind, ids, q = (batch.column(c)[r].as_py() for c in range(8))
+                if not asked:
+                    if at != number:  # the next lane of the same block finds it indexed
+                        at, block, ids_of = number, SlicedBlock(np.frombuffer(q, kind).reshape(n, w).astype(np.int64)), np.frombuffer(ids, "<i8")
+                        all_rows, order = block.everything(), np.argsort(ids_of, kind="stable")
+                        sorted_ids = ids_of[order]
+                    continue
+                if at != number:
+                    continue  # chunks of a group of rows that is empty
                 found = []
-                for query_id, query in zip(np.frombuffer(qids, "<i8").tolist(), np.frombuffer(qq, qkind).reshape(qn, qw), strict=True):
+                for query_id, query in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(q, kind).reshape(n, w), strict=True):
                     allowed = all_rows.copy()
                     for own in order[np.searchsorted(sorted_ids, query_id, "left") : np.searchsorted(sorted_ids, query_id, "right")].tolist():
                         allowed[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
@@ -182,7 +194,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     found.append((np.full(len(rows_), query_id, np.int64), ids_of[rows_], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = joined.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
