@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.statistics import floor_place, picks, upper_median
+from terraloom.operators.storage import stored
 
 
 def spread(cells: DataFrame, half: int) -> DataFrame:
@@ -170,3 +173,41 @@ def fill_holes(cells: DataFrame, radius: int, power: float, share: float) -> Dat
     mean = F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")
     found = holes.join(sent, ["col", "row"]).groupBy("col", "row").agg(F.when(F.count("*") >= share * len(places), mean).alias("_m"))
     return cells.join(found, ["col", "row"], "left").select("col", "row", F.coalesce("v", "_m").alias("v"))
+
+
+def fill_in_passes(cells: DataFrame, radius: float, power: float, share: float, passes: int) -> DataFrame:
+    """cells with holes filled by the mean of the valid cells at most `radius` away, weighted by 1 / (distance to the power + 1).
+
+    A pass fills the holes with at least `share` of the disc's places valid; the next pass takes these as valid. Each pass is
+    one exchange of the valid cells near holes; its result is stored, so that passes don't repeat one another.
+    """
+    reach = math.floor(radius)
+    places = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if 0 < dx * dx + dy * dy <= radius * radius]
+    to = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(1 / (math.hypot(dx, dy) ** power + 1)).alias("w")) for dx, dy in places)))
+    out = cells.select("col", "row", "v")
+    for k in range(passes if places else 0):
+        sent = out.filter(F.col("v").isNotNull()).withColumn("_s", to).select((F.col("col") + F.col("_s.dx")).alias("col"), (F.col("row") + F.col("_s.dy")).alias("row"), F.col("_s.w").alias("_w"), F.col("v").alias("_v"))
+        mean = F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")
+        found = out.filter(F.col("v").isNull()).select("col", "row").join(sent, ["col", "row"]).groupBy("col", "row").agg(F.when(F.count("*") >= share * len(places), mean).alias("_m"))
+        out = stored(out.join(found, ["col", "row"], "left").select("col", "row", F.coalesce(F.col("v").cast("double"), "_m").alias("v")), f"filled-{k}")
+    return out
+
+
+def fill_short_holes(cells: DataFrame, longest: int) -> DataFrame:
+    """cells with those holes filled whose run of holes is at most `longest` both along the row and along the column.
+
+    A hole takes the mean of the valid cells at the four ends of its runs, weighted by 1 / distance. Runs that reach the
+    frame's end have no cell there, and stay. cells has a line for each place of its frame.
+    """
+    ends = []
+    out = cells.select("col", "row", "v")
+    for axis, other in (("col", "row"), ("row", "col")):
+        for side, order in (("a", F.col(axis)), ("b", F.desc(axis))):
+            w = Window.partitionBy(other).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            end = F.last(F.when(F.col("v").isNotNull(), F.struct(F.col(axis).alias("at"), F.col("v").cast("double").alias("v"))), ignorenulls=True).over(w)
+            out = out.withColumn(f"_{axis}{side}", end)
+            ends.append((F.abs(F.col(f"_{axis}{side}.at") - F.col(axis)), F.col(f"_{axis}{side}.v")))
+    run = lambda axis: F.abs(F.col(f"_{axis}b.at") - F.col(f"_{axis}a.at")) - 1
+    mean = sum(v / d for d, v in ends) / sum(1 / d for d, _ in ends)
+    filled = F.when((run("col") <= longest) & (run("row") <= longest), mean)
+    return out.select("col", "row", F.coalesce(F.col("v").cast("double"), filled).alias("v"))

@@ -123,6 +123,27 @@ def clean_by_quantile(spark, d):
     return neighbourhood.clean_by_quantile(raster(spark, d), 0.85, 1.25)
 
 
+def _pass(source: str, name: str) -> str:
+    return f"""{name} AS (SELECT f.col, f."row", CASE WHEN any_value(f.v) IS NOT NULL THEN any_value(f.v) WHEN count(n.v) >= 0.7 * 12 THEN sum(n.v * w) / sum(CASE WHEN n.v IS NOT NULL THEN w END) END AS v
+  FROM {source} f CROSS JOIN disc LEFT JOIN {source} n ON n.col = f.col + dx AND n."row" = f."row" + dy GROUP BY f.col, f."row")"""
+
+
+@query(f"""WITH {RASTER}, disc AS (SELECT x AS dx, y AS dy, 1 / (pow(sqrt(x * x + y * y), 1.5) + 1) AS w FROM range(-2, 3) a(x), range(-2, 3) b(y) WHERE x * x + y * y BETWEEN 1 AND 4), one AS (SELECT col, "row", v::DOUBLE AS v FROM raster),
+{_pass("one", "two")}, {_pass("two", "three")} SELECT col, "row", round(v, 6) AS v FROM three""")
+def fill_in_passes(spark, d):
+    return rounded(neighbourhood.fill_in_passes(raster(spark, d), 2.0, 1.5, 0.7, 2), "v")
+
+
+@query(f"""WITH {RASTER}, h AS (SELECT col, "row" FROM raster WHERE v IS NULL), k AS (SELECT * FROM raster WHERE v IS NOT NULL),
+e AS (SELECT h.col, h."row", max(CASE WHEN k."row" = h."row" AND k.col < h.col THEN k.col END) AS l, min(CASE WHEN k."row" = h."row" AND k.col > h.col THEN k.col END) AS r,
+  max(CASE WHEN k.col = h.col AND k."row" < h."row" THEN k."row" END) AS t, min(CASE WHEN k.col = h.col AND k."row" > h."row" THEN k."row" END) AS b FROM h JOIN k ON k.col = h.col OR k."row" = h."row" GROUP BY ALL),
+f AS (SELECT e.col, e."row", (a.v / (e.col - l) + c.v / (r - e.col) + u.v / (e."row" - t) + w.v / (b - e."row")) / (1.0 / (e.col - l) + 1.0 / (r - e.col) + 1.0 / (e."row" - t) + 1.0 / (b - e."row")) AS v
+  FROM e JOIN k a ON a.col = l AND a."row" = e."row" JOIN k c ON c.col = r AND c."row" = e."row" JOIN k u ON u.col = e.col AND u."row" = t JOIN k w ON w.col = e.col AND w."row" = b WHERE r - l - 1 <= 2 AND b - t - 1 <= 2)
+SELECT x.col, x."row", round(coalesce(x.v, f.v), 6)::DOUBLE AS v FROM raster x LEFT JOIN f ON f.col = x.col AND f."row" = x."row" """)
+def fill_short_holes(spark, d):
+    return rounded(neighbourhood.fill_short_holes(raster(spark, d), 2), "v")
+
+
 # --- pairs ------------------------------------------------------------------------------------------------------------
 
 _HITS = f"""{_BOXES}, hit AS (SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),

@@ -196,3 +196,28 @@ def test_quantile_and_refraction(spark):
     assert tuple(response.agg(*found.values()).first()) == (450.0, 400.0)
     fresh, sea = response.limit(1).select(*(geometry.refraction_index_by_salinity(F.lit(532.0), F.lit(20.0), F.lit(s)) for s in (0.0, 35.0))).first()
     assert fresh == pytest.approx(1.33507, abs=2e-5) and sea == pytest.approx(1.34155, abs=2e-4)
+
+
+def test_hole_fills(spark):
+    a = np.arange(42.0).reshape(6, 7) ** 1.5
+    for r, c in [(1, 1), (2, 3), (2, 4), (3, 3), (0, 5), (4, 6)]:
+        a[r, c] = np.nan
+    cells = lambda df: {(r["col"], r["row"]): r["v"] for r in df.collect()}
+    got, wanted = cells(neighbourhood.fill_short_holes(frame(spark, a), 2)), a.copy()
+    for r, c in [(1, 1), (2, 3), (2, 4), (3, 3)]:  # the other two are at the frame's end
+        ends = [next((k, a[r + k * y, c + k * x]) for k in range(1, 7) if not np.isnan(a[r + k * y, c + k * x])) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+        wanted[r, c] = sum(v / k for k, v in ends) / sum(1 / k for k, _ in ends)
+    assert all(got[c, r] is None if np.isnan(wanted[r, c]) else got[c, r] == pytest.approx(wanted[r, c]) for r in range(6) for c in range(7)) and len(got) == 42
+    narrow = cells(neighbourhood.fill_short_holes(frame(spark, a), 1))
+    assert narrow[1, 1] is not None and narrow[3, 2] is None and narrow[4, 2] is None and narrow[3, 3] is None
+    now = a.copy()
+    disc = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) != (0, 0)]
+    for _ in range(2):
+        before = now.copy()
+        for r, c in zip(*np.nonzero(np.isnan(before)), strict=True):
+            near = [(before[r + y, c + x], 1 / (math.hypot(x, y) ** 2 + 1)) for x, y in disc if 0 <= r + y < 6 and 0 <= c + x < 7 and not np.isnan(before[r + y, c + x])]
+            if len(near) >= 0.7 * 8:
+                now[r, c] = sum(v * w for v, w in near) / sum(w for _, w in near)
+    got = cells(neighbourhood.fill_in_passes(frame(spark, a), 1.5, 2.0, 0.7, 2))
+    assert all(got[c, r] is None if np.isnan(now[r, c]) else got[c, r] == pytest.approx(now[r, c]) for r in range(6) for c in range(7))
+    assert 0 < np.isnan(now).sum() < 6 and neighbourhood.fill_in_passes(frame(spark, a).filter("false"), 1.5, 2.0, 0.7, 1).count() == 0
