@@ -139,8 +139,8 @@ def block_match(left: DataFrame, right: DataFrame, search: tuple[int, int, int,
 def refined(matches: DataFrame) -> DataFrame:
     """matches with x and y, the shift at the vertex of a parabola through the costs beside the best (at most one cell away), and their curvatures.
 
-    Where a cost beside is missing the whole shift stays and the curvature is 0. The directions are fitted apart, so texture that runs
-    along a diagonal everywhere draws the result that way.
+    Where a cost beside is missing the whole shift stays and the curvature is 0. The directions are fitted apart, so a
+    correlation peak that is slanted may draw the result off by some tenths of a cell.
     """
     out = matches
     for axis in ("x", "y"):
