@@ -254,13 +254,21 @@ def tile_of_name(name: Column) -> list[Column]:
     return [F.regexp_extract(name, r"(-?\d+)_(-?\d+)_(-?\d+)_(-?\d+)(?:\.\w+)?$", i).try_cast("long") for i in (1, 2, 3, 4)]
 
 
+def segment_count(length: Column, size: int) -> Column:
+    """Number of pieces of nearly equal length, at most `size`, that make up a length; one at least."""
+    return F.ceil(F.greatest(length, F.lit(1)) / size)
+
+
+def segment_border(length: Column, size: int, k: Column) -> Column:
+    """Border k (from 0) of these pieces: their first `big` ones are one longer than the others."""
+    n, pieces = F.greatest(length, F.lit(1)), segment_count(length, size)
+    small = F.floor(n / pieces)
+    return k * small + F.least(k, n - small * pieces)
+
+
 def segments(length: Column, size: int) -> Column:
     """Borders of pieces of nearly equal length, at most `size`, that make up a length: an array from 0 to the length."""
-    n = F.greatest(length, F.lit(1))
-    pieces = F.ceil(n / size)
-    small = F.floor(n / pieces)
-    big = n - small * pieces
-    return F.transform(F.sequence(F.lit(0).cast("long"), pieces), lambda k: k * small + F.least(k, big))
+    return F.transform(F.sequence(F.lit(0).cast("long"), segment_count(length, size)), lambda k: segment_border(length, size, k))
 
 
 def refraction_index(wavelength_nm: Column, celsius: Column, salinity: Column) -> Column:

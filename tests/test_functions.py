@@ -74,3 +74,15 @@ def test_tracks(spark):
     got = {r["node"]: r["track"] for r in tracks.tracks(chain).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20}
     assert tracks.tracks(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_segment_borders_are_not_listed(spark, tmp_path):
+    from terraloom.plans.matches import segment_borders
+
+    lengths = [1, 64, 65, 129, 1000, 3 * 10**11 + 7]
+    spark.createDataFrame(list(enumerate(lengths)), "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_orderkey"]: (r["pieces"], r["middle"], r["last"]) for r in segment_borders(spark, str(tmp_path)).collect()}
+    for i, n in enumerate(lengths):
+        pieces = -(-n // 64)
+        small, big = divmod(n, pieces)
+        assert got[i] == (pieces, pieces // 2 * small + min(pieces // 2, big), n)
