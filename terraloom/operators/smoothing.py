@@ -40,7 +40,7 @@ def window_means(cells: DataFrame, half: str, largest: int, tile: int = TILE) ->
         own = (x >= largest) & (x < largest + tile) & (y >= largest) & (y < largest + tile)
         x, y, h = x[own], y[own], held["half"].to_numpy()[own]
         total, n = (t[y + h + 1, x + h + 1] - t[y - h, x + h + 1] - t[y + h + 1, x - h] + t[y - h, x - h] for t in (sums, counts))
-        mean = np.where(n > 0, base + total / np.maximum(n, 1), np.nan)
+        mean = np.where(n > 0, (base * n + total) / np.maximum(n, 1), np.nan)  # of whole numbers as exact as their sum
         return pd.DataFrame({"col": x + left, "row": y + top, "half": h, "mean": mean, "n": n})
 
     out = sent.groupBy("_tx", "_ty").applyInPandas(means, "col long, row long, half long, mean double, n long")

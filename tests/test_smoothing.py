@@ -111,3 +111,12 @@ def test_pan_sharpening(spark):
     assert got[0] == pytest.approx((90 + 1.402 * cr, 90 - 0.34414 * cb - 0.71414 * cr, 90 + 1.772 * cb))
     assert got[1] == got[2] == got[3] == got[5] == (None, None, None)
     assert got[4] == (255.0, 255.0, 255.0)
+
+
+def test_means_of_whole_numbers_are_exact(spark):
+    r = random.Random(4)
+    cells = [(c, 0, float(r.randrange(100, 400)), 3) for c in range(200)]
+    value = {c: v for c, _, v, _ in cells}
+    for row in window_means(spark.createDataFrame(cells, SCHEMA), "half", 3).collect():
+        inside = [value[c] for c in range(row.col - 3, row.col + 4) if c in value]
+        assert row["mean"] == sum(inside) / len(inside)
