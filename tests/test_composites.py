@@ -73,3 +73,14 @@ def test_descriptor_matches(spark):
     bits = spark.createDataFrame([(0, 1, [0, 255]), (0, 2, [15, 0])], "tile long, id long, descriptor array<int>")
     found = composites.match_descriptors(bits, bits, "tile", 0.9, hamming=True).collect()
     assert {(r["id_a"], r["id_b"], r["distance"]) for r in found} == {(1, 1, 0.0), (2, 2, 0.0)}
+
+
+def test_shadows_along_a_row_are_exact(spark):
+    rows = [(0, 0, 150.0), (1, 0, 50.0), (2, 0, 50.0), (0, 1, None), (1, 1, 50.0), (2, 1, 49.0), (0, 2, 200.0), (1, 2, 0.0), (2, 2, 0.0)]
+    cells = spark.createDataFrame(rows, "col long, row long, v double")
+    got = {(r["col"], r["row"]) for r in composites.shadows(cells, (100.0, 100.0), 270.0, 45.0).filter("shadow").collect()}
+    # in row 0 the ray just touches the highest cell, beside a hole below; one higher step hides
+    assert got == {(1, 2)}
+    higher = cells.replace(150.0, 152.0, subset="v")
+    got = {(r["col"], r["row"]) for r in composites.shadows(higher, (100.0, 100.0), 270.0, 45.0).filter("shadow").collect()}
+    assert got == {(1, 0), (2, 0), (1, 2)} - {(2, 0)}
