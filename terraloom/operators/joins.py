@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str, out: str, forward: bool = False) -> DataFrame:
@@ -25,35 +30,103 @@ def band_pairs(items: DataFrame, key: str, limit: int) -> DataFrame:
     return left.join(items.select(F.col(key).alias("j")), "j").select("i", "j")
 
 
-def box_overlaps(boxes: DataFrame, size: float) -> DataFrame:
-    """Pairs a < b of boxes(id, x0, y0, x1, y1) that overlap (closed), through cells of a given size.
+#: Boxes of a block of a cell, on average.
+BLOCK_ROWS = 1024
+#: Waiting boxes that are compared with the next STEP boxes at once.
+WAITING, STEP = 4096, 256
 
-    A pair is reported in the cell that holds the corner of its intersection only, so nothing is de-duplicated.
-    """
+
+def _in_cells(boxes: DataFrame, size: float) -> DataFrame:
+    """boxes(id, x0, y0, x1, y1) once for each cell cx, cy that they touch."""
     def cells(lo: str, hi: str) -> Column:
         return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
 
-    put = boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-    a, b = put.alias("a"), put.alias("b")
+    return boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+
+
+def _meet(size: float) -> Column:
+    """Whether boxes a and b overlap (closed), and the corner of their intersection is in a's cell."""
     hit = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
-    home = (F.floor(F.greatest("a.x0", "b.x0") / size) == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / size) == F.col("a.cy"))
-    joined = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id")))
-    return joined.filter(hit & home).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return hit & (F.floor(F.greatest("a.x0", "b.x0") / size) == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / size) == F.col("a.cy"))
+
+
+def box_overlaps(boxes: DataFrame, size: float) -> DataFrame:
+    """Pairs a < b of boxes(id, x0, y0, x1, y1) that overlap (closed), through cells of a given size.
+
+    A pair is reported in the cell that holds the corner of its intersection only, so nothing is de-duplicated. A cell's
+    boxes are cut into blocks, and each pair of blocks is a group of rows: so a crowded cell spreads over tasks, and each
+    pair of boxes is compared once.
+    """
+    put = _in_cells(boxes, size)
+    parts = put.groupBy("cx", "cy").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    put = put.join(parts, ["cx", "cy"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    columns = ("id", "x0", "y0", "x1", "y1", "cx", "cy")
+    a = put.select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("j")).alias("a")
+    b = put.select(*columns, F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j")).alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("cx", "cy", "i", "j")]
+    # blocks of one pair hold different ids unless they are the same
+    once = (F.col("a.id") < F.col("b.id")) | ((F.col("a.i") < F.col("a.j")) & (F.col("a.id") > F.col("b.id")))
+    joined = a.hint("merge").join(b, same[0] & same[1] & same[2] & same[3] & once & _meet(size))
+    return joined.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+
+def _first_partners(boxes: DataFrame, size: float, most: int) -> DataFrame:
+    """Pairs a < b that overlap in a cell of which b is one of the first `most` of a there: all of a's first ones are among them.
+
+    Boxes go through a cell in the order of their ids; those that still lack partners wait, so crowded cells cost little
+    more than their rows, and a task holds the waiting boxes of one cell.
+    """
+    put = _in_cells(boxes.select("id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).dropna(), size)
+    put = put.select("cx", "cy", "id", "x0", "y0", "x1", "y1").repartition("cx", "cy").sortWithinPartitions("cx", "cy", "id")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, box, lacks = None, None, None, None
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own, places = batch.column(2), np.stack([batch.column(c).to_numpy() for c in range(3, 7)])
+            edges = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])).tolist() if len(x) else []
+            out = []
+            for start, stop in zip(edges, [*edges[1:], len(x)], strict=True):
+                if (x[start], y[start]) != cell:
+                    cell, ids, box, lacks = (x[start], y[start]), np.zeros(0, own.to_numpy(zero_copy_only=False).dtype), np.zeros((4, 0)), np.zeros(0, np.int64)
+                for at in range(start, stop, STEP):
+                    new = slice(at, min(at + STEP, stop))
+                    there, fresh = places[:, new], own.slice(new.start, new.stop - new.start).to_numpy(zero_copy_only=False)
+                    ids, box, lacks = np.concatenate([ids, fresh]), np.concatenate([box, there], axis=1), np.concatenate([lacks, np.full(len(fresh), most)])
+                    q = there[:, None, :]
+                    for w in range(0, len(ids), WAITING):
+                        p, named = box[:, w : w + WAITING, None], ids[w : w + WAITING]
+                        met = (p[0] <= q[2]) & (q[0] <= p[2]) & (p[1] <= q[3]) & (q[1] <= p[3]) & (fresh[None, :] > named[:, None])
+                        met &= (np.floor(np.maximum(p[0], q[0]) / size) == cell[0]) & (np.floor(np.maximum(p[1], q[1]) / size) == cell[1])
+                        met &= np.cumsum(met, axis=1) <= lacks[w : w + WAITING, None]
+                        i, j = np.nonzero(met)
+                        out.append((named[i], fresh[j]))
+                        lacks[w : w + WAITING] -= met.sum(axis=1)
+                    wait = lacks > 0
+                    ids, box, lacks = ids[wait], box[:, wait], lacks[wait]
+            if out:
+                kind = batch.schema.field(2).type
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), kind) for k in (0, 1)], names=["a", "b"])
+
+    kind = boxes.schema["id"].dataType
+    return put.mapInArrow(look, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def limited_overlaps(boxes: DataFrame, size: float, most: int, wrap: bool = False) -> DataFrame:
     """Pairs a < b of boxes that overlap, as a pass over the boxes in the order of their ids (from 0, gapless) picks them.
 
     Each box takes the next ones that overlap it, at most `most` pairs a box. With wrap the pass goes on, after the last, with the
-    first `most` boxes; pairs that are there already aren't counted again. A box's partners are ranked in one task.
+    first `most` boxes; pairs that are there already aren't counted again. Only a box's first partners of each cell are ever
+    made, and ranked together; with wrap also the pairs of the first `most` boxes.
     """
-    pairs = box_overlaps(boxes, size)
     nth = F.row_number()
-    forward = pairs.withColumn("_n", nth.over(Window.partitionBy("a").orderBy("b"))).filter(F.col("_n") <= most).drop("_n")
+    forward = _first_partners(boxes, size, most).withColumn("_n", nth.over(Window.partitionBy("a").orderBy("b"))).filter(F.col("_n") <= most).drop("_n")
     if not wrap:
         return forward
     taken = forward.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("_taken"))
-    again = pairs.filter(F.col("a") < most).join(forward, ["a", "b"], "left_anti").join(taken, "b", "left")
+    few, put = F.broadcast(_in_cells(boxes.filter(F.col("id") < most), size)).alias("a"), _in_cells(boxes, size).alias("b")
+    pairs = put.join(few, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id")) & _meet(size)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    again = pairs.join(forward.filter(F.col("a") < most), ["a", "b"], "left_anti").join(taken, "b", "left")
     again = again.withColumn("_n", nth.over(Window.partitionBy("b").orderBy("a"))).filter(F.col("_n") <= most - F.coalesce("_taken", F.lit(0)))
     return forward.unionByName(again.select("a", "b"))
 

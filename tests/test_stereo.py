@@ -177,6 +177,24 @@ def test_limited_overlaps(spark, wrap):
     assert sorted(got) == sorted(wanted)
 
 
+@pytest.mark.parametrize("block, wait", [(1024, 4096), (7, 5)])
+def test_overlaps_in_crowded_cells(spark, monkeypatch, block, wait):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", block)
+    monkeypatch.setattr(joins, "WAITING", wait)
+    monkeypatch.setattr(joins, "STEP", wait)
+    rng = np.random.default_rng(9)
+    boxes = [(i, float(x), float(y), float(x + w), float(y + 1)) for i, (x, y, w) in enumerate(rng.uniform(0, 6, (150, 3)))]
+    boxes += [(i, 1.0, 1.0, 2.0, 2.0) for i in range(150, 200)] + [(250, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double")
+    hit = lambda p, q: p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]
+    wanted = [(p[0], q[0]) for p in boxes[:200] for q in boxes[p[0] + 1 : 200] if hit(p, q)]
+    assert sorted((r["a"], r["b"]) for r in joins.box_overlaps(df, 3.0).collect()) == wanted
+    first = [p for k, p in enumerate(wanted) if k < 4 or wanted[k - 4][0] != p[0]]
+    limited = joins.limited_overlaps(df, 3.0, 4)
+    assert sorted((r["a"], r["b"]) for r in limited.collect()) == first
+    assert "Join" not in limited._jdf.queryExecution().toString()  # no pairs beyond the first are made
+
+
 def test_near_pairs(spark):
     items = spark.createDataFrame([(i, float(i * i), 0.0, None if i == 2 else 0.0) for i in range(5)], "i long, x double, y double, z double")
     pairs = lambda *a: sorted((r["i"], r["j"]) for r in joins.near_pairs(items, *a).collect())
