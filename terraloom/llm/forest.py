@@ -145,6 +145,12 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
     return ordered.mapInArrow(look, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """class: all that occur in pairs(a, b), once. Each side is made distinct for itself, so that no row is made for an end of a pair."""
+    a, b = (pairs.select(F.col(k).alias("class")).distinct() for k in "ab")
+    return a.unionByName(b).distinct()
+
+
 def brief_of(signatures: pa.Array) -> np.ndarray:
     """A byte of each signature value, a row for each signature."""
     values = np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
@@ -319,7 +325,7 @@ def link_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     classes = materialize(classes.select("class", "doc_id", "mark", F.col("n_shingles").alias("size"), "signature"), "forest-classes")
     found = materialize(neighbours(classes, NEAR), "forest-found")
     pairs = materialize(alike(found, classes), "forest-pairs")
-    involved = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    involved = ends(found)
     nodes = materialize(classes.join(involved, "class"), "forest-nodes")
     sets = materialize(_sets(docs, nodes.select("class", "doc_id", "mark")), "forest-sets")
     where = nodes.select("class", "size", F.col("class").alias("component"))

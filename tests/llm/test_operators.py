@@ -508,3 +508,11 @@ def test_too_many_words_raise(spark, monkeypatch):
     monkeypatch.setattr(kneserney, "MOST_WORDS", 3)
     with pytest.raises(ValueError, match="distinct words"):
         kneserney.train(spark.createDataFrame([("a b c d",)], "text string"))
+
+
+def test_classes_of_pairs_make_no_rows_for_ends(spark):
+    from terraloom.llm.forest import ends
+
+    found = ends(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 9)], "a long, b long"))
+    assert sorted(r["class"] for r in found.collect()) == [1, 2, 3, 9]
+    assert "Generate" not in found._jdf.queryExecution().toString()
