@@ -138,24 +138,48 @@ def sweep(df: DataFrame, **values: list) -> DataFrame:
     return df
 
 
-def greedy_subset(seen: DataFrame, threshold: int) -> DataFrame:
-    """image, gain: images(image, cell) chosen one at a time by the number of cells that no chosen one has.
+#: Rows of the greedy choice are written anew once this share of them is covered.
+REWRITTEN = 0.25
 
-    Stops when the best gain is below the threshold; the smallest image wins ties. One aggregation a choice, on rows
-    that shrink to what is uncovered; the driver holds the chosen images.
-    """
-    from terraloom.operators.storage import stored
 
-    left, chosen = stored(seen.select("image", "cell").distinct(), "subset"), []
+def greedy_subset(seen: DataFrame, threshold: int) -> DataFrame:
+    """image, gain: images(image, cell) chosen one at a time by the number of cells that no chosen one has, in the order of choice.
+
+    Stops when the best gain is below the threshold; the smallest image wins ties. An image that comes before all images
+    with which it shares an uncovered cell is chosen before them with the gain it has, as gains only fall. So a round
+    chooses all such images, which are as many as the data has regions: each cell votes for the first of its images, and
+    those with the votes of all their cells are chosen. Images below the threshold can't be chosen any more and are left
+    out. Rows are written anew only when a quarter of them is gone; until then a round writes its choice, its cells and
+    the gains. Rows with a null image or cell take no part.
+    """
+    from terraloom.operators.storage import shared_path, stored
+
+    spark, least = seen.sparkSession, max(threshold, 1)
+    left = stored(seen.select("image", "cell").dropna().distinct().repartition("cell"), "subset")
+    held = left.count()
+    chosen = left.select("image", F.lit(0).cast("long").alias("gain")).limit(0)
+    choice, covered = shared_path(spark, "subset-choice"), None
+    chosen.write.parquet(choice)
+    live = left
     while True:
-        best = left.groupBy("image").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "image").limit(1).collect()
-        if not best or best[0]["gain"] < max(threshold, 1):
+        # a number for each image that grows with its place: parts of a sorted table are numbered in order
+        gains = live.groupBy("image").agg(F.count("*").alias("gain")).filter(F.col("gain") >= least).orderBy(F.desc("gain"), "image")
+        gains = stored(gains.withColumn("place", F.monotonically_increasing_id()), "subset-gains")
+        rows = gains.agg(F.sum("gain")).first()[0]
+        if rows is None:
             break
-        chosen.append((best[0]["image"], best[0]["gain"]))
-        covered = left.filter(F.col("image") == best[0]["image"]).select("cell")
-        left = stored(left.join(covered, "cell", "left_anti"), "subset")
-    kind = seen.schema["image"].dataType.simpleString()
-    return seen.sparkSession.createDataFrame(chosen, f"image {kind}, gain long")
+        live = live.join(gains.select("image"), "image", "left_semi")
+        if rows <= (1 - REWRITTEN) * held:
+            live = left = stored(live.repartition("cell"), "subset")
+            held, covered = rows, None
+        votes = live.join(gains.select("image", "place"), "image").groupBy("cell").agg(F.min("place").alias("place")).groupBy("place").agg(F.count("*").alias("votes"))
+        best = stored(gains.join(votes, "place").filter(F.col("votes") == F.col("gain")).select("image", "gain"), "subset-best")
+        best.write.mode("append").parquet(choice)
+        if covered is None:
+            covered = shared_path(spark, "subset-covered")
+        live.join(best.select("image"), "image", "left_semi").select("cell").write.mode("append").parquet(covered)
+        live = left.join(spark.read.schema(left.select("cell").schema).parquet(covered), "cell", "left_anti")
+    return spark.read.schema(chosen.schema).parquet(choice).orderBy(F.desc("gain"), "image")
 
 
 def complete_network(observations: DataFrame, disparities: DataFrame, aligned: DataFrame, images: int) -> DataFrame:

@@ -183,6 +183,30 @@ def test_greedy_subset(spark):
     assert [tuple(r) for r in networks.greedy_subset(seen, 1).collect()] == [("b", 6), ("a", 3)]
 
 
+def test_greedy_subset_takes_a_rows_choice_in_all_regions_at_once(spark, monkeypatch):
+    import random
+
+    from terraloom.operators import storage
+
+    r, seen = random.Random(5), []
+    for region in range(12):
+        seen += [(region * 10 + r.randrange(10), region * 40 + r.randrange(40)) for _ in range(150)]
+    left, wanted = {i: {c for k, c in seen if k == i} for i, _ in seen}, []
+    while True:
+        image = min(left, key=lambda i: (-len(left[i]), i))
+        if len(left[image]) < 3:
+            break
+        wanted.append((image, len(left[image])))
+        taken = set(left[image])
+        for cells in left.values():
+            cells -= taken
+    written, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: written.append(name) or stored(df, name))
+    got = networks.greedy_subset(spark.createDataFrame([*seen, seen[0], (None, 1), (7, None)], "image long, cell long"), 3)
+    assert [tuple(x) for x in got.collect()] == wanted
+    assert len(wanted) > 30 and len(written) < len(wanted)  # not a round for each choice
+
+
 def test_merged_poses(spark):
     poses = spark.createDataFrame([(0, "a", 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (1, "a", 2.0, 4.0, 6.0, -1.0, 0.0, 0.0, 0.0)], "map int, name string, x double, y double, z double, qw double, qx double, qy double, qz double")
     assert tuple(networks.merged_poses(poses).first()) == ("a", 1.0, 2.0, 3.0, 1.0, 0.0, 0.0, 0.0)
