@@ -81,39 +81,48 @@ def shadows(cells: DataFrame, spacing: tuple[float, float], azimuth: float, elev
     return valid.select("col", "row", "v").join(hidden, ["col", "row"], "left").select("col", "row", "v", F.coalesce("_hidden", F.lit(False)).alias("shadow"))
 
 
-def match_descriptors(a: DataFrame, b: DataFrame, tile: str, ratio: float, hamming: bool = False, block: int = 512) -> DataFrame:
+def match_descriptors(a: DataFrame, b: DataFrame, tile: str, ratio: float, hamming: bool = False, block: int = 4096) -> DataFrame:
     """tile, id_a, id_b, distance: for each point of a its nearest of the same tile of b, if nearer than ratio times the second nearest.
 
     a and b hold tile, id and descriptor (an array of numbers of one length; bytes as numbers for Hamming distances). Ties go
-    to the smaller id. A tile with fewer than two points of b gives nothing. Null or broken descriptors take no part. One
-    task holds a tile, so tiles are to be made as small as their points need; distances are taken in blocks of points.
+    to the smaller id. A tile with fewer than two points of b gives nothing. Null or broken descriptors take no part. A
+    tile's points are cut into blocks, of `block` on average on the side of a and 16 times that on that of b; a task holds one of each side and takes the distances of one point at a time,
+    and a point's two nearest of each block are compared after that.
     """
     good = lambda d: d.filter(F.col("descriptor").isNotNull() & ~F.exists("descriptor", lambda x: x.isNull() | F.isnan(x.cast("double"))) & F.col(tile).isNotNull()).select(F.col(tile).alias("tile"), "id", "descriptor")
     bits = np.array([bin(k).count("1") for k in range(256)], np.int64)
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right) > 1:
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, found, far = [], [], []
+        if len(left) and len(right):
             right = right.sort_values("id")
             there = np.array(right["descriptor"].tolist(), float)
-            ids = right["id"].to_numpy()
-            for at in range(0, len(left), block):
-                here = np.array(left["descriptor"].iloc[at : at + block].tolist(), float)
+            for row, h in enumerate(left["descriptor"]):
                 if hamming:
-                    d = np.stack([bits[h.astype(np.uint8) ^ there.astype(np.uint8)].sum(axis=1) for h in here]).astype(float)
+                    d = bits[np.asarray(h).astype(np.uint8) ^ there.astype(np.uint8)].sum(axis=1).astype(float)
                 else:
-                    d = np.stack([np.sqrt(((h - there) ** 2).sum(axis=1)) for h in here])
-                first = d.argmin(axis=1)
-                line = np.arange(len(d))
-                best = d[line, first]
-                d[line, first] = np.inf
-                kept = best < ratio * d.min(axis=1)
-                out.append(pd.DataFrame({"tile": left["tile"].iloc[at : at + block].to_numpy()[kept], "id_a": left["id"].iloc[at : at + block].to_numpy()[kept], "id_b": ids[first[kept]], "distance": best[kept]}))
-        return pd.concat(out) if out else pd.DataFrame({"tile": [], "id_a": [], "id_b": [], "distance": []})
-
-    left, right = good(a), good(b)
-    schema = T.StructType([left.schema["tile"], T.StructField("id_a", left.schema["id"].dataType), T.StructField("id_b", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    return left.groupBy("tile").cogroup(right.groupBy("tile")).applyInPandas(match, schema)
+                    d = np.sqrt(((np.asarray(h, float) - there) ** 2).sum(axis=1))
+                for _ in range(min(2, len(d))):
+                    at = d.argmin()
+                    rows.append(row), found.append(at), far.append(d[at])
+                    d[at] = np.inf
+        return left[["line", "tile", "id"]].iloc[rows].assign(id_b=right["id"].to_numpy()[np.array(found, int)], distance=far)
+
+    left, right = (good(d).select(*(F.col(c).alias(c) for c in ("tile", "id", "descriptor"))) for d in (a, b))  # a and b may be one
+    left = left.withColumn("line", F.monotonically_increasing_id())
+    parts = lambda d, name, rows: d.groupBy("tile").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    blocks = parts(left, "asked", block).join(parts(right, "searched", 16 * block), "tile")
+    place = lambda key, name: F.pmod(F.xxhash64(key), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    asked = left.join(blocks, "tile").select("tile", "line", "id", "descriptor", place("line", "asked").alias("i"), every("searched").alias("j"))
+    searched = right.join(blocks, "tile").select("tile", "id", "descriptor", every("asked").alias("i"), place("id", "searched").alias("j"))
+    keys = ["tile", "i", "j"]
+    schema = T.StructType([T.StructField("line", T.LongType()), left.schema["tile"], left.schema["id"], T.StructField("id_b", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    found = asked.groupBy(*keys).cogroup(searched.groupBy(*keys)).applyInPandas(nearest, schema)
+    near = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id_b"))), 1, 2)
+    best = found.groupBy("line").agg(F.first("tile").alias("tile"), F.first("id").alias("id_a"), near.alias("n"))
+    best = best.filter((F.size("n") == 2) & (F.col("n")[0]["distance"] < ratio * F.col("n")[1]["distance"]))
+    return best.select("tile", "id_a", F.col("n")[0]["id_b"].alias("id_b"), F.col("n")[0]["distance"].alias("distance"))
 
 
 def camera_kind(left_image: Column, right_image: Column, left_camera: Column, right_camera: Column) -> Column:

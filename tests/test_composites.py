@@ -75,6 +75,20 @@ def test_descriptor_matches(spark):
     assert {(r["id_a"], r["id_b"], r["distance"]) for r in found} == {(1, 1, 0.0), (2, 2, 0.0)}
 
 
+def test_descriptors_of_a_large_tile_are_cut_into_blocks(spark):
+    rng = np.random.default_rng(6)
+    a, b = ([(0, i % n, [float(x) for x in v]) for i, v in enumerate(rng.integers(0, 60, (n + 3, 2)))] for n in (40, 400))
+    schema = "tile long, id long, descriptor array<double>"
+    found = composites.match_descriptors(spark.createDataFrame(a, schema), spark.createDataFrame(b[:400], schema), "tile", 0.8, block=5)
+    wanted = []
+    for _, i, v in a:
+        near = sorted((math.dist(v, w), j) for _, j, w in b[:400])
+        if near[0][0] < 0.8 * near[1][0]:
+            wanted.append((i, near[0][1]))
+    assert sorted((r["id_a"], r["id_b"]) for r in found.collect()) == sorted(wanted)
+    assert "asked" in found._jdf.queryExecution().toString()  # groups are blocks, not tiles
+
+
 def test_shadows_along_a_row_are_exact(spark):
     rows = [(0, 0, 150.0), (1, 0, 50.0), (2, 0, 50.0), (0, 1, None), (1, 1, 50.0), (2, 1, 49.0), (0, 2, 200.0), (1, 2, 0.0), (2, 2, 0.0)]
     cells = spark.createDataFrame(rows, "col long, row long, v double")
