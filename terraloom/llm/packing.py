@@ -30,7 +30,7 @@ END_ID = 1
 #: Pieces of one length that one task ranks.
 BLOCK_ROWS = 2_000
 #: Words that a worker keeps with their ids, and the length from which a word isn't kept.
-CACHE_WORDS, LONG_WORD = 200_000, 64
+CACHE_WORDS, LONG_WORD = 300_000, 64
 #: Bytes of text encoded at a time; a longer document is a batch of its own.
 BATCH_BYTES = 1 << 19
 
@@ -111,7 +111,8 @@ class Encoder:
 
     The tokenizer drops white space and no token crosses it, so each word between blanks has ids of its own; those of up
     to CACHE_WORDS words are kept. The words of a batch that aren't kept are encoded as one text, and their ids told
-    apart by the tokens' offsets.
+    apart by the tokens' offsets. The tokenizer lower-cases, so ASCII texts are lower-cased first and their words kept in one
+    form, unless an added token would come of that.
     """
 
     def __init__(self, path: str) -> None:
@@ -120,6 +121,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.lowers = self._lowers()
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _lowers(self) -> bool:
+        upper = "".join(map(chr, range(0x41, 0x5B)))
+        return self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(upper) == upper.lower()
+
+    def _plain(self, text: str) -> str:
+        if self.lowers and text.isascii():
+            low = text.lower()
+            if not any(t in low for t in self.added):
+                return low
+        return text
 
     def _ids(self, words: list[str]) -> list[bytes]:
         encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -130,7 +144,7 @@ class Encoder:
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self._plain(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = list(chain.from_iterable(split))
         ids = list(map(self.kept.get, words))
         unknown = [i for i, x in enumerate(ids) if x is None]

@@ -516,3 +516,15 @@ def test_classes_of_pairs_make_no_rows_for_ends(spark):
     found = ends(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 9)], "a long, b long"))
     assert sorted(r["class"] for r in found.collect()) == [1, 2, 3, 9]
     assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_words_of_ascii_texts_are_kept_in_one_case():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some some SOME", "x <|EndOfText|> Y", "x <|endoftext|> Y", "It'S DON'T\tA_B", "ÀB Some", ""]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    encoder.kept.clear()
+    encoder.encode(texts[:1])
+    assert list(encoder.kept) == ["some"]
