@@ -50,18 +50,30 @@ def splits(spark) -> int:
     return min(MOST_SPLITS, max(SPLITS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+#: Hash buckets in which the rows of groups are counted, the rows of a bucket up to which its groups are sorted whole, and
+#: the number of larger buckets up to which they are told apart.
+BUCKETS, WHOLE_ROWS, MOST_LARGE = 1 << 16, 100_000, 1000
+
+
+def _range_of(cuts: Column, value: Column, parts: int) -> Column:
+    """How many of the sorted cuts, fewer than parts, are below the value: by halving, not by looking at all of them."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range((parts - 1).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0))
+
+
 def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """keys, value, c, upto, n: each distinct value of a group, its rows, the rows up to and with it, and the group's rows.
 
-    Values are counted first, then ranked in ranges that an approximate quantile sketch of all values cuts, with the ranges'
-    totals as offsets: a task ranks the distinct values of one range of one group. Null values are left out.
+    Values are counted first, then ranked in ranges that an approximate quantile sketch of all distinct values cuts, with the
+    ranges' totals as offsets: a task ranks the distinct values of one range of one group. Null values are left out.
     """
     parts = splits(df.sparkSession)
     keys = keys or []
     v = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    cuts = v.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))  # one row of parts - 1 numbers
-    counts = v.groupBy(*keys, value).agg(F.count("*").alias("c")).crossJoin(F.broadcast(cuts))
-    counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(value)))).drop("_cuts")
+    counts = v.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    # one row of parts - 1 numbers; the count is read so that both uses of the counts share an exchange
+    cuts = counts.agg(F.percentile_approx(F.when(F.col("c") > 0, F.col(value)), [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    counts = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", _range_of(F.col("_cuts"), F.col(value), parts)).drop("_cuts")
     totals = counts.groupBy(*keys, "_b").agg(F.sum("c").alias("_sum"))
     whole = Window.partitionBy(*keys)
     totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), (F.sum("_sum").over(whole.orderBy("_b")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(whole).alias("n"))
@@ -72,10 +84,33 @@ def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> Dat
     return counts.withColumn("_inner", inner).join(totals, same).select(*keys, value, "c", (F.col("_inner") + F.col("_before")).alias("upto"), "n")
 
 
-def picks(df: DataFrame, value: str, ranks: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
-    """For each group the elements at given places (from 0; columns of n, the number of values) of its sorted values."""
-    found = value_ranks(df, value, keys)
-    return found.groupBy(*(keys or [])).agg(*(F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in ranks.items()))
+def picks(df: DataFrame, value: str, ranks: dict[str, Column], keys: list[str] | None = None, number: str | None = None) -> DataFrame:
+    """For each group the elements at given places (from 0; columns of n, the number of values) of its sorted values, and n under a name if one is given.
+
+    Hash buckets of groups are counted beforehand: groups of those with WHOLE_ROWS rows at most are sorted as arrays, in one
+    exchange by key, the others ranked in ranges. Null values are left out.
+    """
+    keys = keys or []
+    n = [F.col("n").alias(number)] if number else []
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        chosen = (F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in ranks.items())
+        return value_ranks(rows, value, keys).groupBy(*keys).agg(*chosen, F.max("n").alias("n")).select(*keys, *ranks, *n)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s")).withColumn("n", F.size("_s").cast("long"))
+        return held.select(*keys, *(pick(F.col("_s"), place).alias(name) for name, place in ranks.items()), *n)
+
+    if not keys:
+        return ranked(df)
+    v = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    large = [r["_bucket"] for r in v.groupBy(bucket.alias("_bucket")).count().filter(F.col("count") > WHOLE_ROWS).select("_bucket").limit(MOST_LARGE + 1).collect()]
+    if not large:
+        return whole(v)
+    if len(large) > MOST_LARGE:
+        return ranked(v)
+    return ranked(v.filter(bucket.isin(large))).unionByName(whole(v.filter(~bucket.isin(large))))
 
 
 def upper_middle() -> Column:
@@ -115,10 +150,7 @@ def nmad(df: DataFrame, keys: list[str], value: str, name: str = "nmad") -> Data
 def shares(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """For each group the values below which given shares lie, drawn linearly between neighbours, by ranks."""
     place = {name: F.lit(p) * (F.col("n") - 1) for name, p in wanted.items()}
-    found = value_ranks(df, value, keys)
-    first = lambda at: F.min(F.when(F.col("upto") > at, F.col(value)))
-    ends = [e for name, at in place.items() for e in (first(F.floor(at)).alias(f"_l{name}"), first(F.ceil(at)).alias(f"_h{name}"))]
-    ends = found.groupBy(*(keys or [])).agg(F.max("n").alias("n"), *ends)
+    ends = picks(df, value, {f"{side}{name}": end(at) for name, at in place.items() for side, end in (("_l", F.floor), ("_h", F.ceil))}, keys, "n")
     between = lambda name, at: F.col(f"_l{name}") + (at - F.floor(at)) * (F.col(f"_h{name}") - F.col(f"_l{name}"))
     return ends.select(*(keys or []), *(between(name, at).alias(name) for name, at in place.items()))
 

@@ -35,9 +35,7 @@ def point_report(res: DataFrame, value: str, key: str) -> DataFrame:
 
 def percentile_report(res: DataFrame, value: str, keys: list[str], percents: tuple[int, ...] = (25, 50, 75, 85, 95)) -> DataFrame:
     """Percentiles (element floor(p * n)) and number of the values of each group, such as a pair of images."""
-    found = S.value_ranks(res, value, keys)
-    picked = (F.min(F.when(F.col("upto") > S.floor_place(p / 100), F.col(value))).alias(f"p{p}") for p in percents)
-    return found.groupBy(*keys).agg(*picked, F.max("n").alias("num"))
+    return S.picks(res, value, {f"p{p}": S.floor_place(p / 100) for p in percents}, keys, "num")
 
 
 def both_sides(pairs: DataFrame, left: str, right: str, value: str, name: str = "image") -> DataFrame:
