@@ -72,7 +72,8 @@ def parse_points(lines: DataFrame, fmt: PointFormat | str, others: tuple[str, ..
     """
     fmt = point_format(fmt) if isinstance(fmt, str) else fmt
     fields = F.split(F.trim("value"), _SEPARATOR)
-    kept = lines.filter(F.col("value").isNotNull() & ~F.trim("value").startswith("#")).withColumn("_f", fields)
+    # exploded, so that a line is split once and not again for each use of a field
+    kept = lines.filter(F.col("value").isNotNull() & ~F.trim("value").startswith("#")).select(*others, F.explode(F.array(fields)).alias("_f"))
 
     def field(i: int) -> Column:
         return F.get("_f", F.lit(i))
@@ -81,7 +82,7 @@ def parse_points(lines: DataFrame, fmt: PointFormat | str, others: tuple[str, ..
     values = [field(fmt.places[n]).try_cast("double").alias(n) if n in fmt.places else F.lit(0.0).alias(n) for n in names]
     out = kept.select(*others, *values, *([field(fmt.file).alias("file")] if fmt.file is not None else []))
     for n in names:
-        out = out.filter(F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf")))
+        out = out.filter(F.abs(F.col(n)) < float("inf"))  # neither null nor NaN, which is the largest
     return out
 
 
