@@ -190,27 +190,27 @@ def complete_network(observations: DataFrame, disparities: DataFrame, aligned: D
     image, moved by the disparity(cid, col, row, dx, dy) between its four nodes, and taken back by the inverse of r. What
     falls beside a valid disparity (null dx or dy: a hole) gets no second observation; nodes without weight don't count.
     An image without transforms, or a transform without an inverse, raises when it is read. Nodes are joined by image and
-    place, so an image of many points is spread by its places. Null x or y: no second observation. Repeated observations
+    place, a place once with its four nodes, so an image of many points is spread by its places. Null x or y: no second observation. Repeated observations
     stay repeated.
     """
     line = lambda m, i, x, y: m[i] * x + m[i + 1] * y + m[i + 2]
     o = observations.select("pid", "cid", "x", "y").join(aligned.select("cid", "l", "r"), "cid", "left")
     o = o.withColumn("l", F.when(F.col("l").isNull() | F.col("r").isNull(), F.raise_error(F.concat(F.lit("no transforms for image "), F.col("cid").cast("string")))).otherwise(F.col("l")))
     o = o.withColumns({"px": line(F.col("l"), 0, F.col("x"), F.col("y")), "py": line(F.col("l"), 3, F.col("x"), F.col("y"))})
-    c, r = F.floor("px"), F.floor("py")
-    fx, fy = F.col("px") - c, F.col("py") - r
-    nodes = F.array(*(F.struct((c + i).alias("col"), (r + j).alias("row"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    o = o.withColumn("nodes", F.filter(nodes, lambda n: n["w"] > 0)).withColumn("count", F.size("nodes")).withColumn("_n", F.explode("nodes"))
-    asked = o.select("pid", "cid", "x", "y", "px", "py", "r", "count", F.col("_n.col").alias("col"), F.col("_n.row").alias("row"), F.col("_n.w").alias("w"))
-    valid = F.col("dx").isNotNull() & F.col("dy").isNotNull()
-    # repeated observations come together here, as so many copies
-    found = asked.join(disparities.select("cid", "col", "row", "dx", "dy"), ["cid", "col", "row"], "left").groupBy("pid", "cid", "x", "y", "px", "py", "r", "count").agg(
-        F.expr("count(*) div count").alias("copies"),
-        F.when(F.count_if(valid) == F.count("*"), F.struct(F.sum(F.col("w") * F.col("dx")).alias("x"), F.sum(F.col("w") * F.col("dy")).alias("y"))).alias("sums"),
-    )
-    found = found.filter(F.col("sums").isNotNull()).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    o = o.withColumns({"col": F.floor("px"), "row": F.floor("py")})
+    # the four nodes about each place are brought together first, so that an observation is met once
+    valid = disparities.select("cid", "col", "row", "dx", "dy").filter(F.col("dx").isNotNull() & F.col("dy").isNotNull())
+    sent = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    about = valid.withColumn("_n", sent).select("cid", (F.col("col") - F.col("_n.i")).alias("col"), (F.col("row") - F.col("_n.j")).alias("row"), (F.col("_n.i") * 2 + F.col("_n.j")).alias("_at"), "dx", "dy")
+    at = lambda c, k: F.max(F.when(F.col("_at") == k, F.col(c))).alias(f"{c}{k}")
+    about = about.groupBy("cid", "col", "row").agg(*(at(c, k) for c in ("dx", "dy") for k in range(4)))
+    fx, fy = F.col("px") - F.col("col"), F.col("py") - F.col("row")
+    weight = {2 * i + j: (fx if i else 1 - fx) * (fy if j else 1 - fy) for i in (0, 1) for j in (0, 1)}
+    total = lambda c: sum((F.when(w > 0, w * F.col(f"{c}{k}")).otherwise(0.0) for k, w in weight.items()), F.lit(0.0))
+    found = o.select("pid", "cid", "px", "py", "r", "col", "row").join(about, ["cid", "col", "row"]).withColumns({"_sx": total("dx"), "_sy": total("dy")})
+    found = found.filter(F.col("_sx").isNotNull() & F.col("_sy").isNotNull())  # a node with weight that is missing makes them null
     m = F.col("r")
-    u, v, det = F.col("px") + F.col("sums.x") / F.col("copies") - m[2], F.col("py") + F.col("sums.y") / F.col("copies") - m[5], m[0] * m[4] - m[1] * m[3]
+    u, v, det = F.col("px") + F.col("_sx") - m[2], F.col("py") + F.col("_sy") - m[5], m[0] * m[4] - m[1] * m[3]
     det = F.when(det != 0, det).otherwise(F.raise_error(F.lit("a transform has no inverse")).cast("double"))
     other = found.select("pid", (F.col("cid") + images).alias("cid"), ((m[4] * u - m[1] * v) / det).alias("x"), ((m[0] * v - m[3] * u) / det).alias("y"))
     return observations.select("pid", "cid", "x", "y").unionByName(other)
