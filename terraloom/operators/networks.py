@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from terraloom.operators.chips import first_come
 
 
+#: Pairs of cameras that a part of the tracks brings on average, and parts at most.
+PART_PAIRS, MOST_PARTS = 2_000_000, 20_000
+
+
 def track_pairs(obs: DataFrame, pid: str = "pid", cid: str = "cid") -> DataFrame:
-    """c1 < c2 and the number of tracks that both cameras see. The work is the square of a track's length, at most that of the number of cameras."""
-    seen = obs.select(F.col(pid).alias("_p"), F.col(cid).alias("_c")).distinct()
-    a, b = seen.select("_p", F.col("_c").alias("c1")), seen.select("_p", F.col("_c").alias("c2"))
-    return a.join(b, "_p").filter("c1 < c2").groupBy("c1", "c2").agg(F.count("*").alias("matches"))
+    """c1 < c2 and the number of tracks that both cameras see. The work is the square of a track's length, at most that of the number of cameras.
+
+    Tracks are counted beforehand, and go in as many parts as bring PART_PAIRS pairs to each, so a task's tables of pairs
+    don't grow with the input. Pairs are counted in their part first, so a frequent pair comes once from each.
+    """
+    seen = obs.select(F.col(pid).alias("_p"), F.col(cid).alias("_c")).dropna()
+    n = F.col("n").cast("double")
+    pairs = seen.groupBy("_p").agg(F.count("*").alias("n")).agg(F.sum(n * n / 2)).first()[0] or 0.0
+    parts = max(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int(pairs / PART_PAIRS) + 1))
+    dealt = seen.withColumn("_part", F.pmod(F.xxhash64("_p"), F.lit(8 * parts))).repartition(parts, "_part")
+    track = dealt.groupBy("_part", "_p").agg(F.sort_array(F.collect_set("_c")).alias("_c"))
+    first = track.select("_part", "_c", F.posexplode("_c").alias("_i", "c1"))
+    both = first.select("_part", "c1", F.explode(F.slice("_c", F.col("_i") + 2, F.size("_c"))).alias("c2"))
+    counted = both.groupBy("_part", "c1", "c2").agg(F.count("*").alias("_n"))
+    return counted.select("c1", "c2", "_n").repartition(parts, "c1", "c2").groupBy("c1", "c2").agg(F.sum("_n").alias("matches"))
 
 
 def keep_inliers(matches: DataFrame, inliers: DataFrame, keys: tuple[str, ...] = ("lx", "ly", "rx", "ry")) -> DataFrame:
