@@ -52,7 +52,7 @@ def network_lines(cameras: DataFrame, points: DataFrame, obs: DataFrame) -> Data
     cams = cameras.select((F.col("cid") + 2).cast("long").alias("line"), F.concat_ws(" ", "name", *(F.col(c).cast("string") for c in ("focal", "qw", "qx", "qy", "qz", "x", "y", "z")), F.lit("0 0")).alias("value"))
     total = points.agg(F.count("*").cast("string").alias("value")).crossJoin(n).select((F.col("n") + 2).cast("long").alias("line"), "value")
     one = F.concat_ws(" ", F.col("cid").cast("string"), F.col("fid").cast("string"), F.col("px").cast("string"), F.col("py").cast("string"))
-    tracks = obs.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("cid", "fid", one.alias("t")))).alias("m"))
+    tracks = obs.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("cid", "fid", one.alias("t")))).alias("m"))
     joined = points.join(tracks, "pid", "left").crossJoin(F.broadcast(n))
     size = F.coalesce(F.size("m"), F.lit(0))
     text = F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz"), F.lit("0 0 0"), size.cast("string"), F.concat_ws(" ", F.transform("m", lambda m: m["t"])))
