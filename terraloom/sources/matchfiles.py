@@ -21,17 +21,21 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 # fixed values: the fields of a record in their order, with their widths in the file
 FIELDS = (("x", "f"), ("y", "f"), ("ix", "i"), ("iy", "i"), ("orientation", "f"), ("scale", "f"), ("interest", "f"), ("polarity", "B"), ("octave", "I"), ("level", "I"))
 HEAD = struct.Struct("<" + "".join(kind for _, kind in FIELDS) + "Q")
 COUNTS = struct.Struct("<QQ")
+LENGTH = struct.Struct("<Q")
+_HEADS = np.dtype([*((name, {"f": "<f4", "i": "<i4", "B": "u1", "I": "<u4"}[kind]) for name, kind in FIELDS), ("n", "<u8")])
 
 _SPARK = {"f": "float", "i": "int", "B": "boolean", "I": "long"}
 _ARROW = {"f": pa.float32(), "i": pa.int32(), "B": pa.bool_(), "I": pa.int64()}
@@ -54,23 +58,75 @@ def _take(stream, n: int, file: str) -> bytes:
     return data
 
 
-def _point(stream, file: str) -> dict:
-    *values, n = HEAD.unpack(_take(stream, HEAD.size, file))
-    point = dict(zip((name for name, _ in FIELDS), values, strict=True))
-    point["polarity"] = bool(point["polarity"])
-    point["descriptor"] = struct.unpack(f"<{n}f", _take(stream, 4 * n, file))
-    return point
-
-
-def _skip(stream, file: str) -> None:
-    n = HEAD.unpack(_take(stream, HEAD.size, file))[-1]
-    _take(stream, 4 * n, file)
-
-
-def _packed(point) -> bytes:
-    descriptor = [v or 0.0 for v in point["descriptor"] or ()]
-    values = [(point[name] or 0.0) if kind == "f" else int(point[name] or 0) for name, kind in FIELDS]
-    return HEAD.pack(*values, len(descriptor)) + struct.pack(f"<{len(descriptor)}f", *descriptor)
+class _Cursor:
+    """Records of a stream, read forwards; a chunk of the file and the records asked for are in memory."""
+
+    def __init__(self, stream, file: str) -> None:
+        self.stream, self.file, self.held, self.at = stream, file, b"", 0
+
+    def _reach(self, n: int) -> None:
+        """Holds n bytes from the place on."""
+        parts, have = [self.held[self.at :]], len(self.held) - self.at
+        while have < n:
+            more = self.stream.read(COPY_BYTES)
+            if not more:
+                raise ValueError(f"{self.file} ends within a record")
+            parts.append(more)
+            have += len(more)
+        self.held, self.at = b"".join(parts), 0
+
+    def take(self, n: int) -> tuple[bytes, np.ndarray]:
+        """The bytes of the next n records and where each starts in them."""
+        starts, taken, done = np.empty(n, np.int64), [], 0
+        begin = self.at
+        for i in range(n):
+            for size in (HEAD.size, None):
+                size = size or HEAD.size + 4 * LENGTH.unpack_from(self.held, self.at + HEAD.size - LENGTH.size)[0]
+                if self.at + size > len(self.held):
+                    taken.append(self.held[begin : self.at])
+                    done += self.at - begin
+                    self._reach(size)
+                    begin = 0
+            starts[i] = done + self.at - begin
+            self.at += size
+        taken.append(self.held[begin : self.at])
+        return b"".join(taken), starts
+
+
+def _heads_of(whole: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes of the records' fixed fields are, and a mask of all others."""
+    at = starts[:, None] + np.arange(HEAD.size)
+    others = np.ones(len(whole), bool)
+    others[at] = False
+    return at, others
+
+
+def _points(data: bytes, starts: np.ndarray) -> pa.StructArray:
+    whole = np.frombuffer(data, np.uint8)
+    at, others = _heads_of(whole, starts)
+    heads = whole[at].view(_HEADS)[:, 0]
+    columns = [pa.array(heads[name] != 0 if kind == "B" else heads[name], _ARROW[kind]) for name, kind in FIELDS]
+    ends = np.concatenate([[0], np.cumsum(heads["n"].astype(np.int64))])
+    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole[others].view("<f4"))))
+    return pa.StructArray.from_arrays(columns, fields=list(_POINT))
+
+
+def _packed(points: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """The records of points as bytes, and where each starts and the last one ends."""
+    heads = np.zeros(len(points), _HEADS)
+    for name, kind in FIELDS:
+        values = points.field(name).fill_null(False if kind == "B" else 0).to_numpy(zero_copy_only=False)
+        if kind == "I" and len(values) and not 0 <= values.min() <= values.max() < 1 << 32:
+            raise ValueError(f"{name} doesn't fit 32 bits without a sign")
+        heads[name] = values
+    descriptors = points.field("descriptor")
+    heads["n"] = pc.list_value_length(descriptors).fill_null(0).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(HEAD.size + 4 * heads["n"].astype(np.int64))])
+    whole = np.empty(starts[-1], np.uint8)
+    at, others = _heads_of(whole, starts[:-1])
+    whole[at] = heads.view(np.uint8).reshape(-1, HEAD.size)
+    whole[others] = descriptors.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype("<f4").view(np.uint8)
+    return whole, starts
 
 
 @dataclass
@@ -104,13 +160,13 @@ class _Reader(DataSourceReader):
             if n != others:
                 raise ValueError(f"{path} has {n} points of the left image and {others} of the right one")
             _take(right, COUNTS.size, path)
-            for _ in range(n):
-                _skip(right, path)
-            for start in range(0, n, ROWS_A_BATCH):
-                k = range(start, min(start + ROWS_A_BATCH, n))
-                points = [(_point(left, path), _point(right, path)) for _ in k]
-                columns = [pa.array([name] * len(k)), pa.array(k, pa.int64()), pa.array([p[0] for p in points], _POINT), pa.array([p[1] for p in points], _POINT)]
-                yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+            cursors = _Cursor(left, path), _Cursor(right, path)
+            pieces = [min(ROWS_A_BATCH, n - start) for start in range(0, n, ROWS_A_BATCH)]
+            for piece in pieces:
+                cursors[1].take(piece)
+            for i, piece in enumerate(pieces):
+                k = np.arange(piece, dtype=np.int64) + i * ROWS_A_BATCH
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), piece), pa.array(k), *(_points(*c.take(piece)) for c in cursors)], schema=_ROWS)
 
 
 @dataclass
@@ -118,7 +174,7 @@ class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # (temporary path, name)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.attempt = path, overwrite, uuid.uuid4().hex
 
@@ -126,7 +182,7 @@ class _Writer(DataSourceWriter):
         store, path = _store(self.path)
         return store, path.rstrip("/"), f"{path.rstrip('/')}/_temporary/{self.attempt}"
 
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, _, work = self._folder()
         store.create_dir(work, recursive=True)
         done: list[tuple[str, str]] = []
@@ -146,21 +202,27 @@ class _Writer(DataSourceWriter):
                     store.delete_file(part)
             done.append((whole, name))
 
-        for row in rows:
-            if row["file"] is None or row["left"] is None or row["right"] is None:
+        for batch in batches:
+            files, points = batch.column("file"), [batch.column(side) for side in ("left", "right")]
+            if files.null_count or any(p.null_count for p in points):
                 raise ValueError("a match needs a file name and both points")
-            if row["file"] != name:
-                if name is not None:
-                    finish()
-                if row["file"] in seen or "/" in row["file"] or row["file"].startswith(("_", ".")):
-                    raise ValueError(f"{row['file']!r} comes twice, or is no name of a file")
-                name, n = row["file"], 0
-                seen.add(name)
-                parts = [f"{work}/{uuid.uuid4().hex}" for _ in range(2)]
-                sides = [store.open_output_stream(p, buffer_size=COPY_BYTES) for p in parts]
-            sides[0].write(_packed(row["left"]))
-            sides[1].write(_packed(row["right"]))
-            n += 1
+            packed = [_packed(p) for p in points]
+            runs = pc.run_end_encode(files)
+            start = 0
+            for file, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if file != name:
+                    if name is not None:
+                        finish()
+                    if file in seen or "/" in file or file.startswith(("_", ".")):
+                        raise ValueError(f"{file!r} comes twice, or is no name of a file")
+                    name, n = file, 0
+                    seen.add(name)
+                    parts = [f"{work}/{uuid.uuid4().hex}" for _ in range(2)]
+                    sides = [store.open_output_stream(p, buffer_size=COPY_BYTES) for p in parts]
+                for side, (whole, starts) in zip(sides, packed, strict=True):
+                    side.write(whole[starts[start] : starts[end]])
+                n += end - start
+                start = end
         if name is not None:
             finish()
         return _Written(done)

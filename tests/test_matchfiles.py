@@ -70,3 +70,28 @@ def test_overwrite_and_empty(spark, tmp_path):
     assert rows(read_matches(spark, path)) == rows(matches(spark, 4, 1))
     write_matches(matches(spark, 4).limit(0), path, mode="overwrite")
     assert read_matches(spark, path).count() == 0
+
+
+def test_records_over_the_ends_of_chunks_and_batches():
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    from terraloom.sources import matchfiles as M
+
+    points = pa.array([{"x": float(i), "level": i, "polarity": i % 2 == 1, "descriptor": [float(j) for j in range(i % 7)] if i % 3 else None} for i in range(500)], M._POINT)
+    data, starts = M._packed(points)
+    assert starts[-1] == len(data) == sum(M.HEAD.size + 4 * (i % 7 if i % 3 else 0) for i in range(500))
+
+    class Drops(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 61))
+
+    cursor = M._Cursor(Drops(data.tobytes()), "a")
+    back = pa.concat_arrays([M._points(*cursor.take(n)) for n in (1, 0, 250, 249)])
+    assert back.field("level").to_pylist() == list(range(500)) and back.field("polarity").to_pylist() == [i % 2 == 1 for i in range(500)]
+    assert back.field("descriptor").to_pylist() == [[float(j) for j in range(i % 7)] if i % 3 else [] for i in range(500)]
+    assert np.array_equal(M._packed(back)[0], data)
+    with pytest.raises(ValueError, match="ends within a record"):
+        cursor.take(1)
