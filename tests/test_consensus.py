@@ -72,6 +72,24 @@ def test_chips(spark, monkeypatch, task):
     assert chips.chips(df.filter("false"), 20.0).count() == 0
 
 
+def test_quarterings_are_counted_several_at_once(spark, monkeypatch):
+    monkeypatch.setattr(chips, "TASK_POINTS", 50)
+    written, real = [], chips.stored
+    monkeypatch.setattr(chips, "stored", lambda df, name: written.append(name) or real(df, name))
+    rng = np.random.default_rng(8)
+    at = np.concatenate([rng.uniform(0, 20 / 16, (400, 2)), rng.uniform(-20, -20 + 20 / 16, (300, 2))]).tolist()  # the first four quarterings part nothing
+    df = spark.createDataFrame([(i, x, y, [str(i)], {"k": i}) for i, (x, y) in enumerate(at)], "id long, x double, y double, names array<string>, m map<string, int>").repartition(3)
+    out = chips.chips(df, 20.0, 16).collect()
+    assert {(r["id"], r["x"], r["y"], r["names"][0], r["m"]["k"]) for r in out} == {(i, x, y, str(i), i) for i, (x, y) in enumerate(at)} and len(out) == 700
+    held = {}
+    for r in out:
+        held.setdefault((r["tile_x"], r["tile_y"], r["chip"]), []).append((r["x"], r["y"]))
+    boxes = [(k[:2], *np.min(v, axis=0), *np.max(v, axis=0)) for k, v in held.items()]
+    assert max(map(len, held.values())) <= 16 and len({b[0] for b in boxes}) == 2
+    assert all(a[0] != b[0] or a[3] < b[1] or b[3] < a[1] or a[4] < b[2] or b[4] < a[2] for i, a in enumerate(boxes) for b in boxes[:i])
+    assert written.count("chips") <= 1
+
+
 def sequential(rows):
     left, right, out = set(), set(), []
     for r in sorted(rows):
