@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.statistics import NMAD_FACTOR
+from terraloom.operators.storage import stored
 from terraloom.operators.surfaces import blurred, grassfire
 
 
@@ -84,6 +85,7 @@ def border_weights(cells: DataFrame, most: float, sigma: float, power: float, bo
     an input without holes has the weight `most` everywhere.
     """
     depth = grassfire(cells, border, ("idx",)).withColumn("_w", F.least(F.coalesce(F.col("distance").cast("double"), F.lit(float(most))), F.lit(float(most))))
+    depth = stored(depth.select("idx", "col", "row", "v", "_w"), "border-depths")  # read twice
     if sigma > 0:
         smooth = blurred(depth.select("idx", "col", "row", F.col("_w").alias("v")), sigma, keys=("idx",)).withColumnRenamed("v", "_w")
         depth = depth.drop("_w").join(smooth, ["idx", "col", "row"])
@@ -120,8 +122,10 @@ def border_priority_blend(cells: DataFrame, reach: float, most: float = 200.0, s
 
     Depths say where later inputs have holes burnt; weights are then those of the inputs with these holes.
     """
+    cells = stored(cells.select("idx", "col", "row", "v"), "priority-cells")
     deep = grassfire(cells, border, ("idx",)).select("idx", "col", "row", F.coalesce(F.col("distance").cast("double"), F.lit(float("inf"))).alias("_d"))
-    return blurred_blend(burnt(cells.join(deep, ["idx", "col", "row"], "left"), "_d", reach), most, sigma, power, border)
+    deep = stored(cells.join(deep, ["idx", "col", "row"], "left"), "priority-depths")
+    return blurred_blend(stored(burnt(deep, "_d", reach), "priority-burnt"), most, sigma, power, border)
 
 
 def max_lit(cells: DataFrame) -> DataFrame:

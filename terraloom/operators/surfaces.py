@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,45 +15,81 @@ from terraloom.functions.geometry import slerp
 from terraloom.operators.joins import bilinear
 
 
+#: Places of a raster's row or column that are put in order together.
+STRETCH = 512
+
+
+def _carried(cells: DataFrame, line: list[str], axis: str, first: Column, last: Column, forward: Column, backward: Column) -> DataFrame:
+    """cells with _b, the stretch of their line along an axis, and what the other stretches of the line carry into it.
+
+    _first and _last are the ends of the line's frame; _before and _after the aggregates `forward` over all earlier and
+    `backward` over all later stretches of the aggregates `last` and `first` of each. Only one row a stretch is put in order.
+    """
+    cells = cells.withColumn("_b", F.floor(F.col(axis) / STRETCH))
+    ends = cells.groupBy(*line, "_b").agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), first.alias("_head"), last.alias("_tail"))
+    whole = Window.partitionBy(*line)
+    earlier, later = (whole.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_b"), F.desc("_b")))
+    ends = ends.select(*line, "_b", F.min("_lo").over(whole).alias("_first"), F.max("_hi").over(whole).alias("_last"), forward.over(earlier).alias("_before"), backward.over(later).alias("_after"))
+    return cells.join(ends, [*line, "_b"])
+
+
 def grassfire(cells: DataFrame, border: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """Valid cells with their city-block distance to the nearest hole; cells has a line for each place of its frame.
 
     With keys, each of their values is a raster of its own. With border, what lies outside the frame is a hole too; without, a raster of no holes gives null. The distance along
     rows comes from the holes before and after; along columns it is a running minimum each way, so no cell meets another.
+    Rows and columns are cut into stretches that carry their holes and minima on, so no task holds a whole one.
     """
 
-    def running(axis: str, other: str, aggregate: Column, forward: bool) -> Column:
-        w = Window.partitionBy(*keys, other).orderBy(F.col(axis) if forward else F.desc(axis))
+    def running(line: list[str], axis: str, aggregate: Column, forward: bool) -> Column:
+        w = Window.partitionBy(*line, "_b").orderBy(F.col(axis) if forward else F.desc(axis))
         return aggregate.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    def edges(axis: str, other: str) -> list[Column]:
-        w = Window.partitionBy(*keys, other)
-        return [F.col(axis) - F.min(axis).over(w) + 1, F.max(axis).over(w) - F.col(axis) + 1] if border else []
+    def edges(axis: str) -> list[Column]:
+        return [F.col(axis) - F.col("_first") + 1, F.col("_last") - F.col(axis) + 1] if border else []
+
+    cells = cells.select(*keys, "col", "row", "v")
+    place, line = F.when(F.col("v").isNull(), F.col("col")), [*keys, "row"]
+    hole = F.last(place, ignorenulls=True)
+    along = _carried(cells, line, "col", F.min(place), F.max(place), F.max("_tail"), F.min("_head"))
+    left = F.col("col") - F.coalesce(running(line, "col", hole, True), F.col("_before"))
+    right = F.coalesce(running(line, "col", hole, False), F.col("_after")) - F.col("col")
+    along = along.select(*keys, "col", "row", "v", F.least(left, right, *edges("col")).alias("_along"))
+    line, up, down = [*keys, "col"], F.min(F.col("_along") - F.col("row")), F.min(F.col("_along") + F.col("row"))
+    across = _carried(along, line, "row", down, up, F.min("_tail"), F.min("_head"))
+    up = F.least(running(line, "row", up, True), F.col("_before")) + F.col("row")
+    down = F.least(running(line, "row", down, False), F.col("_after")) - F.col("row")
+    return across.select(*keys, "col", "row", "v", F.least(up, down, *edges("row")).cast("long").alias("distance")).filter(F.col("v").isNotNull())
+
 
-    hole = F.last(F.when(F.col("v").isNull(), F.col("col")), ignorenulls=True)
-    left, right = F.col("col") - running("col", "row", hole, True), running("col", "row", hole, False) - F.col("col")
-    along = cells.withColumn("_along", F.least(left, right, *edges("col", "row")))
-    up = running("row", "col", F.min(F.col("_along") - F.col("row")), True) + F.col("row")
-    down = running("row", "col", F.min(F.col("_along") + F.col("row")), False) - F.col("row")
-    return along.select(*keys, "col", "row", "v", F.least(up, down, *edges("row", "col")).cast("long").alias("distance")).filter(F.col("v").isNotNull())
+#: Cells a side of the tiles that are smoothed, or more where taps reach far.
+TILE = 128
 
 
 def blurred(weights: DataFrame, sigma: float, half: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Positive weights(col, row, v) smoothed by a Gaussian of 2 * half + 1 taps a direction that sum to 1.
 
     Where there is no positive weight, 0 is taken, and nothing is returned. The default reach is three sigma. With keys, each
-    of their values is a raster of its own.
+    of their values is a raster of its own. Smoothed tile by tile, with the cells that reach into a tile from around it, so a
+    cell is sent to four tiles at most and a task holds one.
     """
     half = math.ceil(3 * sigma) if half is None else half
-    taps = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
-    sent = F.array(*(F.struct(F.lit(k - half).alias("d"), F.lit(g / sum(taps)).alias("g")) for k, g in enumerate(taps)))
-    positive = weights.filter("v > 0").select(*keys, "col", "row", "v")
-    smooth = positive
-    for axis in ("col", "row"):
-        moved = {c: F.col(c) + F.col("_t.d") if c == axis else F.col(c) for c in ("col", "row")}
-        smooth = smooth.withColumn("_t", F.explode(sent)).select(*keys, *(x.alias(c) for c, x in moved.items()), (F.col("v") * F.col("_t.g")).alias("v"))
-        smooth = smooth.groupBy(*keys, "col", "row").agg(F.sum("v").alias("v"))
-    return positive.select(*keys, "col", "row").join(smooth, [*keys, "col", "row"])
+    taps = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    taps, side, place = taps / taps.sum(), max(TILE, 4 * half), [*keys, "col", "row"]
+    positive = weights.filter("v > 0").select(*place, F.col("v").cast("double").alias("v")).dropna(subset=place)
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / side), F.floor((F.col(c) + half) / side)))
+
+    def smooth(tile: pa.Table) -> pa.Table:
+        i, j = (tile[c].to_numpy() - (tile[t][0].as_py() * side - half) for c, t in (("col", "_x"), ("row", "_y")))
+        v = np.zeros((side + 2 * half, side + 2 * half))
+        np.add.at(v, (i, j), tile["v"].to_numpy())
+        v = sum(g * v[k : k + side] for k, g in enumerate(taps))
+        v = sum(g * v[:, k : k + side] for k, g in enumerate(taps))
+        mine = (i >= half) & (i < half + side) & (j >= half) & (j < half + side)
+        return tile.filter(pa.array(mine)).select(place).append_column("v", pa.array(v[i[mine] - half, j[mine] - half]))
+
+    sent = positive.withColumn("_x", tiles("col")).withColumn("_y", tiles("row"))
+    return sent.groupBy(*keys, "_x", "_y").applyInArrow(smooth, positive.schema)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

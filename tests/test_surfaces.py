@@ -28,6 +28,29 @@ def test_grassfire(spark):
     assert surfaces.grassfire(whole.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("border", [True, False])
+def test_grassfire_over_stretches(spark, monkeypatch, border):
+    monkeypatch.setattr(surfaces, "STRETCH", 3)
+    rng = np.random.default_rng(9)
+    holes = {k: {(int(c) - 5, int(r)) for c, r in rng.integers(0, 17, (4, 2))} for k in (0, 1)}
+    rows = [(k, c, r, None if (c, r) in holes[k] else 1.0) for k in (0, 1) for c in range(-5, 12) for r in range(17)]
+    got = surfaces.grassfire(spark.createDataFrame(rows, "k int, col long, row long, v double"), border, ("k",)).collect()
+    near = lambda k, c, r: min([abs(c - x) + abs(r - y) for x, y in holes[k]] + ([c + 6, 12 - c, r + 1, 17 - r] if border else []))
+    assert {(g["k"], g["col"], g["row"]): g["distance"] for g in got} == {(k, c, r): near(k, c, r) for k, c, r, v in rows if v}
+
+
+def test_blurred_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(surfaces, "TILE", 5)
+    rng = np.random.default_rng(10)
+    v = {(k, c, r): float(rng.normal(1, 1)) for k in (0, 1) for c in range(-7, 10) for r in range(12)}
+    g = np.exp(-0.5 * (np.arange(-2, 3) / 0.8) ** 2)
+    g /= g.sum()
+    df = spark.createDataFrame([(*p, x) for p, x in v.items()], "k int, col int, row long, v double")
+    got = {(r["k"], r["col"], r["row"]): r["v"] for r in surfaces.blurred(df, 0.8, 2, ("k",)).collect()}
+    wanted = {(k, c, r): sum(max(v.get((k, c - i, r - j), 0.0), 0.0) * g[i + 2] * g[j + 2] for i in range(-2, 3) for j in range(-2, 3)) for (k, c, r), x in v.items() if x > 0}
+    assert got == pytest.approx(wanted) and surfaces.blurred(df.filter("false"), 1.0).count() == 0
+
+
 def test_blurred(spark):
     weights = grid(spark, [[0.0, 4.0, None], [2.0, 1.0, -3.0]])
     a, b = math.exp(-0.5), 1.0
