@@ -1,6 +1,7 @@
 """Streams that are looked up by time in one forward pass: the samples before and after each asked time, from kept state.
 
-Each key keeps its last sample and the asked times that still wait for the next one, and nothing else. Time must not go back
+Each key keeps its last sample and the asked times that still wait for the next one, and nothing else; keys are kept in
+groups, as each call for state costs the same for one key as for many. Time must not go back
 from one batch to the next; within a batch rows are put in order first. State is in the checkpoint, so a restarted stream
 goes on where it was.
 """
@@ -23,54 +24,78 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 NONE = -(1 << 62)
 
 
+#: Groups of keys: a group's state is read and written as two lists, so the calls for state don't grow with the keys.
+GROUPS = 1024
+
+
 class Between(StatefulProcessor):
-    """Rows (key, t, asked, id, values) of one key -> key, id, t and the samples before and after, once the later one is there."""
+    """Rows (key, t, asked, id, values) of a group of keys -> key, id, t and the samples before and after, once the later one is there."""
 
     def __init__(self, key: str, values: list[str]) -> None:
         self.key, self.values = key, values
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seen long, t long, id long, v binary")
-        self.waiting = handle.getListState("waiting", "t long, id long, bt long, bid long, bv binary")
+        numbers = ", ".join(f"v{i} double" for i in range(len(self.values)))
+        self.last = handle.getListState("last", ", ".join(["key string, seen long, t long, id long", numbers] if numbers else ["key string, seen long, t long, id long"]))
+        self.waiting = handle.getListState("waiting", "key string, t long, id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        # samples before asked times of one moment, and of equal samples the largest id first
-        got = got.assign(_o=np.where(got["asked"], got["id"], -got["id"])).sort_values(["t", "asked", "_o"], kind="stable")
-        seen, t0, id0, v0 = self.last.get() if self.last.exists() else (NONE, NONE, NONE, b"")
+        held = [f"v{i}" for i in range(len(self.values))]
+        got = pd.concat(list(rows), ignore_index=True)[[self.key, "t", "asked", "id", *self.values]]
+        got.columns = ["key", "t", "asked", "id", *held]
+        got["fresh"] = True
+        last = [tuple(r) for r in self.last.get()] if self.last.exists() else []
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        if len(got) and int(got["t"].iloc[0]) < seen:
-            raise ValueError(f"time goes back for {key}: from {seen} to {int(got['t'].iloc[0])}")
-        out = []
-        for t, asked, id_, *v in got[["t", "asked", "id", *self.values]].itertuples(index=False, name=None):
-            v = np.array(v, float).tobytes()
-            if not asked:
-                for at, who, bt, bid, bv in waiting:
-                    before = (t, id_, v) if at == t else (bt, bid, bv)
-                    out.append((who, at, *before, t, id_, v))
-                waiting = []
-                if t > t0:
-                    t0, id0, v0 = t, id_, v
-            elif t == t0:
-                out.append((id_, t, t0, id0, v0, t0, id0, v0))
-            else:
-                waiting.append((t, id_, t0, id0, v0))
-            seen = t
-        self.last.update((int(seen), int(t0), int(id0), bytes(v0)))
-        if waiting:
-            self.waiting.put([(int(a), int(b), int(c), int(d), bytes(e)) for a, b, c, d, e in waiting])
+        keys = {k: i for i, k in enumerate(dict.fromkeys([*(r[0] for r in last), *(None if k is None or k != k else k for k in got["key"])]))}
+        names, here = list(keys), np.array([keys[None if k is None or k != k else k] for k in got["key"]], np.int64)
+        seen, first = np.full(len(names), NONE), np.full(len(names), np.iinfo(np.int64).max)
+        seen[[keys[r[0]] for r in last]] = [r[1] for r in last]
+        np.minimum.at(first, here, got["t"].to_numpy())
+        if (first < seen).any():
+            i = int(np.argmax(first < seen))
+            raise ValueError(f"time goes back for {names[i]}: from {seen[i]} to {first[i]}")
+        np.maximum.at(seen, here, got["t"].to_numpy())
+        # what is kept comes with what is new: samples before asked times of one moment, and of equal samples the largest id first
+        columns = ["k", "t", "asked", "id", *held, "fresh"]
+        kept = [(keys[r[0]], r[2], False, r[3], *r[4:], False) for r in last if r[2] != NONE]
+        kept += [(keys[k], t, True, i, *([np.nan] * len(held)), False) for k, t, i in waiting]
+        parts = [got.assign(k=here)[columns], pd.DataFrame(kept, columns=columns)] if kept else [got.assign(k=here)[columns]]
+        both = pd.concat(parts, ignore_index=True)
+        k, t, asked, id_ = (both[c].to_numpy(kind) for c, kind in (("k", np.int64), ("t", np.int64), ("asked", bool), ("id", np.int64)))
+        order = np.lexsort((np.where(asked, id_, -id_), both["fresh"].to_numpy(bool), asked, t, k))
+        k, t, asked, id_, v = k[order], t[order], asked[order], id_[order], both[held].to_numpy(float).reshape(len(both), len(held))[order]
+        # of samples of one time the first one counts
+        sample = ~asked
+        sample[1:] &= ~(~asked[:-1] & (k[1:] == k[:-1]) & (t[1:] == t[:-1]))
+        at = np.flatnonzero(sample)
+        ask = np.flatnonzero(asked)
+        nth = np.searchsorted(at, ask) - 1  # the sample before, or at the very time
+        before = np.where((nth >= 0) & (k[at[nth]] == k[ask]), at[nth], -1) if len(at) else np.full(len(ask), -1)
+        nxt = nth + 1
+        after = np.where((nxt < len(at)) & (k[at[np.minimum(nxt, len(at) - 1)]] == k[ask]), at[np.minimum(nxt, len(at) - 1)], -1) if len(at) else np.full(len(ask), -1)
+        after = np.where((before >= 0) & (t[before] == t[ask]), before, after)
+        done = after >= 0
+        self._keep(names, seen, k, t, id_, v, at, ask[~done])
+        if done.any():
+            yield self._frame(names, k, t, id_, v, ask[done], before[done], after[done])
+
+    def _keep(self, names: list, seen: np.ndarray, k: np.ndarray, t: np.ndarray, id_: np.ndarray, v: np.ndarray, at: np.ndarray, open_: np.ndarray) -> None:
+        """Writes each key's last sample and the asked times that wait."""
+        newest = np.full(len(names), -1)
+        newest[k[at]] = at  # the last of each key: they are in order of time
+        none = (NONE, NONE, *([np.nan] * v.shape[1]))
+        self.last.put([(n, int(s), *((int(t[i]), int(id_[i]), *map(float, v[i])) if i >= 0 else none)) for n, s, i in zip(names, seen, newest.tolist(), strict=True)])
+        if len(open_):
+            self.waiting.put([(names[k[i]], int(t[i]), int(id_[i])) for i in open_.tolist()])
         else:
             self.waiting.clear()
-        if out:
-            yield self._frame(key[0], out)
-
-    def _frame(self, key, out: list) -> pd.DataFrame:
-        who, at, bt, bid, bv, t, id_, v = zip(*out, strict=True)
-        whole = lambda xs: pd.array([None if x == NONE else int(x) for x in xs], "Int64")
-        number = lambda xs: np.array([np.frombuffer(x) if x else np.full(len(self.values), np.nan) for x in xs]).reshape(len(out), -1)
-        frame = {self.key: [None if key is None else str(key)] * len(out), "id": list(who), "t": list(at), "before": whole(bid), "before_t": whole(bt), "after": list(id_), "after_t": list(t)}
-        for side, xs in (("before", number(bv)), ("after", number(v))):
-            frame |= {f"{side}_{name}": xs[:, i] for i, name in enumerate(self.values)}
+
+    def _frame(self, names: list, k: np.ndarray, t: np.ndarray, id_: np.ndarray, v: np.ndarray, ask: np.ndarray, before: np.ndarray, after: np.ndarray) -> pd.DataFrame:
+        none = before < 0
+        whole = lambda x, missing=False: pd.arrays.IntegerArray(x, (x == NONE) | missing)
+        frame = {self.key: [names[i] for i in k[ask].tolist()], "id": whole(id_[ask]), "t": t[ask], "before": whole(id_[before], none), "before_t": whole(t[before], none), "after": whole(id_[after]), "after_t": t[after]}
+        for side, x in (("before", np.where(none[:, None], np.nan, v[before])), ("after", v[after])):
+            frame |= {f"{side}_{name}": x[:, i] for i, name in enumerate(self.values)}
         return pd.DataFrame(frame)
 
     def close(self) -> None:
@@ -83,11 +108,13 @@ def between(stream: DataFrame, key: str, values: list[str]) -> DataFrame:
     A row for each asked time once a sample at or after it has come: the last sample up to it (null if none) and the first
     from it on; a sample at the very time is both. Asked times after the last sample wait in the state. Of samples of one
     time the largest id counts. Raises if a later batch has an earlier time. Null keys are a key; rows of null time are left out.
+    Keys go in GROUPS groups by their hash: a batch rewrites the state of the groups that it has rows of.
     """
     longs = [StructField(c, LongType()) for c in ("id", "t", "before", "before_t", "after", "after_t")]
     doubles = [StructField(f"{side}_{v}", DoubleType()) for side in ("before", "after") for v in values]
-    rows = stream.filter(F.col("t").isNotNull()).select(F.col(key).cast("string").alias(key), "t", "asked", "id", *(F.col(v).cast("double").alias(v) for v in values))
-    return rows.groupBy(key).transformWithStateInPandas(Between(key, values), outputStructType=StructType([StructField(key, StringType()), *longs, *doubles]), outputMode="append", timeMode="none")
+    rows = stream.filter(F.col("t").isNotNull()).select(F.col(key).cast("string").alias(key), "t", "asked", F.coalesce("id", F.lit(NONE)).alias("id"), *(F.col(v).cast("double").alias(v) for v in values))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(GROUPS)))
+    return rows.groupBy("_group").transformWithStateInPandas(Between(key, values), outputStructType=StructType([StructField(key, StringType()), *longs, *doubles]), outputMode="append", timeMode="none")
 
 
 def interpolated(found: DataFrame, values: list[str]) -> DataFrame:

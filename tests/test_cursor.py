@@ -58,6 +58,24 @@ def test_cursor_over_files_and_a_restart(spark, tmp_path):
             assert (None if key == "NULL" else key, i) not in found
 
 
+def test_many_keys_in_few_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cursor, "GROUPS", 3)
+    rng = np.random.default_rng(7)
+    n = 2000
+    rows = pd.DataFrame({"key": [f"k{i}" for i in rng.integers(0, 120, n)], "t": np.sort(rng.integers(0, 300, n)), "asked": rng.random(n) < 0.4, "id": np.arange(n), "v": rng.normal(size=n), "w": rng.normal(size=n)})
+    rows["ts"] = pd.to_datetime(rows["t"], unit="s")
+    cuts = [0, *(int(np.searchsorted(rows["t"], x)) for x in (90, 91, 200)), n]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        put(tmp_path, f"p{i}.parquet", rows.iloc[a:b].sample(frac=1, random_state=2), i)
+    columns = ["key", "id", "t", "before", "before_t", "after", "after_t", "before_v", "before_w", "after_v", "after_w"]
+    at = shared_path(spark, "cursor-groups")
+    got = rows_of(cursor.run_forward(stream(spark, tmp_path), "cursor", at).select(columns))
+    wanted = cursor.between_batch(spark.createDataFrame(rows[["key", "t", "asked", "id", "v", "w"]]), "key", ["v", "w"]).select(columns)
+    assert got == rows_of(wanted) and len(got) > 400
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{at}/state")
+    assert state.count() == 120 and state.select("key").distinct().count() == 3  # one list of last samples for a group
+
+
 def test_time_that_goes_back(spark, tmp_path):
     parts = chunks()
     put(tmp_path, "p0.parquet", parts[2], 0)
