@@ -155,6 +155,17 @@ def shares(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str]
     return ends.select(*(keys or []), *(between(name, at).alias(name) for name, at in place.items()))
 
 
+def ordered_means(df: DataFrame, value: str, keys: list[str], order: list[str], name: str = "mean") -> DataFrame:
+    """keys, name, n: each group's mean of its values, added one after the other in the given order, and its rows.
+
+    A sum of doubles depends on the order of its terms: partial sums would make it that of the tasks. Nulls aren't added.
+    """
+    rows = Window.partitionBy(*keys).orderBy(*order)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = df.select(*keys, F.avg(value).over(so_far).alias(name), F.count("*").over(so_far).alias("n"), F.lead(F.lit(1)).over(rows).alias("_more"))
+    return run.filter(F.col("_more").isNull()).drop("_more")
+
+
 def brackets(df: DataFrame, value: str, pct: float, factor: float, keys: list[str] | None = None) -> DataFrame:
     """lo, hi: the interval between the pct and 1 - pct percentiles, widened by factor times its width on both sides."""
     s = shares(df, value, {"_a": 1 - pct, "_b": pct}, keys)

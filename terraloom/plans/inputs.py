@@ -40,9 +40,14 @@ RASTER = CELLS + """, raster AS (SELECT c.col, r."row", v FROM (SELECT s_suppkey
   LEFT JOIN (SELECT col, "row", v FROM cells WHERE idx = 0) k ON k.col = c.col AND k."row" = r."row")"""
 
 
-def residuals(spark, d) -> DataFrame:
-    """Residuals of points seen by cameras."""
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cid"), F.col("l_orderkey").alias("pid"), (F.col("l_discount") * 100).alias("resid"), (F.col("l_tax") * 100).alias("other"))
+#: Columns by which the rows of a table are in the order of its files.
+FILE_ORDER = ["file", "place"]
+
+
+def residuals(spark, d, placed: bool = False) -> DataFrame:
+    """Residuals of points seen by cameras, with FILE_ORDER if placed."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")] if placed else []
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cid"), F.col("l_orderkey").alias("pid"), (F.col("l_discount") * 100).alias("resid"), (F.col("l_tax") * 100).alias("other"), *place)
 
 
 RESIDUALS = "res AS (SELECT l_suppkey AS cid, l_orderkey AS pid, l_discount * 100 AS resid, l_tax * 100 AS other FROM lineitem)"

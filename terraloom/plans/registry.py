@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import statistics as S
 from terraloom.functions.expressions import calculate, polynomial, postfix
 from terraloom.operators import filters, gridding, joins, mosaic, neighbourhood, networks, reports, series, tracks
-from terraloom.plans.inputs import CELLS, CLOUD, RASTER, RESIDUALS, cells, cloud, frames, raster, residuals, table
+from terraloom.plans.inputs import CELLS, CLOUD, FILE_ORDER, RASTER, RESIDUALS, cells, cloud, frames, raster, residuals, table
 
 FLAGSHIP = "grid_cloud"
 _QUERIES: dict = {}
@@ -205,7 +205,8 @@ def image_percentiles(spark, d):
 @query(f"""WITH {RESIDUALS}, p AS (SELECT pid, avg(resid) AS m, count(*) = 1 AS gcp FROM res GROUP BY pid), b AS (SELECT quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.75) AS b FROM p WHERE NOT gcp)
 SELECT pid, round(m, 6) AS m FROM p, b WHERE NOT gcp AND m > least(6, greatest(3, b + 3 * (b - a)))""")
 def adjustment_outliers(spark, d):
-    means = residuals(spark, d).groupBy("pid").agg(F.avg("resid").alias("m"), (F.count("*") == 1).alias("gcp"))
+    # a mean at the cutoff falls by the roundings of its sum: in the order of the file, as SQL adds in one thread
+    means = S.ordered_means(residuals(spark, d, placed=True), "resid", ["pid"], FILE_ORDER, "m").select("pid", "m", (F.col("n") == 1).alias("gcp"))
     return rounded(filters.adjustment_outliers(means, "m", 75, 3, 3, 6, "gcp").select("pid", "m"), "m")
 
 
