@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,48 +157,143 @@ def sweep(df: DataFrame, **values: list) -> DataFrame:
     return df
 
 
-#: Rows of the greedy choice are written anew once this share of them is covered.
-REWRITTEN = 0.25
+#: Rows of the greedy choice that one task goes through, and those that a part of several regions has on average; rows are
+#: written anew once the last share of them is covered.
+POOL, PART, REWRITTEN = 4_000_000, 500_000, 0.25
+
+
+def _chosen_in(lists: pa.Array, least: int, floor: tuple[int, int] | None) -> tuple[list[int], list[int]]:
+    """Images and gains of a greedy choice, in its order, from a list of images for each cell, until the next comes after floor (-gain, image)."""
+    at, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+    at = at - at[0]
+    sizes = np.diff(at)
+    names, image = np.unique(flat, return_inverse=True)
+    gains = np.bincount(image, minlength=len(names))
+    cells = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(image, kind="stable")]  # those of each image
+    begins = np.concatenate([[0], np.cumsum(gains)])
+    open_, found = np.ones(len(sizes), bool), ([], [])
+    heap = [(-g, k) for k, g in enumerate(gains.tolist()) if g >= least]
+    heapq.heapify(heap)
+    while heap:
+        gain, k = -heap[0][0], heap[0][1]
+        now = int(gains[k])
+        if now < least:
+            heapq.heappop(heap)
+        elif now < gain:  # each such step lowers a gain, so there are no more of them than rows
+            heapq.heapreplace(heap, (-now, k))
+        elif floor is not None and (-gain, int(names[k])) > floor:
+            break
+        else:
+            heapq.heappop(heap)
+            found[0].append(int(names[k]))
+            found[1].append(gain)
+            new = cells[begins[k] : begins[k + 1]]
+            new = new[open_[new]]
+            open_[new] = False
+            n = sizes[new]
+            met = np.repeat(at[new] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            np.subtract.at(gains, image[met], 1)
+    return found
+
+
+def _chosen(rows: DataFrame, least: int, floor: tuple[int, int] | None = None) -> DataFrame:
+    """i, gain: the choice among rows(part, i, cell), each part in one task."""
+
+    def choose(part: pa.Table) -> pa.Table:
+        i, gain = _chosen_in(part.column("images").combine_chunks(), least, floor)
+        return pa.table({"i": pa.array(i, pa.int64()), "gain": pa.array(gain, pa.int64())})
+
+    return rows.groupBy("part", "cell").agg(F.collect_list("i").alias("images")).select("part", "images").groupBy("part").applyInArrow(choose, "i long, gain long")
+
+
+def _regions(left: DataFrame, gains: DataFrame) -> DataFrame | None:
+    """gains(i, gain) with part, for the images of regions of POOL rows at most: regions share no cell, a part has whole ones. None if there are hardly any.
+
+    An image goes by the smallest that it meets in a cell; where these already have more than POOL rows for most rows,
+    there is no search. Else regions are the components of the few that stand for others.
+    """
+    from terraloom.operators.storage import stored
+    from terraloom.operators.tracks import tracks
+
+    met = stored(left.withColumn("m", F.min("i").over(Window.partitionBy("cell"))).select("i", "m").distinct(), "subset-met")
+    first = stored(met.groupBy("i").agg(F.min("m").alias("first")).join(gains, "i"), "subset-first")
+    large = lambda df, key: df.groupBy(key).agg(F.sum("gain").alias("rows"))
+    facts = large(first, "first").agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("rows") > POOL, F.col("rows"))).alias("large")).first()
+    if (facts["large"] or 0) * 2 > (facts["rows"] or 0):
+        return None
+    links = met.join(first.select("i", F.col("first").alias("a")), "i").join(first.select(F.col("i").alias("m"), F.col("first").alias("b")), "m")
+    found = tracks(links.select("a", "b").distinct()).withColumnRenamed("node", "first")
+    whole = stored(first.join(found, "first", "left").withColumn("region", F.coalesce("track", "first")).select("i", "gain", "region"), "subset-regions")
+    small = large(whole, "region").filter(F.col("rows") <= POOL)
+    rows = small.agg(F.sum("rows")).first()[0]
+    if not rows:
+        return None
+    return whole.join(small.select("region"), "region").select("i", "gain", F.pmod(F.xxhash64("region"), F.lit(int(rows // PART) + 1)).alias("part"))
 
 
 def greedy_subset(seen: DataFrame, threshold: int) -> DataFrame:
     """image, gain: images(image, cell) chosen one at a time by the number of cells that no chosen one has, in the order of choice.
 
-    Stops when the best gain is below the threshold; the smallest image wins ties. An image that comes before all images
-    with which it shares an uncovered cell is chosen before them with the gain it has, as gains only fall. So a round
-    chooses all such images, which are as many as the data has regions: each cell votes for the first of its images, and
-    those with the votes of all their cells are chosen. Images below the threshold can't be chosen any more and are left
-    out. Rows are written anew only when a quarter of them is gone; until then a round writes its choice, its cells and
-    the gains. Rows with a null image or cell take no part.
+    Stops when the best gain is below the threshold; the smallest image wins ties. A task chooses among POOL rows at most,
+    one image after the other. With more rows, regions that share no cell are chosen from apart, in one go. What is left is
+    gone through in rounds: a task takes the images of the largest gains, and chooses until the next would come after the
+    last of them, as gains only fall: until then no other image can come first. Rows are written anew only when a quarter
+    of them is gone; until then a round writes its choice, its cells and the gains. Rows with a null image or cell take no
+    part.
     """
     from terraloom.operators.storage import shared_path, stored
 
     spark, least = seen.sparkSession, max(threshold, 1)
-    left = stored(seen.select("image", "cell").dropna().distinct().repartition("cell"), "subset")
-    held = left.count()
-    chosen = left.select("image", F.lit(0).cast("long").alias("gain")).limit(0)
-    choice, covered = shared_path(spark, "subset-choice"), None
-    chosen.write.parquet(choice)
-    live = left
+    seen = seen.select("image", "cell").dropna()
+    ids = stored(seen.select("image").distinct().orderBy("image").withColumn("i", F.monotonically_increasing_id()), "subset-images")
+    live = left = stored(seen.join(ids, "image").select("i", "cell").repartition("cell").distinct(), "subset")
+    choice, covered, held, searched = shared_path(spark, "subset-choice"), None, None, False
+    spark.createDataFrame([], "i long, gain long").write.parquet(choice)
     while True:
-        # a number for each image that grows with its place: parts of a sorted table are numbered in order
-        gains = live.groupBy("image").agg(F.count("*").alias("gain")).filter(F.col("gain") >= least).orderBy(F.desc("gain"), "image")
-        gains = stored(gains.withColumn("place", F.monotonically_increasing_id()), "subset-gains")
-        rows = gains.agg(F.sum("gain")).first()[0]
-        if rows is None:
+        gains = stored(live.groupBy("i").agg(F.count("*").alias("gain")).filter(F.col("gain") >= least), "subset-gains")
+        levels = sorted(((r["gain"], r["n"]) for r in gains.groupBy("gain").agg(F.count("*").alias("n")).collect()), reverse=True)
+        rows = sum(g * n for g, n in levels)
+        if rows <= POOL:
+            if rows:
+                _chosen(live.join(gains.select("i", F.lit(0).alias("part")), "i"), least).write.mode("append").parquet(choice)
             break
-        live = live.join(gains.select("image"), "image", "left_semi")
-        if rows <= (1 - REWRITTEN) * held:
+        live = live.join(gains.select("i"), "i", "left_semi")
+        if not searched:
+            parts, searched = _regions(live, gains), True
+            if parts is not None:
+                parts = stored(parts, "subset-parts")
+                _chosen(live.join(parts.select("i", "part"), "i"), least).write.mode("append").parquet(choice)
+                live = left = stored(live.join(parts.select("i"), "i", "left_anti").repartition("cell"), "subset")
+                held = None
+                continue
+        if held is None:
+            held = rows
+        elif rows <= (1 - REWRITTEN) * held:
             live = left = stored(live.repartition("cell"), "subset")
             held, covered = rows, None
-        votes = live.join(gains.select("image", "place"), "image").groupBy("cell").agg(F.min("place").alias("place")).groupBy("place").agg(F.count("*").alias("votes"))
-        best = stored(gains.join(votes, "place").filter(F.col("votes") == F.col("gain")).select("image", "gain"), "subset-best")
+        floor = _floor(gains, levels)
+        pool = gains.filter((F.col("gain") > -floor[0]) | ((F.col("gain") == -floor[0]) & (F.col("i") <= floor[1])))
+        if levels[0][0] > POOL:  # the pool is one image
+            best = stored(pool, "subset-best")
+        else:
+            best = stored(_chosen(live.join(pool.select("i", F.lit(0).alias("part")), "i"), least, floor), "subset-best")
         best.write.mode("append").parquet(choice)
         if covered is None:
             covered = shared_path(spark, "subset-covered")
-        live.join(best.select("image"), "image", "left_semi").select("cell").write.mode("append").parquet(covered)
+        live.join(best.select("i"), "i", "left_semi").select("cell").distinct().write.mode("append").parquet(covered)
         live = left.join(spark.read.schema(left.select("cell").schema).parquet(covered), "cell", "left_anti")
-    return spark.read.schema(chosen.schema).parquet(choice).orderBy(F.desc("gain"), "image")
+    return spark.read.schema("i long, gain long").parquet(choice).join(ids, "i").select("image", "gain").orderBy(F.desc("gain"), "image")
+
+
+def _floor(gains: DataFrame, levels: list[tuple[int, int]]) -> tuple[int, int]:
+    """(-gain, image) of the last image that fits into POOL rows, the first one in any case; levels(gain, images), largest first."""
+    room = POOL
+    for gain, n in levels:
+        if gain * n > room:
+            fit = room // gain or int(room == POOL)
+            return (-gain, gains.filter(F.col("gain") == gain).select("i").orderBy("i").limit(fit).agg(F.max("i")).first()[0] if fit else -1)
+        room -= gain * n
+    return (0, -1)
 
 
 def complete_network(observations: DataFrame, disparities: DataFrame, aligned: DataFrame, images: int) -> DataFrame:
