@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table up to which it may be sent whole to all tasks, through the driver's memory.
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,3 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joinable(df: DataFrame, rows: int | None = None, row_bytes: int = 200) -> DataFrame:
+    """df as the side of a join: sent whole if its rows are known to be few, else dealt out.
+
+    Left to itself, Spark goes by the size of files, of which packed ones grow many times in the driver's memory.
+    """
+    return F.broadcast(df) if rows is not None and rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
