@@ -7,10 +7,11 @@ as one stretch.
 1. Count anchors; those that occur once can't repeat. Counts are sorted arrays in the shared folder, memory-mapped.
 2. Stretches of the other anchors, as (anchor, hash of the stretch, place). Equal stretches are one from there on: all but
    the first go whole.
-3. Where an anchor has several stretches, one text of each is fetched, and shards of about SORT_BYTES of them are sorted
-   by external induced sorting (induced.py): of the suffix tuples and common prefixes in its queues, no more than
-   QUEUED_TUPLES are in memory, the others on disk. Neighbours whose carried prefix is `length` or more form groups; all
-   of a group but the first in document order are repeats.
+3. Where an anchor has several stretches, one text of each is fetched, in shards of about SORT_BYTES of them. Those of
+   which no string has the hash of another string of the shard can't repeat, as in 1. The others are sorted by external
+   induced sorting (induced.py): of the suffix tuples and common prefixes in its queues, no more than QUEUED_TUPLES are in
+   memory, the others on disk. Neighbours whose carried prefix is `length` or more form groups; all of a group but the
+   first in document order are repeats.
 4. The stretches of an anchor with more than SORT_BYTES of them aren't sorted: each of their strings becomes a row with
    128 bits of hash, and all of equal hash but the first are repeats.
 5. Covered bytes are merged for each document.
@@ -38,6 +39,8 @@ from terraloom.llm.sortedarrays import ROWS, SortedArrays, counted, local_of, wr
 LENGTH = 100
 GRAM = 32
 BATCH_BYTES = 1 << 19
+#: Bytes whose strings are hashed at a time, before they are sorted.
+HASHED_BYTES = 1 << 18
 KEPT_ANCHORS = 400_000
 #: Bytes whose anchors are found at a time.
 PIECE_BYTES = 1 << 20
@@ -191,6 +194,38 @@ def _parts(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
     return texts.select("anchor", "doc", "tag", "start", F.expr(f"substring(raw, start + 1, run + {length - 1})").alias("part"))
 
 
+def _string_hashes(parts: list[bytes], length: int, codes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Part, start in it and a hash by each code of all strings of the parts; equal strings have equal hashes."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    runs = lengths - length + 1
+    owner = np.repeat(np.arange(len(parts)), runs)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = (np.cumsum(lengths) - lengths)[owner] + inside
+    up, down = _powers(_BASE, len(data)), _powers(_BASE_INVERSE, len(data))
+    hashes = []
+    for code in codes:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code[data] * up)])
+        hashes.append(mix64((sums[at + length] - sums[at]) * down[at]))
+    return owner, inside, hashes
+
+
+def _may_repeat(parts: list[bytes], length: int) -> np.ndarray:
+    """Numbers of the parts that have a string whose hash another of the strings has; the others share no string."""
+    h = np.concatenate([np.zeros(0, np.uint64), *(_string_hashes(parts[a:b], length, (_BYTE_CODE,))[2][0] for a, b in batched([parts], HASHED_BYTES))])
+    ordered = np.sort(h)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(again):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum([len(p) - length + 1 for p in parts])
+    found = []
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        at = np.minimum(np.searchsorted(again, h[a:b]), len(again) - 1)
+        found.append((again[at] == h[a:b]).any())
+    return np.flatnonzero(found)
+
+
 def _hashed_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFrame:
     """Repeats among different stretches of hot anchors, by hashes of each string: doc, tag, start, end."""
     kind = T.StructType([docs.schema["doc"], docs.schema["tag"], T.StructField("start", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
@@ -199,17 +234,8 @@ def _hashed_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFr
         for batch in batches:
             parts = batch.column(4).to_pylist()
             for a, b in batched([parts], BATCH_BYTES):
-                data = np.frombuffer(b"".join(parts[a:b]), np.uint8)
-                lengths = np.fromiter(map(len, parts[a:b]), np.int64, b - a)
-                runs = lengths - length + 1
-                owner = np.repeat(np.arange(b - a), runs)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-                at = (np.cumsum(lengths) - lengths)[owner] + inside
-                up, down = _powers(_BASE, len(data)), _powers(_BASE_INVERSE, len(data))
-                hashes = []
-                for code in (_BYTE_CODE, mix64(_BYTE_CODE)):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code[data] * up)])
-                    hashes.append(pa.array(mix64((sums[at + length] - sums[at]) * down[at]).astype(np.int64)))
+                owner, inside, found = _string_hashes(parts[a:b], length, (_BYTE_CODE, mix64(_BYTE_CODE)))
+                hashes = [pa.array(h.astype(np.int64)) for h in found]
                 rows = pa.array(a + owner)
                 start = batch.column(3).to_numpy()[a + owner] + inside
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(start, pa.int32()), *hashes], names=kind.names)
@@ -230,7 +256,10 @@ def _sorted_repeats(docs: DataFrame, doubtful: DataFrame, length: int) -> DataFr
 
     def sort(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        whole = whole.take(pa.array(_may_repeat(whole.column(4).to_pylist(), length)))
         parts = whole.column(4).to_pylist()
+        if not parts:
+            return pa.RecordBatch.from_arrays([pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], names=out.names)
         order = np.lexsort((whole.column(3).to_numpy(), whole.column(2).to_numpy(), whole.column(1).fill_null(np.iinfo(np.int64).max).to_numpy()))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))  # stretches in document order

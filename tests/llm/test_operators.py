@@ -350,6 +350,20 @@ def test_a_very_long_text(spark, monkeypatch):
     assert sorted(got, key=str) == sorted([(1, len(passage)), (2, len(long) - len(passage) - 699), (3, 0), (3, 0), (4, 4), (None, 0)], key=str)
 
 
+def test_stretches_without_a_repeated_string_are_not_sorted(monkeypatch):
+    import random
+
+    r = random.Random(1)
+    for _ in range(200):
+        monkeypatch.setattr(suffixes, "HASHED_BYTES", r.choice([10, 40, 1 << 18]))
+        parts = [bytes(r.choice(r.choice([b"ab", b"cdefghijklmnop"])) for _ in range(r.randrange(5, 14))) for _ in range(r.randrange(9))]
+        holders = {}
+        for i, part in enumerate(parts):
+            for at in range(len(part) - 4):
+                holders.setdefault(part[at : at + 5], []).append(i)
+        assert suffixes._may_repeat(parts, 5).tolist() == sorted({i for own in holders.values() if len(own) > 1 for i in own})
+
+
 def test_repeats_of_a_hot_anchor(spark, monkeypatch):
     rng = np.random.default_rng(6)
     footer = " ".join(rng.choice(WORDS, 40))
